@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, language, quality, token_counts, toxicity
+from . import bpe, common, edit_prints, language, licenses, mixing, quality, simhash, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = common.stored(warc.read(spark, path, blocks=False).drop("block"), "records")
+    found = warc.captures(records)
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = common.crc_mod("doc_id", 4) == 2
@@ -39,17 +47,39 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_warc": op2_warc,
         "op3_language": op3_language,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
+        "op6_mixing": op6_mixing,
+        "op7_simhash": op7_simhash,
         "op8_bpe": op8_bpe,
+        "op9_edit_prints": op9_edit_prints,
+        "op10_licenses": op10_licenses,
     }
 
 
@@ -58,7 +88,7 @@ WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), words AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')) AS letter_words,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower
   FROM base
@@ -86,5 +116,46 @@ FROM judged
 """
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p),
+n AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM d),
+digits AS (
+  SELECT page_id, payload_bytes, first_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+           (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1), '' ORDER BY i) AS payload_digest
+  FROM n, range(32) AS r(i) GROUP BY 1, 2, 3
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM digits
+"""
+OP6_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+), by_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no FROM sizes GROUP BY source
+), weighed AS (
+  SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2 * source_size AS cap FROM by_source
+), ahead AS (
+  SELECT *, CAST(1.5 * sum(source_size) OVER () AS DOUBLE) AS budget,
+         coalesce(sum(cap) OVER b, 0) AS cap_before, coalesce(sum(w) OVER b, 0) AS w_before, sum(w) OVER () AS w_all
+  FROM weighed WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (SELECT *, cap * (w_all - w_before) <= (budget - cap_before) * w AS is_capped FROM ahead),
+targets AS (
+  SELECT source, source_size, CASE WHEN is_capped THEN CAST(cap AS DOUBLE)
+         ELSE (budget - coalesce(sum(CASE WHEN is_capped THEN cap END) OVER (), 0)) * w / sum(CASE WHEN NOT is_capped THEN w END) OVER () END AS target
+  FROM capped
+), budgets AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size END AS epochs FROM targets
+), placed AS (
+  SELECT sizes.doc_id, sizes.size, b.source_size, b.target, b.epochs, CAST(floor(b.target) AS BIGINT) - b.epochs * b.source_size AS rest,
+         sum(sizes.size) OVER (PARTITION BY sizes.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sizes.size AS before
+  FROM sizes JOIN budgets AS b ON sizes.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL}
+    return {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op6_mixing": OP6_SQL}
