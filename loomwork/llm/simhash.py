@@ -25,8 +25,8 @@ from .components import components
 BITS = 64
 #: Members of a variant's group up to which all of its pairs are verified.
 MOST_PAIRED = 6
-#: Variants shared by more than two fingerprints up to which their table is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of keys or ids up to which their table is broadcast.
+BROADCAST_ROWS = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -109,3 +109,95 @@ def groups(docs: DataFrame, width: int = 3, distance: int = 2, doc_id: str = "do
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     of = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Wide signatures of near_copies: fingerprints of 64 bits, bits of a segment, and its least certain bits that may differ.
+WORDS, SEGMENT, UNSURE = 8, 32, 8
+#: Members of a key's group up to which all pairs are candidates; beyond, each is held against the group's head.
+MOST_COMPARED = 6
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def wide_keys(text: str | None, width: int) -> list[int]:
+    """Signatures of a text: each segment of its 512-bit fingerprint, whole and without one of its least certain bits."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return []
+    ones = np.zeros(WORDS * BITS, np.int64)
+    for at in range(0, len(h), 255):  # sums of single bytes do not overflow
+        part = h[at : at + 255, None] * ODD
+        part ^= part >> np.uint64(29)
+        ones += np.unpackbits((part * ODD[::-1]).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    bits = (2 * ones > len(h)).reshape(-1, SEGMENT)
+    value = np.packbits(bits, axis=1, bitorder="little").view(np.uint32).ravel().astype(np.int64)
+    unsure = np.argpartition(np.abs(2 * ones - len(h)).reshape(-1, SEGMENT), UNSURE, axis=1)[:, :UNSURE]
+    segment = np.arange(len(value), dtype=np.int64)[:, None]
+    without = (segment * 64 + unsure + 1 << 32) | (value[:, None] & ~(np.int64(1) << unsure))
+    return np.concatenate([(segment[:, 0] * 64 << 32) | value, without.ravel()]).tolist()
+
+
+def shingle_set(text: str | None, width: int) -> list[int]:
+    """The text's distinct shingles as sorted 32-bit hashes."""
+    return np.unique(shingle_hashes(text, width).astype(np.uint32).view(np.int32)).tolist()
+
+
+def similarity(a: list[int], b: list[int]) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, root) for documents in groups of copies: root is the smallest id that links reach.
+
+    Equal texts are linked by their digest. Of each, one goes on: its signatures are segments of a 512-bit SimHash of
+    ``key_width``-word shingles, whole or without one of the bits that are least certain (those that edits turn first).
+    Documents that share a signature are candidates, and are linked if their sets of ``width``-word shingles have a
+    Jaccard similarity of ``least``. Groups of more than ``MOST_COMPARED`` members hold each against a head that differs
+    from key to key. Candidates are found with high probability (measured in the README); links are exact. Null ids and
+    texts take no part.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    ids = common.stored(rows.select("id", F.md5("text").alias("digest")), "digests")
+    reps = ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
+    copies = common.stored(ids.join(reps, "digest").where("id <> rep").select("id", "rep").distinct(), "copies")
+    single = rows.join(common.small(copies.select("id"), BROADCAST_ROWS), "id", "left_anti")
+    keyed = common.map_texts(single, "text", lambda: lambda texts: [[wide_keys(t, key_width) for t in texts]], [("keys", "array<long>")], keep=["id"])
+    keys = common.stored(keyed.select("id", F.explode("keys").alias("key")), "keys")
+    head = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
+    shared = common.stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), head.alias("head")).where("n > 1").select("key", "n", "a", "b", F.col("head.id").alias("head")), "keys-shared")
+    twos = shared.where("n = 2").select("a", "b")
+    more = shared.where("n > 2").select("key", "n", "head")
+    members = common.stored(keys.join(common.small(more, BROADCAST_ROWS), "key"), "keys-members")
+    few = members.where(F.col("n") <= MOST_COMPARED).select("key", "id")
+    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")
+    stars = members.where((F.col("n") > MOST_COMPARED) & (F.col("id") != F.col("head"))).select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+    candidates = common.stored(twos.union(pairs).union(stars).where("a <> b").distinct(), "candidates")
+    wanted = common.stored(candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
+    sets = common.map_texts(single.join(common.small(wanted, BROADCAST_ROWS), "id", "left_semi"), "text", lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", "array<int>")], keep=["id"])
+    sets = common.stored(sets, "shingles")
+
+    @F.pandas_udf("double")
+    def jaccard(a, b):
+        import pandas as pd
+
+        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    compared = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # sizes alone rule most unlike pairs out
+    compared = compared.where(F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
+    links = compared.where(jaccard("x", "y") >= least).select("a", "b")
+    return components(links.union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of copies, the one with the smallest id; a repeated row stays once."""
+    roots = near_copies(docs, doc_id=doc_id, text=text, **options)
+    gone = common.stored(roots.where("node <> root").select(F.col("node").alias("__gone")), "gone")
+    kept = docs.join(common.small(gone, BROADCAST_ROWS), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    again = common.stored(docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("__again")).count().where("count > 1").select("__again"), "again")
+    if again.isEmpty():
+        return kept
+    repeated = common.small(again, BROADCAST_ROWS)
+    on = F.col(f"`{doc_id}`") == F.col("__again")
+    return kept.join(repeated, on, "left_anti").union(kept.join(repeated, on, "left_semi").dropDuplicates([doc_id, text]))
