@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import heatmap
+from . import heatmap, series
 
-MODULES = (heatmap,)
+MODULES = (heatmap, series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
