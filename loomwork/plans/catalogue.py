@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import heatmap, series
+from . import firms, heatmap, records, series
 
-MODULES = (heatmap, series)
+MODULES = (heatmap, series, firms, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
