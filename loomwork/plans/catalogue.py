@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import firms, heatmap, records, series
+from . import firms, heatmap, records, series, texts
 
-MODULES = (heatmap, series, firms, records)
+MODULES = (heatmap, series, firms, records, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
