@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import firms, heatmap, records, series, texts
+from . import extra, firms, heatmap, models, records, series, texts
 
-MODULES = (heatmap, series, firms, records, texts)
+MODULES = (heatmap, series, firms, records, texts, models, extra)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
