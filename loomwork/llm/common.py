@@ -87,9 +87,9 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     """``df``'s columns ``keep`` (all by default) with the columns ``fields`` that the function from ``make`` gives for its texts.
 
     The function gets lists of texts (some may be None) of about ``slice_chars`` characters together, or a single longer one;
-    kept columns pass by without being turned into Python objects.
+    kept columns pass by without being turned into Python objects. A kept column with the name of an added one gives way.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in {n for n, _ in fields}]
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
     schema = T.StructType([*(df.schema[c] for c in keep), *added])
     source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
