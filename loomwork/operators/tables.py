@@ -43,8 +43,8 @@ def cascade(candidates: list[tuple[str, DataFrame]], keys: list[str]) -> DataFra
     for i, (name, df) in enumerate(candidates):
         part = df.withColumns({"__tier": F.lit(i), "source_tier": F.lit(name)})
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    best = F.min("__tier").over(Window.partitionBy(*keys)) if keys else F.min("__tier").over(Window.partitionBy(F.lit(0)))
-    rows = rows.withColumn("__best", best).where("__tier = __best")
+    best = rows.groupBy(*keys).agg(F.min("__tier").alias("__best"))
+    rows = (rows.join(best, keys) if keys else rows.join(F.broadcast(best), F.lit(True))).where("__tier = __best")
     return rows.withColumn("status", F.when(F.col("__tier") == 0, "ok").otherwise("fallback")).drop("__tier", "__best")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import benchmark as B
@@ -162,11 +163,9 @@ def kpi_summary(spark, sf_dir):
 def peer_list_limit(spark, sf_dir):
     """Up to 12 peers of each firm of one nation: those with the largest balances."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
     top = s.withColumn("place", rank).where("place <= 13").select("s_nationkey", F.col("s_suppkey").alias("peer"), "place")  # one more than 12: a firm is not its own peer
-    pairs = s.select("s_suppkey", "s_nationkey").join(F.broadcast(top), "s_nationkey").where("s_suppkey <> peer")
+    pairs = s.select("s_suppkey", "s_nationkey").join(top, "s_nationkey").where("s_suppkey <> peer")
     return pairs.withColumn("peer_rank", F.row_number().over(Window.partitionBy("s_suppkey").orderBy("place")).cast("long")).where("peer_rank <= 12").select("s_suppkey", "peer", "peer_rank")
 
 

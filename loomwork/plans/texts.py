@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text as X
 from ..operators.matching import resolve
+from ..operators.vectors import nearest
 from ..sources import payloads
 from .series import read
 
@@ -87,13 +87,8 @@ def char_ngram_tfidf_cosine(spark, sf_dir):
 
 def vector_cosine_topk(spark, sf_dir):
     """The five nearest vectors of each query vector (ids divisible by 20) by cosine."""
-    v = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    v = v.withColumn("norm", norm)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rows = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(F.try_divide(dot, F.col("norm") * F.col("qn")), 6).alias("cosine"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")).cast("long")).where("place <= 5")
+    v = read(spark, sf_dir, "embeddings")
+    return nearest(v, v.where("vec_id % 20 = 0"), 5).withColumnRenamed("id", "vec_id")
 
 
 def json_props_map(spark, sf_dir):
