@@ -157,7 +157,8 @@ def with_next(docs: DataFrame, run, schema: T.StructType, doc_id: str = "doc_id"
     is_first = F.col("doc_id").eqNullSafe(F.col("first")) & F.col("tie").eqNullSafe(F.col("first_tie"))
     places = F.when(is_first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("last")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last"))))
     dealt = marked.select(F.explode(places).alias("at"), "doc_id", "tie", "text").select("at.bucket", "at.last", "doc_id", "tie", "text")
-    dealt = dealt.repartition(max(len(firsts), 2), "bucket").sortWithinPartitions("bucket", "last", "doc_id", "tie")
+    # a range is a partition, so that no task gets two
+    dealt = dealt.repartitionById(len(inner) + 1, "bucket").sortWithinPartitions("bucket", "last", "doc_id", "tie")
     return dealt.select("bucket", "last", "doc_id", "text").mapInArrow(run, schema)
 
 

@@ -54,18 +54,34 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, rounds: int = 30) -> tup
     return share, now
 
 
+def gain(mix: np.ndarray, other: np.ndarray, counts: np.ndarray, steps: int = 5) -> float:
+    """By how much the log-likelihood grows at the best share of one more language: a concave function of the share, by Newton steps."""
+    r = other / mix - 1
+    slope = counts @ r
+    if slope <= 0:
+        return 0.0
+    x, of, weighed = 0.0, r, counts * r
+    for _ in range(steps):
+        curve = weighed @ (of / (1 + x * r))
+        x = min(max(x + slope / max(curve, 1e-12), 0.0), 0.999)
+        of = r / (1 + x * r)
+        slope = counts @ of
+        if abs(slope) < 1e-3 * counts.sum():
+            break
+    return float(counts @ np.log1p(x * r))
+
+
 def languages(likelihood: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """Shares of all languages, 0 outside the set that the penalised likelihood selects."""
-    single = counts @ np.log(likelihood)
-    chosen, best = [int(single.argmax())], float(single.max())
-    share = np.ones(1)
+    chosen, share = [int((counts @ np.log(likelihood)).argmax())], np.ones(1)
     cost = penalty * np.log(max(counts.sum(), 2))
     while len(chosen) < likelihood.shape[1]:
-        tries = [(mixture(likelihood[:, [*chosen, x]], counts), x) for x in range(likelihood.shape[1]) if x not in chosen]
-        (more, ll), x = max(tries, key=lambda t: t[0][1])
-        if ll - best <= cost:
+        mix = likelihood[:, chosen] @ share
+        grown, x = max((gain(mix, likelihood[:, x], counts), x) for x in range(likelihood.shape[1]) if x not in chosen)
+        if grown <= cost:
             break
-        chosen, share, best = [*chosen, x], more, ll
+        chosen.append(x)
+        share, _ = mixture(likelihood[:, chosen], counts)
     out = np.zeros(likelihood.shape[1])
     out[chosen] = share
     return out

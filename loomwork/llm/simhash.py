@@ -25,6 +25,8 @@ from .components import components
 BITS = 64
 #: Members of a variant's group up to which all of its pairs are verified.
 MOST_PAIRED = 6
+#: Rows of a fingerprint from which its rows are joined apart from the others.
+HOT_ROWS = 200
 #: Rows of keys or ids up to which their table is broadcast.
 BROADCAST_ROWS = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -103,12 +105,15 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = 3, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row of ``docs``."""
     rows = common.stored(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, keep=["doc_id"]), "fingerprints")
-    fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = common.stored(components(links(fps.select("fp"), distance)), "roots")
     least = fps.join(roots, fps.fp == roots.node).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = common.stored(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "of-print")
+    # rows of a fingerprint that very many share are not dealt by it
+    hot = common.small(of.where(F.col("n") >= HOT_ROWS).drop("n"), BROADCAST_ROWS)
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(of.drop("n"), "fp")
+    return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 #: Wide signatures of near_copies: fingerprints of 64 bits, bits of a segment, and its least certain bits that may differ.

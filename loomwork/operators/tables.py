@@ -113,3 +113,22 @@ def keep_previous(now: DataFrame, before: DataFrame, keys: list[str], ok: str, f
     prior = before.select(*keys, F.struct(*fields).alias("__was"))
     rows = now.join(prior, keys, "left")
     return rows.withColumns({c: F.when(F.col(ok), F.col(c)).otherwise(F.col(f"__was.{c}")) for c in fields}).drop("__was")
+
+
+def filtered(df: DataFrame, **wanted) -> DataFrame:
+    """Rows that equal every given value that is not None; ``code__prefix`` style names compare beginnings."""
+    for name, value in wanted.items():
+        if value is not None:
+            column, _, how = name.partition("__")
+            df = df.where(F.col(column).startswith(value) if how == "prefix" else F.col(column) == value)
+    return df
+
+
+def numeric_metrics(metrics: Column) -> Column:
+    """A map of metric names to numbers out of a map of text: lower-case names, what is no finite number becomes null."""
+    number = lambda v: F.when(~F.isnan(v.try_cast("double")) & (F.abs(v.try_cast("double")) < float("inf")), v.try_cast("double"))
+    return F.transform_values(F.transform_keys(metrics, lambda k, _: F.lower(F.trim(k))), lambda _, v: number(v))
+
+
+def has_any(metrics: Column) -> Column:
+    return F.exists(F.map_values(metrics), lambda v: v.isNotNull())

@@ -198,3 +198,27 @@ def usable(spark: SparkSession, path: str, column: str) -> DataFrame | None:
     except AnalysisException:
         return None
     return df if column in df.columns and not df.limit(1).isEmpty() else None
+
+
+def shop_allow_list(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, url, channel) of a discovery allow-list; the channel is told by the URL where it is not given."""
+    rows = spark.read.schema("ticker STRING, url STRING, channel STRING").option("multiLine", True).json(path)
+    return rows.where("ticker IS NOT NULL AND trim(url) <> ''").select(F.upper(F.trim("ticker")).alias("ticker"), F.trim("url").alias("url"), F.coalesce(F.lower("channel"), X.channel(F.col("url"))).alias("channel"))
+
+
+def universe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows of a universe file (ticker and source type known), and those that are not, with why."""
+    rows = spark.read.schema("ticker STRING, name STRING, source_type STRING, status STRING").option("multiLine", True).json(path)
+    reason = F.when(F.coalesce(F.trim("ticker"), F.lit("")) == "", "no_ticker").when(F.col("source_type").isNull(), "no_source_type")
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
+
+
+def series_url(base: str, *key: str | None, start: str | None = None) -> str:
+    """The address of one series in an SDMX service: its key's parts between dots (empty ones are wildcards)."""
+    return f"{base.rstrip('/')}/{'.'.join(k or '' for k in key)}" + (f"?startPeriod={start}" if start else "")
+
+
+def is_empty_series(status: Column, body: Column) -> Column:
+    """Whether a service's answer says that a series has no data: not found, no content, or a body without observations."""
+    return status.isin(204, 404) | F.coalesce(body.rlike(r"(?i)no\s*(records|results|data)\s*found"), F.lit(False)) | (F.coalesce(F.trim(body), F.lit("")) == "")
