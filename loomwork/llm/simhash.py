@@ -161,32 +161,48 @@ def linked(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
         return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    compared = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    held = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     # sizes alone rule most unlike pairs out
-    compared = compared.where(F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
-    return compared.where(jaccard("x", "y") >= least).select("a", "b")
+    held = held.where(F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
+    return held.where(jaccard("x", "y") >= least).select("a", "b")
+
+
+def compared(members: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, rest) of groups (key, id): all pairs of up to ``large`` members, and each of more against its group's head.
+
+    The head is the member whose hash with the key is smallest, so that it differs from key to key. ``rest`` are the members
+    (key, id) of the groups of more than ``large``.
+    """
+    head = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
+    shared = common.stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), head.alias("head")).where("n > 1").select("key", "n", "a", "b", F.col("head.id").alias("head")), "keys-shared")
+    # two alone are read off their group: the least and the greatest
+    twos = shared.where("n = 2").select("a", "b")
+    more = common.stored(members.join(common.small(shared.where("n > 2").select("key", "n", "head"), BROADCAST_ROWS), "key"), "keys-members")
+    few = more.where(F.col("n") <= large).select("key", "id")
+    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")
+    many = more.where(F.col("n") > large)
+    stars = many.where("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+    return twos.union(pairs).union(stars).where("a <> b").distinct(), many.select("key", "id")
 
 
 def between_classes(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links between classes that a large group of ``members`` (key, id) still holds apart, each class by its smallest id.
 
-    Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among these classes,
-    so pairs are sought there: exact, whatever the group's size, and without pairing a group with itself.
+    Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among these classes.
+    So the classes are grouped anew by those shingles: exact where at most ``MOST_COMPARED`` classes share one, and against
+    the shingle's head where more do, so that the comparisons grow with the classes and not with their square.
     """
     nodes = members.join(common.small(roots, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("id")).distinct()
     nodes = common.stored(nodes, "classes")
     apart = common.stored(nodes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys-apart")
     wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id").distinct(), "classes-apart")
     rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id", "left_semi"), "classes-shingles")
-    each = rest.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("times"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "t"))  # one document's shingles
-    first = each.join(often, "t").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1)
-    first = common.stored(first.where("times > 1").select("t", "id", "n"), "rare-shingles")
-    other = first.select("t", F.col("id").alias("b"), F.col("n").alias("m"))
-    near = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")
-    pairs = first.withColumnRenamed("id", "a").join(other, "t").where((F.col("a") > F.col("b")) & near)
-    return linked(pairs.select("a", "b").distinct(), rest, least)
+    each = rest.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "key"))  # one document's shingles
+    first = each.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1)
+    first = common.stored(first.where("times > 1").select("key", "id"), "rare-shingles")
+    return linked(compared(first, MOST_COMPARED)[0], rest, least)
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,8 +212,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width:
     ``key_width``-word shingles, whole or without one of the bits that are least certain (those that edits turn first).
     Documents that share a signature are candidates, and are linked if their sets of ``width``-word shingles have a
     Jaccard similarity of ``least``. Groups of more than ``MOST_COMPARED`` members hold each against a head that differs
-    from key to key; the classes that come of it are then compared exactly (:func:`between_classes`). Candidates are found
-    with high probability (measured in the README); links are exact. Null ids and texts take no part.
+    from key to key; the classes that come of it are grouped anew by rare shingles (:func:`between_classes`). Candidates are
+    found with high probability, not certainly (measured in the README); links are exact. Null ids and texts take no part.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     ids = common.stored(rows.select("id", F.md5("text").alias("digest")), "digests")
@@ -206,22 +222,14 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width:
     single = rows.join(common.small(copies.select("id"), BROADCAST_ROWS), "id", "left_anti")
     keyed = common.map_texts(single, "text", lambda: lambda texts: [[wide_keys(t, key_width) for t in texts]], [("keys", "array<long>")], keep=["id"])
     keys = common.stored(keyed.select("id", F.explode("keys").alias("key")), "keys")
-    head = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
-    shared = common.stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), head.alias("head")).where("n > 1").select("key", "n", "a", "b", F.col("head.id").alias("head")), "keys-shared")
-    twos = shared.where("n = 2").select("a", "b")
-    more = shared.where("n > 2").select("key", "n", "head")
-    members = common.stored(keys.join(common.small(more, BROADCAST_ROWS), "key"), "keys-members")
-    few = members.where(F.col("n") <= MOST_COMPARED).select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")
-    many = members.where(F.col("n") > MOST_COMPARED)
-    stars = many.where("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-    candidates = common.stored(twos.union(pairs).union(stars).where("a <> b").distinct(), "candidates")
+    candidates, many = compared(keys, MOST_COMPARED)
+    candidates = common.stored(candidates, "candidates")
     wanted = common.stored(candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
     sets = common.map_texts(single.join(common.small(wanted, BROADCAST_ROWS), "id", "left_semi"), "text", lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", "array<int>")], keep=["id"])
     sets = common.stored(sets, "shingles")
     of_copies = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     roots = common.stored(components(linked(candidates, sets, least).union(of_copies)), "near-roots")
-    links = common.stored(between_classes(many.select("key", "id"), roots, sets, least), "class-links")
+    links = common.stored(between_classes(many, roots, sets, least), "class-links")
     if links.isEmpty():
         return roots
     return components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
