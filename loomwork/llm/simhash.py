@@ -185,24 +185,52 @@ def compared(members: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
     return twos.union(pairs).union(stars).where("a <> b").distinct(), many.select("key", "id")
 
 
+def set_bits(shingles) -> list[int]:
+    """512 bits of a shingle set, each the parity of the shingles that fall on it.
+
+    A shingle that only one of two sets has turns one bit, so as many bits as two of these differ in, the sets differ in
+    at least.
+    """
+    odd = np.bincount(np.asarray(shingles, np.int64) & (WORDS * BITS - 1), minlength=WORDS * BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
 def between_classes(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links between classes that a large group of ``members`` (key, id) still holds apart, each class by its smallest id.
+    """All links between classes that a large group of ``members`` (key, id) still holds apart, as pairs of class ids.
 
     Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among these classes.
-    So the classes are grouped anew by those shingles: exact where at most ``MOST_COMPARED`` classes share one, and against
-    the shingle's head where more do, so that the comparisons grow with the classes and not with their square.
+    So the classes are joined by those shingles. Of a pair the join gives only what its sizes, the places of the shared
+    shingle and the parities of both sets (:func:`set_bits`) do not rule out, and whole sets verify it. Nothing is capped;
+    a shingle that many share costs comparisons of a few longs, in tasks that adaptive execution splits.
     """
+
+    @F.pandas_udf("array<long>")
+    def bits(shingles):
+        import pandas as pd
+
+        return pd.Series([set_bits(x) for x in shingles])
+
     nodes = members.join(common.small(roots, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("id")).distinct()
     nodes = common.stored(nodes, "classes")
     apart = common.stored(nodes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys-apart")
-    wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id").distinct(), "classes-apart")
-    rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id", "left_semi"), "classes-shingles")
+    wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id", F.col("id").alias("root")).distinct(), "classes-apart")
+    rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id"), "classes-shingles")
     each = rest.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "key"))  # one document's shingles
     first = each.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1)
-    first = common.stored(first.where("times > 1").select("key", "id"), "rare-shingles")
-    return linked(compared(first, MOST_COMPARED)[0], rest, least)
+    parities = rest.select("id", "root", bits("shingles").alias("bits")).select("id", "root", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)))
+    first = common.stored(first.where("times > 1").select("key", "id", "n", "rank").join(parities, "id"), "rare-shingles")
+    other = first.select("key", *(F.col(c).alias(f"{c}_b") for c in first.columns if c != "key"))
+    both = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_b")) - F.lit(1e-9))  # what alike sets share
+    differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_b"))))
+    open_ = (F.col("key") == F.col("key_b")) & (F.col("id") > F.col("id_b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") >= F.lit(least) * F.greatest("n", "n_b") - F.lit(1e-9))
+    open_ &= (1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b")) >= both) & (differ <= F.col("n") + F.col("n_b") - 2 * both)
+    pairs = common.stored(first.join(other.withColumnRenamed("key", "key_b"), open_).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct(), "open-pairs")
+    found = linked(pairs, rest.select("id", "shingles"), least)
+    of = wanted.select("id", "root")
+    found = found.join(of.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,8 +240,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width:
     ``key_width``-word shingles, whole or without one of the bits that are least certain (those that edits turn first).
     Documents that share a signature are candidates, and are linked if their sets of ``width``-word shingles have a
     Jaccard similarity of ``least``. Groups of more than ``MOST_COMPARED`` members hold each against a head that differs
-    from key to key; the classes that come of it are grouped anew by rare shingles (:func:`between_classes`). Candidates are
-    found with high probability, not certainly (measured in the README); links are exact. Null ids and texts take no part.
+    from key to key; the classes that come of it are compared exactly by rare shingles (:func:`between_classes`). That two
+    documents share a signature is likely, not certain (measured in the README); links are exact. Null ids and texts take no part.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     ids = common.stored(rows.select("id", F.md5("text").alias("digest")), "digests")

@@ -394,3 +394,25 @@ def test_classes_of_large_groups_are_compared_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_COMPARED", 40)
     assert found() == every
     assert simhash.between_classes(members.limit(0), roots, frame, 0.8).isEmpty()
+
+
+def test_large_groups_miss_no_pair_of_classes(spark):
+    random = np.random.RandomState(5)
+    base, sets = random.randint(-(1 << 31), 1 << 31, 100), {}
+    for i in range(60):  # each has lost other parts of the base, so that few are like any one head
+        sets[i] = np.unique(np.concatenate([np.delete(base, random.choice(100, 8 + i % 9, replace=False)), random.randint(-(1 << 31), 1 << 31, i % 5)]).astype(np.int32)).tolist()
+    frame = spark.createDataFrame(list(sets.items()), "id long, shingles array<int>")
+    members = spark.createDataFrame([(7, i) for i in sets], "key long, id long")
+    every = {(a, b) for a in sets for b in sets if a > b and simhash.similarity(sets[a], sets[b]) >= 0.8}
+    got = {(r.a, r.b) for r in simhash.between_classes(members, spark.createDataFrame([], "node long, root long"), frame, 0.8).collect()}
+    assert 60 < len(every) < 1770
+    assert got == every
+
+
+def test_parities_differ_no_more_than_sets():
+    random = np.random.RandomState(6)
+    for n in (0, 5, 300, 4000):
+        a, b = (np.unique(random.randint(-(1 << 31), 1 << 31, n).astype(np.int32)) for _ in range(2))
+        b = np.union1d(a[: n // 2], b[: n // 3])
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.set_bits(a), simhash.set_bits(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
