@@ -198,8 +198,9 @@ def set_bits(shingles) -> list[int]:
 def between_classes(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """All links between classes that a large group of ``members`` (key, id) still holds apart, as pairs of class ids.
 
-    Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among these classes.
-    So the classes are joined by those shingles. Of a pair the join gives only what its sizes, the places of the shared
+    Two classes are linked if any member of one is alike to any of the other, so every member takes part, not its class's
+    root alone. Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among
+    these members. So the members of different classes are joined by those shingles. Of a pair the join gives only what its sizes, the places of the shared
     shingle and the parities of both sets (:func:`set_bits`) do not rule out, and whole sets verify it. Nothing is capped;
     a shingle that many share costs comparisons of a few longs, in tasks that adaptive execution splits.
     """
@@ -210,11 +211,11 @@ def between_classes(members: DataFrame, roots: DataFrame, sets: DataFrame, least
 
         return pd.Series([set_bits(x) for x in shingles])
 
-    nodes = members.join(common.small(roots, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("id")).distinct()
-    nodes = common.stored(nodes, "classes")
-    apart = common.stored(nodes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys-apart")
-    wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id", F.col("id").alias("root")).distinct(), "classes-apart")
-    rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id"), "classes-shingles")
+    nodes = members.join(common.small(roots, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct()
+    nodes = common.stored(nodes, "members-of-classes")
+    apart = common.stored(nodes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "keys-apart")
+    wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id", "root").distinct(), "members-apart")
+    rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id"), "members-shingles")
     each = rest.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "key"))  # one document's shingles

@@ -416,3 +416,19 @@ def test_parities_differ_no_more_than_sets():
         b = np.union1d(a[: n // 2], b[: n // 3])
         bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.set_bits(a), simhash.set_bits(b), strict=True))
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_classes_are_linked_by_any_members(spark):
+    random = np.random.RandomState(8)
+    line, sets = random.randint(-(1 << 31), 1 << 31, 400), {}
+    for i in range(20):  # drifting edits: neighbours are alike, distant ones are not
+        sets[i] = np.unique(line[8 * i : 8 * i + 100].astype(np.int32)).tolist()
+    order = random.permutation(20).tolist()
+    sets = {n: sets[i] for n, i in enumerate(order)}
+    root = {n: min(m for m, j in enumerate(order) if j // 5 == order[n] // 5) for n in sets}  # four classes of a chain
+    frame = spark.createDataFrame(list(sets.items()), "id long, shingles array<int>")
+    members = spark.createDataFrame([(7, i) for i in sets], "key long, id long")
+    every = {(max(root[a], root[b]), min(root[a], root[b])) for a in sets for b in sets if root[a] != root[b] and simhash.similarity(sets[a], sets[b]) >= 0.8}
+    assert not all(simhash.similarity(sets[a], sets[b]) >= 0.8 for a, b in every)
+    got = {(r.a, r.b) for r in simhash.between_classes(members, spark.createDataFrame(list(root.items()), "node long, root long"), frame, 0.8).collect()}
+    assert got == every
