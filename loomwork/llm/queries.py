@@ -19,12 +19,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested row for each capture: the response or revisit with its request and metadata records and their numbers."""
     path = common.shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     records = common.stored(warc.read(spark, path, blocks=False).drop("block"), "records")
     found = warc.captures(records)
-    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"), "request", "metadata", "n_requests", "n_metadata")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # stored, so that the transactions are assembled although no column of requests and metadata is returned
+    return common.stored(op2_transactions(spark, sf_dir), "transactions").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_warc": op2_warc,
+        "op2_transactions": op2_transactions,
         "op3_language": op3_language,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,

@@ -432,3 +432,17 @@ def test_classes_are_linked_by_any_members(spark):
     assert not all(simhash.similarity(sets[a], sets[b]) >= 0.8 for a, b in every)
     got = {(r.a, r.b) for r in simhash.between_classes(members, spark.createDataFrame(list(root.items()), "node long, root long"), frame, 0.8).collect()}
     assert got == every
+
+
+def test_transactions_are_assembled(spark, monkeypatch):
+    urls = {r.page_id: re.sub(r"[\x00-\x20\x7f]", "", r.url) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url").collect()}
+    rows = queries.queries()["op2_transactions"](spark, DATA).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        assert (r.n_requests, r.n_metadata) == (1, 1)
+        assert (r.request.record_id, r.metadata.record_id) == (f"<urn:capture:{r.page_id}:request>", f"<urn:capture:{r.page_id}:metadata>")
+        assert r.request.block_bytes == len(f"GET {urls[r.page_id]} HTTP/1.1\r\n\r\n".encode())
+    kept, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    assert queries.op2_warc(spark, DATA).count() == len(urls)
+    assert kept["transactions"].where("request IS NOT NULL AND metadata IS NOT NULL").count() == len(urls)
