@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,35 +205,67 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return with_next(docs, run, schema, doc_id, text)
 
 
-def near_copies(prints: DataFrame, least_likeness: float = 0.8, bands: int = 20, width: int = 5, seed: int = 11) -> DataFrame:
-    """(doc_id, class_id) for rows (doc_id, fingerprint): classes of fingerprints that are alike in a band and then verified.
+def digits(fingerprint: Column) -> list[Column]:
+    """The fingerprint's 128 hex digits as 8 longs."""
+    return [F.conv(F.substring(fingerprint, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(BINS // 16)]
 
-    A band is the value of ``width`` sampled bins. In a band's group every fingerprint is held against the group's smallest
-    one; those that are not alike form groups among themselves, until none is left. So no group is paired with itself, and
-    no group waits for one task.
+
+def equal_digits(a: list[Column], b: list[Column]) -> Column:
+    """How many of their 128 digits two fingerprints share."""
+
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    first, *rest = (differ(x, y) for x, y in zip(a, b, strict=True))
+    return F.lit(BINS) - sum(rest, first)
+
+
+def least_equal(least_likeness: float) -> int:
+    """The number of equal digits from which fingerprints have that likeness."""
+    shared = ("1" * n + "2" * (BINS - n) for n in range(BINS + 1))
+    return next(n for n, x in enumerate(shared) if likeness(x, "1" * BINS) >= least_likeness)
+
+
+def classes_of(prints: DataFrame, least_likeness: float = 0.8, bands: int = 20, width: int = 5, seed: int = 11) -> DataFrame:
+    """(fingerprint, class_id, class_size): classes of fingerprints that are alike in a band and then verified.
+
+    A band is the value of ``width`` sampled bins. In a band's group every fingerprint is first held against the group's
+    smallest one; then all that are still in different classes are held against each other. So any two that share a band and
+    are alike are in one class, and a group of near copies is not paired with itself. ``class_id`` is the smallest doc_id of
+    the class and ``class_size`` its number of rows.
     """
-    fps = common.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
+    fps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    fps = common.stored(fps.withColumn("node", F.monotonically_increasing_id()), "prints")
     sampled = np.random.RandomState(seed)
-    keys = [F.concat(F.lit(f"{b}:"), *(F.substring("fingerprint", int(i) + 1, 1) for i in sampled.choice(BINS, width, replace=False))) for b in range(bands)]
-    todo = common.stored(fps.where("fingerprint <> repeat('0', 128)").select("first", "fingerprint", F.explode(F.array(*keys)).alias("band")), "bands")
-    found = None
-
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
-
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    while True:
-        heads = todo.groupBy("band").agg(F.min("fingerprint").alias("head"), F.min_by("first", "fingerprint").alias("head_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-        held = common.stored(todo.join(heads, "band").where("fingerprint <> head").withColumn("alike", alike("fingerprint", "head")), "held")
-        if held.isEmpty():
-            break
-        links = held.where(F.col("alike") >= least_likeness).select(F.col("first").alias("a"), F.col("head_id").alias("b"))
-        found = links if found is None else found.union(links)
-        todo = held.where(F.col("alike") < least_likeness).select("first", "fingerprint", "band")
-    of = fps.select("fingerprint", F.col("first").alias("class_id"))
-    if found is not None:
-        roots = components(found).select(F.col("node").alias("first"), "root")
-        of = fps.join(roots, "first", "left").select("fingerprint", F.coalesce("root", "first").alias("class_id"))
-    return prints.join(of, "fingerprint").select("doc_id", "class_id")
+    keys = [F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(i) + 1, 1) for i in sampled.choice(BINS, width, replace=False))) for b in range(bands)]
+    banded = fps.where("fingerprint <> repeat('0', 128)").select("node", F.explode(F.array(*keys)).alias("band"))
+    heads = common.stored(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "heads")
+    members = common.stored(banded.join(heads, "band"), "bands")
+    names = [f"d{i}" for i in range(BINS // 16)]
+    worded = common.stored(fps.join(members.select("node").distinct(), "node").select("node", *(c.alias(n) for c, n in zip(digits(F.col("fingerprint")), names, strict=True))), "digits")
+    other = worded.select(F.col("node").alias("node_b"), *(F.col(n).alias(f"{n}_b") for n in names))
+    alike = equal_digits([F.col(n) for n in names], [F.col(f"{n}_b") for n in names]) >= least_equal(least_likeness)
+    held = members.where("node <> head").select("node", F.col("head").alias("node_b")).distinct()
+    links = common.stored(held.join(worded, "node").join(other, "node_b").where(alike).select(F.col("node").alias("a"), F.col("node_b").alias("b")), "head-links")
+    roots = common.stored(components(links), "head-roots")
+    classed = common.stored(members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "classed")
+    apart = classed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rest = common.stored(classed.join(apart, "band").join(worded, "node"), "bands-apart")
+    mates = rest.select(*(F.col(c).alias(f"{c}_b") for c in rest.columns))
+    pairs = rest.join(mates, (F.col("band") == F.col("band_b")) & (F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & alike)
+    links = links.union(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
+    of = common.stored(fps.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "print-roots")
+    classes = of.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
+    return of.join(classes, "root").select("fingerprint", "class_id", "class_size")
+
+
+def with_classes(rows: DataFrame, **options) -> DataFrame:
+    """``rows`` (doc_id, fingerprint and more) with the class of each row's fingerprint, and the rows in it."""
+    return rows.join(classes_of(rows.select("doc_id", "fingerprint"), **options), "fingerprint").select(*rows.columns, "class_id", "class_size")
+
+
+def near_copies(prints: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id) for rows (doc_id, fingerprint)."""
+    return with_classes(prints, **options).select("doc_id", "class_id")

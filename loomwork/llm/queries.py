@@ -67,7 +67,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_prints.with_edits(table(spark, sf_dir, "documents"))
+    return edit_prints.with_classes(common.stored(edit_prints.with_edits(table(spark, sf_dir, "documents")), "edits"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,3 +446,53 @@ def test_transactions_are_assembled(spark, monkeypatch):
     monkeypatch.setattr(common, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
     assert queries.op2_warc(spark, DATA).count() == len(urls)
     assert kept["transactions"].where("request IS NOT NULL AND metadata IS NOT NULL").count() == len(urls)
+
+
+def drifted(rng, n):
+    """Fingerprints of a chain, each a few digits from the one before, and of its neighbours' surroundings."""
+    out = ["".join(rng.choice("0123456789abcdef") for _ in range(128))]
+    while len(out) < n:
+        x = list(rng.choice(out[-6:]))
+        for i in rng.sample(range(128), rng.randint(10, 34)):
+            x[i] = rng.choice("0123456789abcdef")
+        out.append("".join(x))
+    return out
+
+
+def test_bands_miss_no_alike_pair(spark):
+    rng = random.Random(9)
+    prints = [p for _ in range(6) for p in drifted(rng, 25)]
+    rng.shuffle(prints)
+    rows = list(enumerate(prints)) + [(900, prints[3]), (None, prints[4]), (901, "0" * 128)]
+    sampled = np.random.RandomState(11)
+    at = [[int(k) for k in sampled.choice(128, 5, replace=False)] for _ in range(20)]
+    alike = [(a, b) for a, b in itertools.combinations(range(150), 2) if edit_prints.likeness(prints[a], prints[b]) >= 0.8]
+    meeting = [(a, b) for a, b in alike if any(all(prints[a][k] == prints[b][k] for k in band) for band in at)]
+    want = classes(meeting, range(150))
+    got = {r.doc_id: r for r in edit_prints.with_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert {i: got[i].class_id for i in range(150)} == want
+    assert (got[900].class_id, got[None].class_id) == (want[3], want[4])
+    assert got[901].class_id == 901
+    size = {r: sum(x == r for x in want.values()) + (r == want[3]) + (r == want[4]) for r in want.values()}
+    assert all(got[i].class_size == size[want[i]] for i in range(150))
+    assert len(meeting) >= 0.95 * len(alike)  # recall of the bands against brute force
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_equal_digits_decide_as_likeness(spark, least):
+    rng = random.Random(10)
+    prints = drifted(rng, 40)
+    pairs = spark.createDataFrame([(a, b) for a in prints for b in prints], "a string, b string")
+    n = edit_prints.equal_digits(edit_prints.digits(F.col("a")), edit_prints.digits(F.col("b")))
+    for r in pairs.withColumn("n", n).collect():
+        assert r.n == sum(x == y for x, y in zip(r.a, r.b, strict=True))
+        assert (r.n >= edit_prints.least_equal(least)) == (edit_prints.likeness(r.a, r.b) >= least)
+
+
+def test_edit_prints_are_classed_in_the_query(spark, docs):
+    rows = {r.doc_id: r for r in queries.op9_edit_prints(spark, DATA).collect()}
+    assert len(rows) == docs.count()
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(rows), 2) if rows[a].fingerprint == rows[b].fingerprint or sum(map(str.__eq__, rows[a].fingerprint, rows[b].fingerprint)) >= edit_prints.least_equal(0.8)]
+    want = classes(pairs, rows)
+    assert sum(rows[a].class_id == rows[b].class_id for a, b in pairs) >= 0.95 * len(pairs)
+    assert all(want[r.class_id] == want[i] for i, r in rows.items())
