@@ -1,13 +1,13 @@
 """Operator 8, BPE encoding and decoding by forced-boundary splitting.
 
-No merge can join two bytes that stand side by side in no token of the vocabulary, so a text may be cut between them.
-A cut must also leave the pre-tokenizer's matches as they are. That holds before ASCII white space that follows
-anything but white space (a match of the pattern begins there whatever stands before, and no look-ahead of the left part
-sees the cut), and between two letters. So each text falls into fragments, at the first kind of cut everywhere and at the
-second inside long fragments; fragments are encoded on their own, once for each worker's bounded cache, and their ids put
-together again. Decoding puts the bytes of the ids' tokens together and reads them as UTF-8.
-
-Nulls count as empty texts (no ids); repeated rows are encoded each; texts of any length are encoded whole.
+No merge can join two bytes that stand side by side in no token of the vocabulary, so a text may be cut between them, if the
+pre-tokenizer's matches stay as they are. Every text, of any length, is cut at all such places: :func:`kinds` tells letters,
+numbers, other signs and white space apart, and :func:`safe` says between which of them a cut leaves the matches alone. The
+fragments are encoded on their own, once while a worker's bounded cache has them, and their ids put together again. Decoding puts
+the bytes of the ids' tokens together and reads them as UTF-8.
+
+Nulls count as empty texts (no ids); repeated rows are encoded each; texts of any length are encoded whole; an empty table gives
+no rows. A column that has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
@@ -15,17 +15,64 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
+import unicodedata
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Fragments in a worker's cache before it starts anew, and the characters from which a fragment is cut between letters too.
-CACHE_SIZE, LONG = 300_000, 200
-FRAGMENT = re.compile(r"[\x20\x09-\x0D]+[^\x20\x09-\x0D]*|[^\x20\x09-\x0D]+")
-#: White space outside ASCII, after which no cut is made.
-OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A worker's cache has two generations of so many fragments, or bytes of fragments and their ids; longer fragments are not kept.
+CACHE_SIZE, CACHE_BYTES, LONG = 100_000, 8_000_000, 64
+#: Fragments that the library encodes at once.
+AT_ONCE = 5_000
+UNKNOWN, LETTER, NUMBER, OTHER, APOSTROPHE, SPACE, DOUBTFUL = range(7)
+#: Code points whose kind all versions of Unicode agree on: up to Cyrillic, punctuation, Kana, CJK, Hangul and full-width forms.
+STABLE = ((0, 0x500), (0x2010, 0x2028), (0x2030, 0x205F), (0x3001, 0x3040), (0x3041, 0x3097), (0x309B, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF01, 0xFF5F))
+#: Unicode's white space.
+WHITE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Those that some libraries take for white space: no cut beside them.
+PERHAPS_WHITE = (*range(0x1C, 0x20), 0x180E, 0x200B, 0xFEFF)
+
+
+def safe() -> np.ndarray:
+    """safe()[a, b]: a cut between characters of kinds a and b leaves the pre-tokenizer's matches as they are.
+
+    A match never goes on from another sign into white space, so a cut before white space is safe; one after it is not, as the
+    pattern looks ahead there. Between signs of two kinds every match ends, but for apostrophes: before letters they may open
+    a contraction, and after other signs they belong to a run that would not open one. Inside a run of one kind, both parts
+    match as runs.
+    """
+    out = np.zeros((7, 7), bool)
+    plain = [LETTER, NUMBER, OTHER]
+    out[np.ix_([UNKNOWN, *plain, APOSTROPHE], [SPACE])] = True
+    out[np.ix_(plain, plain)] = True
+    out[[LETTER, NUMBER], APOSTROPHE] = True
+    out[APOSTROPHE, [NUMBER, OTHER]] = True
+    return out
+
+
+SAFE = safe()
+
+
+@cache
+def kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, first byte and last byte (of UTF-8) of the characters below U+10000; the last place is for all others."""
+    kind, first, last = (np.zeros(0x10001, np.uint8) for _ in range(3))
+    for lo, hi in STABLE:
+        for i in range(lo, hi):
+            category = unicodedata.category(chr(i))
+            kind[i] = {"L": LETTER, "N": NUMBER}.get(category[0], UNKNOWN if category == "Cn" else OTHER)
+    kind[ord("'")] = APOSTROPHE
+    kind[list(WHITE)] = SPACE
+    kind[list(PERHAPS_WHITE)] = DOUBTFUL
+    for i in (*range(0xD800), *range(0xE000, 0x10000)):
+        data = chr(i).encode()
+        first[i], last[i] = data[0], data[-1]
+    return kind, first, last
 
 
 def byte_characters() -> dict[str, int]:
@@ -55,48 +102,54 @@ class Codec:
         self.token_bytes |= {i: t.encode() for t, i in self.added.items()}
         #: joined[a, b]: some token has byte a before byte b; elsewhere a cut is certain.
         self.joined = np.zeros((256, 256), bool)
-        for b in (np.frombuffer(t, np.uint8) for i, t in self.token_bytes.items() if i not in self.added.values()):
+        added = set(self.added.values())
+        for b in (np.frombuffer(t, np.uint8) for i, t in self.token_bytes.items() if i not in added):
             self.joined[b[:-1], b[1:]] = True
-        #: Pairs of a byte and ASCII white space after it that some token has: where they meet, no cut is made.
-        self.uncut = [bytes((a, b)) for b in common.SPACES for a in range(256) if self.joined[a, b] and a not in common.SPACES]
+        kind = kinds()[0][:128]
+        self.ascii_cuts = SAFE[kind[:, None], kind[None, :]] & ~self.joined[:128, :128]
         self.at_added = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.cached_bytes = 0
 
     def fragments(self, text: str) -> list[str]:
-        """``text`` (without added tokens) at its certain cuts before white space."""
-        parts = FRAGMENT.findall(text)
-        if (self.uncut and any(p in text.encode() for p in self.uncut)) or OTHER_SPACE.search(text):
-            whole: list[str] = []
-            for p in parts:
-                last = whole[-1][-1] if whole else ""
-                if last and (last.isspace() or last.encode()[-1:] + p[:1].encode() in self.uncut):
-                    whole[-1] += p
+        """``text`` (without added tokens) at all of its certain cuts."""
+        kind, first, last = kinds()
+        if text.isascii():
+            codes = np.frombuffer(text.encode(), np.uint8)
+            cuts = self.ascii_cuts[codes[:-1], codes[1:]]
+        else:
+            codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x10000)
+            of = kind[codes]
+            cuts = SAFE[of[:-1], of[1:]] & ~self.joined[last[codes[:-1]], first[codes[1:]]]
+        if "'" in text:  # both letters of a contraction stay together
+            letter = np.flatnonzero(codes[:-2] == 39) + 1
+            cuts[letter[kind[codes[letter + 1]] == LETTER]] = False
+        ends = (np.flatnonzero(cuts) + 1).tolist()
+        return [text[a:b] for a, b in pairwise([0, *ends, len(text)])]
+
+    def learn(self, fragments: set[str]) -> list[str]:
+        """Ids of fragments that the cache lacks; those of the long ones, which are returned, are not to be kept.
+
+        A full cache becomes the older generation; what is asked for again moves back from there, the rest goes with it.
+        """
+        if len(self.cache) > CACHE_SIZE or self.cached_bytes > CACHE_BYTES:
+            self.cache, self.older, self.cached_bytes = {}, self.cache, 0
+        new = []
+        for x in fragments:
+            if x not in self.cache:
+                if ids := self.older.get(x):
+                    self.cache[x] = ids
+                    self.cached_bytes += len(x) + len(ids)
                 else:
-                    whole.append(p)
-            return whole
-        return parts
-
-    def between_letters(self, fragment: str) -> list[str]:
-        """A long fragment at its certain cuts between two letters."""
-        cuts, at = [], 0
-        for i in range(1, len(fragment)):
-            a, b = fragment[i - 1], fragment[i]
-            if a.isalpha() and b.isalpha() and not self.joined[a.encode()[-1], b.encode()[0]]:
-                cuts.append(fragment[at:i])
-                at = i
-        return [*cuts, fragment[at:]]
-
-    def learn(self, fragments: set[str]) -> None:
-        """Ids of fragments that the cache lacks."""
-        if len(self.cache) > CACHE_SIZE:
-            self.cache.clear()
-        if new := list(fragments - self.cache.keys()):
-            cut = [self.between_letters(x) if len(x) > LONG else [x] for x in new]
-            ids = [x.ids for x in self.tokenizer.encode_batch([y for x in cut for y in x], add_special_tokens=False)]
-            at = 0
-            for x, parts in zip(new, cut, strict=True):
-                self.cache[x] = b"".join(np.array(i, "<u4").tobytes() for i in ids[at : at + len(parts)])
-                at += len(parts)
+                    new.append(x)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            for x, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                i = found.ids
+                self.cache[x] = ids = struct.pack(f"<{len(i)}I", *i)
+                self.cached_bytes += (len(x) + len(ids)) * (len(x) <= LONG)
+        return [x for x in new if len(x) > LONG]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -104,9 +157,12 @@ class Codec:
         for t in texts:
             sections = [t or ""] if not self.at_added or not t or not any(a in t for a in self.added) else self.at_added.split(t)
             split.append([(s, None) if s in self.added else (s, self.fragments(s)) for s in sections if s])
-        self.learn({f for sections in split for _, fragments in sections for f in fragments or ()})
+        long = self.learn({f for sections in split for _, fragments in sections for f in fragments or ()})
         get = self.cache.__getitem__
-        return [b"".join(self.added[s].to_bytes(4, "little") if fragments is None else b"".join(map(get, fragments)) for s, fragments in sections) for sections in split]
+        out = [b"".join(self.added[s].to_bytes(4, "little") if fragments is None else b"".join(map(get, fragments)) for s, fragments in sections) for sections in split]
+        for x in long:
+            del self.cache[x]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +23,16 @@ Batch = list[list]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a session with a local master gets one of its own; on a cluster there is none that all executors see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
             made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get()
@@ -33,8 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; deleted with the :func:`scratch` block in which it is asked for, if there is one."""
+    path = f"{shared_folder(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
+    if _blocks():
+        _blocks()[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +54,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    return _open.blocks
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are stored inside the block are deleted at its end.
+
+    The block gets a function like :func:`stored` whose tables outlive it; they belong to the block around it, if any.
+    """
+    _blocks().append(own := [])
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        _blocks().pop()
+        try:
+            return stored(df, name)
+        finally:
+            _blocks().append(own)
+
+    try:
+        yield result
+    finally:
+        _blocks().pop()
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, stored; tables that it has stored on the way are deleted."""
+    with scratch(spark) as result:
+        return result(make(), name)
+
+
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with underscores before it until no name in ``taken`` is the same (case aside)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has no more than ``most_rows`` rows, else unchanged for a shuffled join.
 
@@ -83,16 +140,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[Batch], Iterable[Bat
     return df.mapInArrow(run, schema)
 
 
-def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[list]]], fields: list[tuple[str, str]], keep: list[str] | None = None, slice_chars: int = 4_000_000) -> DataFrame:
+def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[list]]], fields: list[tuple[str, str]], keep: list[str] | None = None, slice_chars: int = 1_000_000) -> DataFrame:
     """``df``'s columns ``keep`` (all by default) with the columns ``fields`` that the function from ``make`` gives for its texts.
 
-    The function gets lists of texts (some may be None) of about ``slice_chars`` characters together, or a single longer one;
+    The function gets lists of texts (some may be None) of about ``slice_chars`` bytes together, or a single longer one;
     kept columns pass by without being turned into Python objects. A kept column with the name of an added one gives way.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in {n for n, _ in fields}]
+    names = {n.lower() for n, _ in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
     schema = T.StructType([*(df.schema[c] for c in keep), *added])
-    source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(free_name("text_to_map", *keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

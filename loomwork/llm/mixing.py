@@ -10,7 +10,8 @@ at ``epochs`` times its source's size, and the excess goes to the others by weig
 sources are taken by size for their weight until the rest can bear its share).
 
 A null text has size 0. Rows with the same id have the same key: where the cut falls on them, they share what is left
-evenly. An empty table gives no rows.
+evenly. An empty table gives no rows. The table of sources, one row each, is in one task; a source's documents are not. Other
+columns, whatever their names, do not matter and stay in :func:`mixture`.
 """
 
 from __future__ import annotations
@@ -67,9 +68,11 @@ def cuts(sizes: DataFrame, of: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, key) of every row, and a row for each source with its target and cut."""
-    sizes = common.stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(text).alias("size"), random_key(doc_id, seed).alias("key")), "mix-sizes")
-    of = common.stored(targets(sizes, weights, share, epochs), "mix-targets")
-    return sizes, common.stored(cuts(sizes, of), "mix-cuts")
+    with common.scratch(docs.sparkSession) as result:
+        rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(text).alias("size"), random_key(doc_id, seed).alias("key"))
+        sizes = result(rows, "mix-sizes")
+        of = common.stored(targets(sizes, weights, share, epochs), "mix-targets")
+        return sizes, result(cuts(sizes, of), "mix-cuts")
 
 
 def words_taken() -> Column:
@@ -88,13 +91,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The mix itself: ``docs``' rows once for each whole time that they are taken, and the words taken of a cut document."""
     _, of = plan(docs, doc_id=doc_id, text=text, source=source, seed=seed, **options)
-    of = common.small(of.select(F.struct("source", "epochs", "cut", "cut_words", "same").alias("__of")), BROADCAST_ROWS)
-    rows = docs.withColumns({"__size": size_of(text), "__key": random_key(doc_id, seed)}).join(of, F.col(f"`{source}`").eqNullSafe(F.col("__of.source")))
-    taken = F.expr("""__of.epochs * __size + CASE WHEN __of.cut IS NULL OR __key > __of.cut THEN 0 WHEN __key < __of.cut THEN __size
-                      ELSE least(__size, floor(__of.cut_words / __of.same)) END""").cast("long")
-    rows = rows.withColumn("__taken", taken).where("__taken > 0")
-    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size"))))
-    rows = rows.withColumn("__copy", copy).withColumn("__words", F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
-    cut = F.when(F.col("__words") < F.col("__size"), first).otherwise(F.col(f"`{text}`"))
+    names = ("of", "size", "key", "taken", "copy", "words")
+    own = {n: common.free_name(f"mix_{n}", *docs.columns) for n in names}
+    of_, size, key, taken, copy, words = (F.col(own[n]) for n in names)
+    of = common.small(of.select(F.struct("source", "epochs", "cut", "cut_words", "same").alias(own["of"])), BROADCAST_ROWS)
+    rows = docs.withColumns({own["size"]: size_of(text), own["key"]: random_key(doc_id, seed)}).join(of, F.col(f"`{source}`").eqNullSafe(of_["source"]))
+    part = F.when(of_["cut"].isNull() | (key > of_["cut"]), F.lit(0)).when(key < of_["cut"], size).otherwise(F.least(size, F.floor(of_["cut_words"] / of_["same"])))
+    rows = rows.withColumn(own["taken"], (of_["epochs"] * size + part).cast("long")).where(taken > 0)
+    rows = rows.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.ceil(taken / size))))
+    rows = rows.withColumn(own["words"], F.least(size, taken - (copy - 1) * size))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0)), F.lit(1), words.cast("int")), "")
+    cut = F.when(words < size, first).otherwise(F.col(f"`{text}`"))
     return rows.select(*(cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -1,15 +1,19 @@
 """Operator 1, quality rules as a short-circuit cascade.
 
-Each rule says of a text's measures whether it rejects the text. On a bounded sample (``sample_rows`` documents) every
-rule is timed alone and its verdicts are noted together; the cascade then takes, again and again, the rule with the most
-rejections among the texts that are left, per second. Over the corpus a text goes through the rules in that order up to
-the first that rejects it. The order decides on time alone: a text is kept if no rule rejects it.
-
-A null text has no words. Texts of any length are measured whole; repeated rows are judged each.
+Each rule says of a text's measures whether it rejects the text. The base measures are computed for every text; on a bounded
+sample (``sample_rows`` documents) each rule is timed after them, so that its cost is what the cascade pays for it, and its
+verdicts are noted. The cascade then takes, again and again, the rule with the most rejections among the texts that are left,
+per second. Over the corpus a text goes through the rules in that order up to the first that rejects it. The order decides on
+time alone: a text is kept if no rule rejects it.
+
+A null text has no words and fails the base rules. Texts of any length are measured whole; repeated rows are judged each; an
+empty table gives no rows, and rules in their given order. A column that has the name of an added one gives way to it
+(:func:`cascade`), or stays as it was (:func:`accepted`).
 """
 
 from __future__ import annotations
 
+import copy
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -134,17 +138,28 @@ def ordered(names: list[str], seconds: list[float], verdicts: dict[int, int]) ->
     return out
 
 
+def base_measures(t: Text) -> tuple:
+    return t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, any(r.rejects(t) for r in BASE)
+
+
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, key: str = "doc_id") -> list[Estimate]:
-    """The order of the cascade with its grounds, from about ``sample_rows`` documents."""
+    """The order of the cascade with its grounds, from about ``sample_rows`` documents, read once.
+
+    A rule's cost is the time that it takes on a text whose base measures are there already. Texts that fail the base rules
+    do not come to the cascade and count for nothing.
+    """
 
     def make():
         def measure(columns):
             spent, found, n = [0] * len(rules), Counter(), 0
             for t in columns[0]:
+                measured = Text(t)
+                if base_measures(measured)[-1]:
+                    continue
                 verdict = 0
                 for i, rule in enumerate(rules):
-                    fresh, began = Text(t), time.perf_counter_ns()
-                    verdict |= bool(rule.rejects(fresh)) << i
+                    own, began = copy.copy(measured), time.perf_counter_ns()
+                    verdict |= bool(rule.rejects(own)) << i
                     spent[i] += time.perf_counter_ns() - began
                 found[verdict] += 1
                 n += 1
@@ -153,11 +168,12 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
         return measure
 
     sample = common.sample_by_hash(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "key", sample_rows, "quality").select("text")
-    seen = common.map_batches(sample, make, [("rows", "long"), ("spent", "array<long>"), ("verdict", "long"), ("n", "long")])
-    costs = [F.sum(F.try_element_at("spent", F.lit(i + 1))).alias(f"c{i}") for i in range(len(rules))]
-    whole = seen.agg(F.sum("rows").alias("rows"), *costs).first()
+    with common.scratch(docs.sparkSession):
+        seen = common.stored(common.map_batches(sample, make, [("rows", "long"), ("spent", "array<long>"), ("verdict", "long"), ("n", "long")]), "quality-sample")
+        costs = [F.sum(F.try_element_at("spent", F.lit(i + 1))).alias(f"c{i}") for i in range(len(rules))]
+        whole = seen.agg(F.sum("rows").alias("rows"), *costs).first()
+        verdicts = {r["verdict"]: r["n"] for r in seen.where("verdict IS NOT NULL").groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     rows = whole["rows"] or 0
-    verdicts = {r["verdict"]: r["n"] for r in seen.where("verdict IS NOT NULL").groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     return ordered([r.name for r in rules], [(whole[f"c{i}"] or 0) / 1e9 / max(rows, 1) for i in range(len(rules))], verdicts)
 
 
@@ -176,12 +192,19 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
         def judge(texts):
             out: list[list] = [[] for _ in BASE_FIELDS]
             for t in map(Text, texts):
-                failed = any(r.rejects(t) for r in BASE)
-                row = (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not failed and not any(r.rejects(t) for r in order))
-                for column, value in zip(out, row, strict=True):
+                row = base_measures(t)
+                for column, value in zip(out, (*row, not row[-1] and not any(r.rejects(t) for r in order)), strict=True):
                     column.append(value)
             return out
 
         return judge
 
     return common.map_texts(docs, text, make, [(names + n, t) for n, t in BASE_FIELDS], keep=keep)
+
+
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the cascade keeps, with their columns; options as of :func:`cascade`."""
+    names = "q_"
+    while any(c.lower().startswith(names) for c in docs.columns):
+        names = f"_{names}"
+    return cascade(docs, keep=docs.columns, names=names, **options).where(F.col(f"{names}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,16 +7,23 @@ and every bit of it, the segment without that bit; equal variants are joined and
 A variant that many fingerprints share (a large group of near copies) would give a pair for any two of them. Up to
 ``MOST_PAIRED`` members are paired; beyond, an exact way needs no pairs: two fingerprints differ in at most
 two bits if and only if some 64-bit value differs from both in at most one, so every member gives the 65 values around it
-and the members that share a value are linked to the smallest of them.
+and the members that share a value are linked to the smallest of them. Variants have 31 bits of content, so from some 10^10
+distinct fingerprints on most of them are shared by chance and most fingerprints go that way too: still exact, with 65 rows each.
 
 Null texts and texts without words have the fingerprint zero. Equal fingerprints are one node, so copies are never paired.
-Repeated rows and ids are rows of their own; a group's id is the smallest doc_id that is not null.
+Repeated rows and ids are rows of their own; a group's id is the smallest doc_id that is not null. An empty table gives no rows;
+other columns do not matter.
+
+Near copies by Jaccard similarity (:func:`classes`, :func:`near_copies`, :func:`without_copies`) use wider signatures of the same
+kind and then find exactly what those miss.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -104,22 +111,27 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 
 def groups(docs: DataFrame, width: int = 3, distance: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every row of ``docs``."""
-    rows = common.stored(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, keep=["doc_id"]), "fingerprints")
-    fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = common.stored(components(links(fps.select("fp"), distance)), "roots")
-    least = fps.join(roots, fps.fp == roots.node).groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = common.stored(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "of-print")
+    alone = partial(common.stored_alone, docs.sparkSession)
+    with common.scratch(docs.sparkSession) as result:
+        rows = result(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, keep=["doc_id"]), "fingerprints")
+        fps = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+        pairs = alone(lambda: links(fps.select("fp"), distance), "print-links")
+        roots = alone(lambda: components(pairs), "roots")
+        least = fps.join(roots, fps.fp == roots.node).groupBy("root").agg(F.min("first").alias("component_id"))
+        linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+        of = result(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "of-print")
     # rows of a fingerprint that very many share are not dealt by it
     hot = common.small(of.where(F.col("n") >= HOT_ROWS).drop("n"), BROADCAST_ROWS)
     rest = rows.join(hot.select("fp"), "fp", "left_anti").join(of.drop("n"), "fp")
     return rows.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
-#: Wide signatures of near_copies: fingerprints of 64 bits, bits of a segment, and its least certain bits that may differ.
-WORDS, SEGMENT, UNSURE = 8, 32, 8
-#: Members of a key's group up to which all pairs are candidates; beyond, each is held against the group's head.
+#: Wide signatures of near copies: fingerprints of 64 bits, bits of a segment, and its least certain bits that get a variant.
+WORDS, SEGMENT, UNSURE = 8, 32, 4
+#: Members of a signature's group up to which all pairs are candidates; beyond, each is held against the group's head.
 MOST_COMPARED = 6
+#: Buckets in which the shingles of all texts are counted, so that prefixes take the rarest.
+BUCKET_BITS = 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -141,137 +153,206 @@ def wide_keys(text: str | None, width: int) -> list[int]:
     return np.concatenate([(segment[:, 0] * 64 << 32) | value, without.ravel()]).tolist()
 
 
-def shingle_set(text: str | None, width: int) -> list[int]:
-    """The text's distinct shingles as sorted 32-bit hashes."""
-    return np.unique(shingle_hashes(text, width).astype(np.uint32).view(np.int32)).tolist()
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The text's distinct shingles as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, width))
 
 
-def similarity(a: list[int], b: list[int]) -> float:
+def similarity(a, b) -> float:
     """Jaccard similarity of two shingle sets; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def linked(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ``candidates`` whose shingle sets have a Jaccard similarity of ``least``."""
+def set_bits(shingles: np.ndarray) -> list[int]:
+    """512 bits of a shingle set, each the parity of the shingles that fall on it.
 
-    @F.pandas_udf("double")
-    def jaccard(a, b):
-        import pandas as pd
+    A shingle that only one of two sets has turns one bit, so as many bits as two of these differ in, the sets differ in
+    at least.
+    """
+    odd = np.bincount((shingles & np.uint64(WORDS * BITS - 1)).astype(np.int64), minlength=WORDS * BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
+def shared_least(n: Column | int, least: float):
+    """The fewest shingles that two sets of ``n`` together share if their similarity is ``least``."""
+    return F.ceil(F.lit(least / (1 + least)) * n - F.lit(1e-9))
 
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    held = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+def linked(candidates: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ``candidates`` whose whole shingle sets have a Jaccard similarity of ``least``."""
+    wanted = common.stored(candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct(), "to-verify")
+    sets = common.map_texts(texts.join(common.small(wanted, BROADCAST_ROWS), "node", "left_semi"), "text", lambda: lambda texts: [[shingle_set(t, width).view(np.int64).tolist() for t in texts]], [("shingles", "array<long>")], keep=["node"])
+    sets = common.stored(sets, "shingles")
+    held = candidates.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     # sizes alone rule most unlike pairs out
     held = held.where(F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
-    return held.where(jaccard("x", "y") >= least).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return held.where(both / (F.size("x") + F.size("y") - both) >= F.lit(least)).select("a", "b")
 
 
-def compared(members: DataFrame, large: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, rest) of groups (key, id): all pairs of up to ``large`` members, and each of more against its group's head.
+def by_signature(texts: DataFrame, key_width: int) -> DataFrame:
+    """Candidates (a, b): texts that share a signature.
 
-    The head is the member whose hash with the key is smallest, so that it differs from key to key. ``rest`` are the members
-    (key, id) of the groups of more than ``large``.
+    All pairs of up to ``MOST_COMPARED`` members of a signature's group, and each of more against the group's head. The head
+    is the member whose hash with the signature is smallest, so that it differs from group to group.
     """
-    head = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
-    shared = common.stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), head.alias("head")).where("n > 1").select("key", "n", "a", "b", F.col("head.id").alias("head")), "keys-shared")
+    keyed = common.map_texts(texts, "text", lambda: lambda texts: [[wide_keys(t, key_width) for t in texts]], [("keys", "array<long>")], keep=["node"])
+    members = common.stored(keyed.select("node", F.explode("keys").alias("key")), "keys")
+    head = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("a"), head.alias("head")).where("n > 1")
+    shared = common.stored(groups.select("key", "n", "a", "b", F.col("head.node").alias("head")), "keys-shared")
     # two alone are read off their group: the least and the greatest
     twos = shared.where("n = 2").select("a", "b")
     more = common.stored(members.join(common.small(shared.where("n > 2").select("key", "n", "head"), BROADCAST_ROWS), "key"), "keys-members")
-    few = more.where(F.col("n") <= large).select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a > b").select("a", "b")
-    many = more.where(F.col("n") > large)
-    stars = many.where("id <> head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-    return twos.union(pairs).union(stars).where("a <> b").distinct(), many.select("key", "id")
+    few = more.where(F.col("n") <= MOST_COMPARED).select("key", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a > b").select("a", "b")
+    stars = more.where((F.col("n") > MOST_COMPARED) & (F.col("node") != F.col("head"))).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    return twos.union(pairs).union(stars).where("a <> b").distinct()
+
+
+def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts have a shingle of each of 2^BUCKET_BITS buckets: a table of fixed size, summed over all texts."""
+    import pyarrow as pa
+
+    def run(batches):
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(counts, (shingle_set(t.as_py(), width) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        found = np.flatnonzero(counts)
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def rarest_first(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles in an order that all texts share: those of rare buckets first."""
+    return shingles[np.lexsort((shingles, counts[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))]
+
+
+def by_rare_shingles(texts: DataFrame, roots: DataFrame, width: int, least: float) -> DataFrame:
+    """Candidates (a, b) between different classes of ``roots``: all pairs whose shingle sets have a similarity of ``least``, and some more.
+
+    Of sets in one order, the first shingle that two alike ones share is among the first n - ceil(least * n) + 1 of the larger
+    and among the first n - ceil(2 * least / (1 + least) * n) + 1 of the smaller. Texts are joined by those; the places of the
+    shared shingle, the sizes and the parities of the sets (:func:`set_bits`) rule pairs out in the join. Classes that
+    signatures have found are not paired with themselves: shingles of one class alone are left out, and a shingle's largest
+    class meets the others only. Nothing is capped; a shingle that many classes share costs comparisons of a few longs, in
+    tasks that adaptive execution splits.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, width))
+
+    def make():
+        counts = shared.value
+
+        def first(texts):
+            out: list[list] = [[], [], []]
+            for t in texts:
+                s = shingle_set(t, width)
+                n = len(s)
+                prefix = rarest_first(s, counts)[: n - int(np.ceil(least * n - 1e-9)) + 1] if n else s
+                for column, value in zip(out, (n, prefix.view(np.int64).tolist(), set_bits(s)), strict=True):
+                    column.append(value)
+            return out
+
+        return first
+
+    prefixes = common.stored(common.map_texts(texts, "text", make, [("n", "int"), ("prefix", "array<long>"), ("bits", "array<long>")], keep=["node"]), "prefixes")
+    shared.unpersist()
+    classed = common.stored(prefixes.join(common.small(roots, BROADCAST_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes-classed")
+    rows = classed.select("node", "root", "n", F.posexplode("prefix").alias("place", "key"))
+    apart = common.stored(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "keys-apart")
+    rows = common.stored(rows.join(common.small(apart, BROADCAST_ROWS), "key"), "rare-shingles")
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    bits = classed.select("node", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)))
+    rows = rows.join(common.small(common.stored(main, "main-classes"), BROADCAST_ROWS), "key").withColumn("in_main", F.col("root") == F.col("main")).drop("main")
+    rows = common.stored(rows.join(bits, "node"), "rare-shingles-bits")
+    of_least = F.col("place") < F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-9)) + 1
+    smaller = rows.where(of_least).select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
+    both = shared_least(F.col("n") + F.col("n_b"), least)
+    differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_b"))))
+    on = (F.col("key") == F.col("key_b")) & (F.col("root") != F.col("root_b")) & ((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") > F.col("node_b"))))
+    on &= (F.col("n_b") >= F.lit(least) * F.col("n") - F.lit(1e-9)) & (F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) >= both) & (differ <= F.col("n") + F.col("n_b") - 2 * both)
+    pairs = rows.join(smaller.where("NOT in_main_b"), on).union(rows.where("NOT in_main").join(smaller.where("in_main_b"), on))
+    return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
 
 
-def set_bits(shingles) -> list[int]:
-    """512 bits of a shingle set, each the parity of the shingles that fall on it.
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, node, other, text) of the rows with a text: ``node`` is the text's 64-bit hash, ``other`` a second one."""
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("node"), F.xxhash64(F.lit("other"), F.col(f"`{text}`")).alias("other"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
 
-    A shingle that only one of two sets has turns one bit, so as many bits as two of these differ in, the sets differ in
-    at least.
-    """
-    odd = np.bincount(np.asarray(shingles, np.int64) & (WORDS * BITS - 1), minlength=WORDS * BITS) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
 
+def classes(docs: DataFrame, least: float = 0.8, width: int = 5, key_width: int = 2, doc_id: str = "doc_id", text: str = "text", signatures_alone: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ids, classes): ``id`` and ``node`` of every row with a text, and ``root``, the class, of every node.
 
-def between_classes(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """All links between classes that a large group of ``members`` (key, id) still holds apart, as pairs of class ids.
+    A node is a text, not an id, so that repeated ids with different texts stay apart. Signatures come first: segments of a
+    512-bit SimHash of ``key_width``-word shingles, whole or without one of the bits that are least certain (those that edits
+    turn first). Texts that share one are candidates, verified by their whole sets of ``width``-word shingles (64-bit hashes).
+    What signatures miss is found exactly: :func:`by_rare_shingles` proposes every pair of ``least`` that is still in two
+    classes (not with ``signatures_alone``, which shows what signatures find).
 
-    Two classes are linked if any member of one is alike to any of the other, so every member takes part, not its class's
-    root alone. Sets of n shingles that are alike share one of the n - ceil(least * n) + 1 shingles that are rarest among
-    these members. So the members of different classes are joined by those shingles. Of a pair the join gives only what its sizes, the places of the shared
-    shingle and the parities of both sets (:func:`set_bits`) do not rule out, and whole sets verify it. Nothing is capped;
-    a shingle that many share costs comparisons of a few longs, in tasks that adaptive execution splits.
+    Should two texts have one 64-bit hash (``other`` tells), they take no part.
     """
-
-    @F.pandas_udf("array<long>")
-    def bits(shingles):
-        import pandas as pd
-
-        return pd.Series([set_bits(x) for x in shingles])
-
-    nodes = members.join(common.small(roots, BROADCAST_ROWS), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root")).distinct()
-    nodes = common.stored(nodes, "members-of-classes")
-    apart = common.stored(nodes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "keys-apart")
-    wanted = common.stored(nodes.join(common.small(apart, BROADCAST_ROWS), "key", "left_semi").select("id", "root").distinct(), "members-apart")
-    rest = common.stored(sets.join(common.small(wanted, BROADCAST_ROWS), "id"), "members-shingles")
-    each = rest.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("times"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("times", "key"))  # one document's shingles
-    first = each.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1)
-    parities = rest.select("id", "root", bits("shingles").alias("bits")).select("id", "root", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)))
-    first = common.stored(first.where("times > 1").select("key", "id", "n", "rank").join(parities, "id"), "rare-shingles")
-    other = first.select("key", *(F.col(c).alias(f"{c}_b") for c in first.columns if c != "key"))
-    both = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_b")) - F.lit(1e-9))  # what alike sets share
-    differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_b"))))
-    open_ = (F.col("key") == F.col("key_b")) & (F.col("id") > F.col("id_b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") >= F.lit(least) * F.greatest("n", "n_b") - F.lit(1e-9))
-    open_ &= (1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b")) >= both) & (differ <= F.col("n") + F.col("n_b") - 2 * both)
-    pairs = common.stored(first.join(other.withColumnRenamed("key", "key_b"), open_).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct(), "open-pairs")
-    found = linked(pairs, rest.select("id", "shingles"), least)
-    of = wanted.select("id", "root")
-    found = found.join(of.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
-    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
-def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, key_width: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) for documents in groups of copies: root is the smallest id that links reach.
-
-    Equal texts are linked by their digest. Of each, one goes on: its signatures are segments of a 512-bit SimHash of
-    ``key_width``-word shingles, whole or without one of the bits that are least certain (those that edits turn first).
-    Documents that share a signature are candidates, and are linked if their sets of ``width``-word shingles have a
-    Jaccard similarity of ``least``. Groups of more than ``MOST_COMPARED`` members hold each against a head that differs
-    from key to key; the classes that come of it are compared exactly by rare shingles (:func:`between_classes`). That two
-    documents share a signature is likely, not certain (measured in the README); links are exact. Null ids and texts take no part.
+    with common.scratch(docs.sparkSession) as result:
+        rows = keyed(docs, doc_id, text)
+        ids = result(rows.select("id", "node", "other"), "ids")
+        nodes = common.stored(ids.groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi")), "nodes")
+        more = nodes.where("n > 1").select("node", (F.col("lo") == F.col("hi")).alias("sure"))
+        single = rows.join(common.small(more.select("node"), BROADCAST_ROWS), "node", "left_anti").select("node", "text")
+        copied = rows.join(common.small(more.where("sure").select("node"), BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        texts = single.union(common.stored(copied, "copied"))
+        alone = partial(common.stored_alone, docs.sparkSession)
+        candidates = alone(lambda: by_signature(texts, key_width), "candidates")
+        links = alone(lambda: linked(candidates, texts, width, least), "links")
+        roots = alone(lambda: components(links), "near-roots")
+        if not signatures_alone:
+            pairs = alone(lambda: by_rare_shingles(texts, roots, width, least), "rare-pairs")
+            found = alone(lambda: linked(pairs, texts, width, least), "rare-links")
+            if not found.isEmpty():
+                both = found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+                roots = alone(lambda: components(both), "all-roots")
+        of = nodes.where("lo = hi").join(common.small(roots, BROADCAST_ROWS), "node", "left")
+        return ids.drop("other"), result(of.select("node", F.coalesce("root", "node").alias("root"), "n"), "classes")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class that is not null) and class_size of every row of ``docs``.
+
+    Rows without a text are classes of their own, with their doc_id and 1. Options as of :func:`classes`.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    ids = common.stored(rows.select("id", F.md5("text").alias("digest")), "digests")
-    reps = ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    copies = common.stored(ids.join(reps, "digest").where("id <> rep").select("id", "rep").distinct(), "copies")
-    single = rows.join(common.small(copies.select("id"), BROADCAST_ROWS), "id", "left_anti")
-    keyed = common.map_texts(single, "text", lambda: lambda texts: [[wide_keys(t, key_width) for t in texts]], [("keys", "array<long>")], keep=["id"])
-    keys = common.stored(keyed.select("id", F.explode("keys").alias("key")), "keys")
-    candidates, many = compared(keys, MOST_COMPARED)
-    candidates = common.stored(candidates, "candidates")
-    wanted = common.stored(candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
-    sets = common.map_texts(single.join(common.small(wanted, BROADCAST_ROWS), "id", "left_semi"), "text", lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", "array<int>")], keep=["id"])
-    sets = common.stored(sets, "shingles")
-    of_copies = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = common.stored(components(linked(candidates, sets, least).union(of_copies)), "near-roots")
-    links = common.stored(between_classes(many, roots, sets, least), "class-links")
-    if links.isEmpty():
-        return roots
-    return components(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    with common.scratch(docs.sparkSession) as result:
+        ids, of = classes(docs, doc_id=doc_id, text=text, **options)
+        rows = ids.join(common.small(of.drop("n"), BROADCAST_ROWS), "node")
+        sizes = common.stored(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
+        found = rows.join(common.small(sizes, BROADCAST_ROWS), "root").select(F.col("id").alias("doc_id"), "class_id", "class_size")
+        none = docs.where(F.col(f"`{text}`").isNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{doc_id}`").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        return result(found.union(none), "near-copies")
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of copies, the one with the smallest id; a repeated row stays once."""
-    roots = near_copies(docs, doc_id=doc_id, text=text, **options)
-    gone = common.stored(roots.where("node <> root").select(F.col("node").alias("__gone")), "gone")
-    kept = docs.join(common.small(gone, BROADCAST_ROWS), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
-    again = common.stored(docs.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("__again")).count().where("count > 1").select("__again"), "again")
-    if again.isEmpty():
-        return kept
-    repeated = common.small(again, BROADCAST_ROWS)
-    on = F.col(f"`{doc_id}`") == F.col("__again")
-    return kept.join(repeated, on, "left_anti").union(kept.join(repeated, on, "left_semi").dropDuplicates([doc_id, text]))
+    """``docs`` with one row of each class of near copies: the smallest id, null ids last; of that id, one text and one row.
+
+    Rows without a text stay, each. Options as of :func:`classes`.
+    """
+    with common.scratch(docs.sparkSession) as result:
+        ids, of = classes(docs, doc_id=doc_id, text=text, **options)
+        firsts = ids.groupBy("node").agg(F.min("id").alias("first"))
+        sized = of.join(firsts, "node").groupBy("root").agg(F.sum("n").alias("rows"), F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("kept")).where("rows > 1")
+        of = common.stored(of.join(common.small(common.stored(sized, "sized"), BROADCAST_ROWS), "root").select("node", F.col("kept.first").alias("kept_id"), F.col("kept.node").alias("kept_node")), "kept")
+        rows = ids.join(common.small(of, BROADCAST_ROWS), "node").withColumn("kept", (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")))
+        counted = common.stored(rows.groupBy("id", "node", "kept").agg(F.count("*").alias("n")), "rows-of-classes")
+        names = common.free_name("gone_id", *docs.columns), common.free_name("gone_node", *docs.columns)
+        row = lambda which: counted.where(which).select(F.col("id").alias(names[0]), F.col("node").alias(names[1]))
+        gone, again = result(row("NOT kept"), "gone"), result(row("kept AND n > 1"), "again")
+        on = F.col(f"`{doc_id}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(names[1]))
+        kept = docs.join(common.small(gone, BROADCAST_ROWS), on, "left_anti")
+        if again.isEmpty():
+            return kept
+        repeated = common.small(again, BROADCAST_ROWS)
+        return kept.join(repeated, on, "left_anti").union(kept.join(repeated, on, "left_semi").dropDuplicates([doc_id, text]))

@@ -60,13 +60,36 @@ def test_bpe_equals_the_library():
         assert c.decode(got) == t.decode(want, skip_special_tokens=False)
 
 
-def test_cuts_between_letters_are_certain():
+def test_cuts_are_certain_at_all_lengths():
     c = bpe.Codec(BYTE_BPE)
-    x = "".join(random.Random(2).choices("abcéèßñ漢字дж", k=3000))
-    parts = c.between_letters(x)
-    assert len(parts) > 10
-    assert "".join(parts) == x
-    assert sum((c.tokenizer.encode(p, add_special_tokens=False).ids for p in parts), []) == c.tokenizer.encode(x, add_special_tokens=False).ids
+    own = lambda x: c.tokenizer.encode(x, add_special_tokens=False).ids
+    for x in ["".join(random.Random(2).choices("abcéèßñ漢字дж", k=3000)), "it's, 'tis: don't!'s 12a'9 (x)'ll 'rex''d", "a-b_c 3.14 ß'é qz"]:
+        parts = c.fragments(x)
+        assert len(parts) > 5
+        assert "".join(parts) == x
+        assert sum(map(own, parts), []) == own(x)
+        assert all(not c.joined[a.encode()[-1], b.encode()[0]] for a, b in zip(parts, parts[1:]))
+    assert c.fragments("a zqx") == ["a", " z", "q", "x"]  # between two letters of a short text
+
+
+def test_bpe_equals_the_library_over_many_signs():
+    from tokenizers import Tokenizer
+
+    t, c, rng = Tokenizer.from_file(BYTE_BPE), bpe.Codec(BYTE_BPE), random.Random(11)
+    kinds = ["abtsremdlvqzj", "ABQZ", "0123456789²½", "''’", ".,!?-_()[]#\"", " ", " \t\n\r\x0b\x0c", "\x1c\x1f\x85\xa0 　​᠎", "éßñüðжщя", "漢字かなカナ한글", "́҇€→", "😀𝔸\U00020000", "ཀ፩ᚠࡰ"]
+    for _ in range(6000):
+        x = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 40)))
+        assert np.frombuffer(c.encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_long_fragments_are_not_kept(monkeypatch):
+    c = bpe.Codec(BYTE_BPE)
+    c.encode(["e" * 5000 + " the"])
+    assert set(c.cache) == {" the"}
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20)
+    for i in range(9):
+        assert c.encode([f"w{i} word"])[0] == np.array(c.tokenizer.encode(f"w{i} word").ids, "<u4").tobytes()
+    assert c.cached_bytes < 60
 
 
 def test_bpe_over_edges(edge_docs, empty):
