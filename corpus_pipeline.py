@@ -11,15 +11,14 @@ from loomwork.llm import bpe, common, mixing, quality, simhash, toxicity
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cascade of quality rules keeps."""
-    return quality.cascade(docs, keep=docs.columns, names="__q_").where("__q_kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7, by a classifier trained on labelled ones among them."""
     train = common.crc_mod("doc_id", 3) != 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(train)
-    model = toxicity.fit(docs.where(train), labels)
-    return toxicity.score(docs, model, keep=docs.columns, column="__toxicity").where("__toxicity < 0.7").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs.where(train), labels), least=0.7)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is stored before the next reads it."""
+    """All stages over the documents; each stage's result is stored before the next reads it, and only the last one stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.stored(docs, f"pipeline-{name}")
-    return docs
+    with common.scratch(spark) as last:
+        for name, stage in STAGES:
+            with common.scratch(spark) as result:
+                docs = result(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return last(docs, "pipeline")
