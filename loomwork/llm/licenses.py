@@ -3,10 +3,12 @@
 A template is a license's wording with markup: ``<<optional>> ... <<end>>`` may be missing, and ``<<any:n>>`` stands for
 up to n words of any kind. Each template is compiled into an automaton over words; a text has the license if the
 automaton reaches its end somewhere in the text, with every mandatory word in its place. A scan starts the automaton only
-where the template's anchor, its rarest run of fixed words, stands.
+where the template's anchor, its longest run of fixed words, stands.
 
 Words are runs of ASCII letters and digits and of characters outside ASCII, with A-Z lower-cased. Beside the templates,
-fixed phrases are looked for and counted at every place. Null texts have no words. Texts of any length are read whole.
+fixed phrases are looked for and counted at every place. Null texts have no words. Texts of any length are read whole, in a
+time that grows with them. Repeated rows are scanned each; an empty table gives no rows; a column that has the name of an
+added one gives way to it.
 """
 
 from __future__ import annotations
@@ -22,30 +24,84 @@ from . import common
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 32 for b in range(256))
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices and short licenses with their labels (before any ``#``).
-TEMPLATES = {
-    "apache-2.0": """<<optional>>this work is<<end>> licensed under the apache license version 2 0 <<optional>>the license<<end>>
-        <<optional>>you may not use this file except in compliance with the license<<end>>""",
-    "mit#notice": "released under <<optional>>the terms of<<end>> the mit license",
-    "gpl-3.0": "licensed under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation either<<end>> version 3",
-    "cc-by-nc-4.0": "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by nc 4 0 <<optional>>international<<end>>",
-    "cc-by-4.0": "licensed under <<optional>>a<<end>> <<optional>>creative commons<<end>> cc by 4 0 <<optional>>international<<end>>",
-    "all-rights-reserved": "<<optional>>copyright <<any:12>><<end>> all rights reserved",
-    "mit": """<<optional>>the mit license <<optional>>mit<<end>><<end>> <<optional>>copyright <<any:12>><<end>>
-        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-        the software to deal in the software without restriction including without limitation the rights to use copy modify merge
-        publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
-        subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>>
-        shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
-        express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
-        in no event shall <<any:8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise
-        arising from out of or in connection with the software or the use or other dealings in the software""",
-    "isc": """<<optional>>isc license<<end>> <<optional>>copyright <<any:12>><<end>>
-        permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and
-        <<any:4>> disclaims all warranties with regard to this software""",
+#: Notices that name a license, and their labels.
+NOTICES = {
+    "apache-2.0": "<<optional>>This work is<<end>> licensed under the Apache License, Version 2.0",
+    "mit": "Released under <<optional>>the terms of<<end>> the MIT License",
+    "gpl-3.0": "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation, either<<end>> version 3",
+    "gpl-2.0": "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation, either<<end>> version 2",
+    "gpl-3.0-or-later": """you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version""",
+    "gpl-2.0-or-later": """you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation<<optional>>, either<<end>> version 2 of the License, or (at your option) any later version""",
+    "lgpl-2.1-or-later": """you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software
+        Foundation<<optional>>, either<<end>> version 2.1 of the License, or (at your option) any later version""",
+    "agpl-3.0-or-later": """you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version""",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "epl-2.0": "made available under the terms of the Eclipse Public License <<optional>>v<<end>> 2.0",
+    "cc-by-nc-4.0": "licensed under <<optional>>a<<end>> <<optional>>Creative Commons<<end>> CC BY-NC 4.0",
+    "cc-by-sa-4.0": "licensed under <<optional>>a<<end>> <<optional>>Creative Commons<<end>> CC BY-SA 4.0",
+    "cc-by-4.0": "licensed under <<optional>>a<<end>> <<optional>>Creative Commons<<end>> CC BY 4.0",
+    "cc-by-4.0#name": "licensed under a Creative Commons Attribution 4.0 International License",
+    "cc0-1.0": "dedicated <<any:8>> to the public domain <<optional>>worldwide<<end>> under <<optional>>the<<end>> CC0 1.0",
+    "all-rights-reserved": "All rights reserved",
 }
-MARKUP = re.compile(rb"<<optional>>|<<end>>|<<any:(\d+)>>|[^\s<]+")
+#: Whole license texts, and their labels.
+TEXTS = {
+    "mit": """<<optional>>The MIT License <<optional>>(MIT)<<end>><<end>> <<optional>>Copyright <<any:12>><<end>>
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+        publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>>
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL <<any:8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
+    "isc": """<<optional>>ISC License<<end>> <<optional>>Copyright <<any:12>><<end>>
+        Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        <<any:4>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<any:4>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    "bsd-2-clause": """<<optional>>Copyright <<any:12>><<end>> <<optional>>All rights reserved.<<end>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<any:10>> "AS IS" AND
+        ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
+    "bsd-3-clause": """<<optional>>Copyright <<any:12>><<end>> <<optional>>All rights reserved.<<end>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. <<optional>>3.<<end>> Neither the name of <<any:10>> nor the names of
+        <<optional>>its<<end>> <<any:2>> contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY <<any:10>> "AS IS" AND
+        ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+        HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: <<optional>>1.<<end>> The origin of this software must
+        not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+        in the product documentation would be appreciated but is not required. <<optional>>2.<<end>> Altered source versions must be plainly marked as such, and
+        must not be misrepresented as being the original software. <<optional>>3.<<end>> This notice may not be removed or altered from any source distribution""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+    "apache-2.0#header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at <<any:8>> Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied""",
+}
+#: All templates; a label ends before any ``#``.
+TEMPLATES = {f"{k}#notice": v for k, v in NOTICES.items()} | {f"{k}#text": v for k, v in TEXTS.items()}
+MARKUP = re.compile(r"<<(optional|end|any:\d+)>>")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -93,15 +149,14 @@ class Automaton:
         return None
 
     def found(self, words: list[bytes], line: bytes) -> bool:
-        """``line``: the words, each between single spaces."""
-        at, seen = line.find(self.anchor), set()
+        """``line``: the words, each between single spaces. Every place is tried once, and the line is read once."""
+        at, place, counted, tried = line.find(self.anchor), 0, 0, 0
         while at >= 0:
-            place = line.count(b" ", 0, at)
-            for start in range(max(0, place - self.before), place + 1):
-                if start not in seen:
-                    seen.add(start)
-                    if self.accepts_at(words, start) is not None:
-                        return True
+            place, counted = place + line.count(b" ", counted, at), at
+            for start in range(max(tried, place - self.before), place + 1):
+                if self.accepts_at(words, start) is not None:
+                    return True
+            tried = place + 1
             at = line.find(self.anchor, at + 1)
         return False
 
@@ -110,17 +165,25 @@ def compile_template(label: str, template: str) -> Automaton:
     """The automaton of a template, with the longest run of words that stand outside optional and replaceable regions as anchor."""
     a = Automaton(label)
     now, opened, runs, at = a.state(), [], [[0, []]], 0
-    for m in MARKUP.finditer(template.encode()):
-        token = m[0]
-        if token == b"<<optional>>":
+    for i, part in enumerate(MARKUP.split(template)):
+        if i % 2 == 0:  # plain words
+            for word in words_of(part):
+                nxt = a.state()
+                a.on_word[now][word] = nxt
+                if not opened:
+                    runs[-1][1].append(word)
+                now, at = nxt, at + 1
+            if opened:
+                runs.append([at, []])
+        elif part == "optional":
             opened.append(now)
             runs.append([at, []])
-        elif token == b"<<end>>":
+        elif part == "end":
             a.free[opened.pop()].append(now)
             runs.append([at, []])
-        elif m[1]:
+        else:
             start = now
-            for _ in range(int(m[1])):
+            for _ in range(int(part.removeprefix("any:"))):
                 nxt = a.state()
                 a.on_any[now] = nxt
                 now, at = nxt, at + 1
@@ -129,14 +192,6 @@ def compile_template(label: str, template: str) -> Automaton:
                 a.free[s].append(end)
             now = end
             runs.append([at, []])
-        else:
-            nxt = a.state()
-            a.on_word[now][token] = nxt
-            if not opened:
-                runs[-1][1].append(token)
-            now, at = nxt, at + 1
-        if opened:
-            runs.append([at, []])
     a.final = now
     before, words = max(runs, key=lambda r: len(r[1]))
     if not words:
@@ -156,16 +211,17 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         if not any(h in line for h in self.heads):
             return len(words), 0, None, None, "", "", 0.0
-        places, base = [], set()
+        n, first, last, base = 0, len(words), -1, set()
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, place, counted = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                place, counted = place + line.count(b" ", counted, at), at
+                n, first, last = n + 1, min(first, place), max(last, place)
                 base.add(label)
                 at = line.find(phrase, at + 1)
         full = {a.label for a in self.automata if a.found(words, line)}
         score = 1.0 if full else 0.5 if base else 0.0
-        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | full)), score
+        return len(words), n, first if n else None, last if n else None, ",".join(sorted(base)), ",".join(sorted(base | full)), score
 
 
 FIELDS = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
