@@ -9,7 +9,8 @@ agree in a bin when the sampled step of both is the same with the same character
 Bands of sampled bins propose near copies, which are verified by their fingerprints' likeness (:func:`near_copies`).
 
 Null texts count as empty. Empty texts have a fingerprint of zeros, like (1) each other and unlike (0) all others. Repeated
-ids are rows of their own, in order of their texts' hashes. Texts of any length are walked whole.
+ids are rows of their own, in order of their texts' hashes, and null ids come first. Texts of any length are walked whole. An
+empty table gives no rows; columns that are not named do not matter.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,8 @@ from . import common
 from .components import components
 
 BINS, PERIOD, KINDS = 128, 4096, 64
-#: Characters of text in a range of ids, about, and ranges at most.
-RANGE_CHARS, MOST_RANGES = 24_000_000, 20_000
+#: Characters of text in a range of ids, about, what a row counts besides, rows sampled for a range, and ranges at most.
+RANGE_CHARS, ROW_CHARS, SAMPLES, MOST_RANGES = 24_000_000, 200, 20, 20_000
 ABSENT = np.uint32(0xFFFFFFFF)
 MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -132,33 +133,65 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     return common.map_texts(docs, text, lambda: lambda texts: [list(map(fingerprint, texts))], [(column, "string")], keep=keep)
 
 
+def range_of(bounds: np.ndarray):
+    """A column function of (key, tie): the number of the range that they lie in; ``bounds`` are sorted 16-byte keys."""
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, sortable(key.to_numpy(), tie.to_numpy()), side="right").astype(np.int32))
+
+    return place
+
+
+def sortable(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Pairs of longs as 16 bytes that sort as the pairs do."""
+    both = np.empty((len(key), 2), ">u8")
+    both[:, 0], both[:, 1] = (x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for x in (key, tie))
+    return both.view("S16").ravel()
+
+
+def bounds_of(placed: DataFrame) -> np.ndarray:
+    """The bounds of ranges of rows (key, tie, size) with about ``RANGE_CHARS`` of size each.
+
+    Rows are sampled by their size, ``SAMPLES`` for each range; ``MOST_RANGES * SAMPLES`` pairs of longs come to the driver at most.
+    """
+    total = placed.agg(F.sum("size").alias("size")).first()["size"] or 0
+    n = min(MOST_RANGES, total // RANGE_CHARS + 1)
+    if n == 1:
+        return np.zeros(0, "S16")
+    drawn = F.pmod(F.xxhash64(F.lit("ranges"), "key", "tie"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(F.col("size") * F.lit(SAMPLES * n / total) + drawn)
+    sampled = placed.select("key", "tie", times.alias("times")).where("times > 0").toArrow()
+    keys, times = sortable(sampled["key"].to_numpy(), sampled["tie"].to_numpy()), sampled["times"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    after = np.cumsum(times[order])
+    return np.unique(keys[order][np.searchsorted(after, np.arange(1, n) * after[-1] / n)]) if len(keys) else np.zeros(0, "S16")
+
+
 def with_next(docs: DataFrame, run, schema: T.StructType, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``run`` over the rows (bucket, last, doc_id, text) of ranges of ids in order, each range followed by the next one's first row.
 
-    Ranges are cut at quantiles of the ids by the texts' sizes, each is sorted in its task, and nothing but the quantiles
-    and each range's first id comes to the driver.
+    Ranges hold about ``RANGE_CHARS`` characters; one id with many texts is cut by their hashes. Each range is sorted in its
+    task, and nothing but a bounded sample of ids and each range's first id comes to the driver. Rows that have both id and text
+    in common go to one range.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.count("*").alias("n")).first()
-    n = min(MOST_RANGES, max(1, (size["chars"] or 0) // RANGE_CHARS + size["n"] // 200_000 + 1))
-    inner = sorted(set(rows.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
-    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    placed = rows.withColumns({"__key": key, "tie": F.xxhash64("text"), "__bucket": F.lit(0)})
-    if inner:
-        placed = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__key", outputCol="__bucket").transform(placed.drop("__bucket"))
-    placed = placed.select(F.col("__bucket").cast("int").alias("bucket"), "doc_id", "tie", "text")
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first")).orderBy("bucket").collect()
+    key, tie = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.xxhash64("text")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumns({"key": key, "tie": tie})
+    bounds = bounds_of(rows.select("key", "tie", (F.coalesce(F.length("text"), F.lit(0)) + F.lit(ROW_CHARS)).cast("long").alias("size")))
+    bucket = range_of(bounds)("key", "tie") if len(bounds) else F.lit(0)
+    placed = rows.select(bucket.alias("bucket"), "doc_id", "key", "tie", "text")
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("first")).orderBy("bucket").collect()  # a row for each range
     if not firsts:
         return docs.sparkSession.createDataFrame([], schema)
     before = {firsts[i].bucket: (firsts[i - 1].bucket, firsts[i].first) for i in range(len(firsts))}
-    ahead = docs.sparkSession.createDataFrame([(b, to, f.doc_id, f.tie) for b, (to, f) in before.items()], "bucket int, to int, first long, first_tie long")
+    ahead = docs.sparkSession.createDataFrame([(b, to, f.key, f.tie) for b, (to, f) in before.items()], "bucket int, to int, first long, first_tie long")
     # one row for each range (MOST_RANGES at most); the first row of a range goes to the range before it too
     marked = placed.join(F.broadcast(ahead), "bucket")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first")) & F.col("tie").eqNullSafe(F.col("first_tie"))
-    places = F.when(is_first, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("last")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last"))))
-    dealt = marked.select(F.explode(places).alias("at"), "doc_id", "tie", "text").select("at.bucket", "at.last", "doc_id", "tie", "text")
+    here, there = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("last"))
+    places = F.when((F.col("key") == F.col("first")) & (F.col("tie") == F.col("first_tie")), F.array(here, there)).otherwise(F.array(here))
+    dealt = marked.select(F.explode(places).alias("at"), "doc_id", "key", "tie", "text").select("at.bucket", "at.last", "doc_id", "key", "tie", "text")
     # a range is a partition, so that no task gets two
-    dealt = dealt.repartitionById(len(inner) + 1, "bucket").sortWithinPartitions("bucket", "last", "doc_id", "tie")
+    dealt = dealt.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "last", "key", "tie", "doc_id")
     return dealt.select("bucket", "last", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -236,29 +269,31 @@ def classes_of(prints: DataFrame, least_likeness: float = 0.8, bands: int = 20,
     are alike are in one class, and a group of near copies is not paired with itself. ``class_id`` is the smallest doc_id of
     the class and ``class_size`` its number of rows.
     """
-    fps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    fps = common.stored(fps.withColumn("node", F.monotonically_increasing_id()), "prints")
-    sampled = np.random.RandomState(seed)
-    keys = [F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(i) + 1, 1) for i in sampled.choice(BINS, width, replace=False))) for b in range(bands)]
-    banded = fps.where("fingerprint <> repeat('0', 128)").select("node", F.explode(F.array(*keys)).alias("band"))
-    heads = common.stored(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "heads")
-    members = common.stored(banded.join(heads, "band"), "bands")
-    names = [f"d{i}" for i in range(BINS // 16)]
-    worded = common.stored(fps.join(members.select("node").distinct(), "node").select("node", *(c.alias(n) for c, n in zip(digits(F.col("fingerprint")), names, strict=True))), "digits")
-    other = worded.select(F.col("node").alias("node_b"), *(F.col(n).alias(f"{n}_b") for n in names))
-    alike = equal_digits([F.col(n) for n in names], [F.col(f"{n}_b") for n in names]) >= least_equal(least_likeness)
-    held = members.where("node <> head").select("node", F.col("head").alias("node_b")).distinct()
-    links = common.stored(held.join(worded, "node").join(other, "node_b").where(alike).select(F.col("node").alias("a"), F.col("node_b").alias("b")), "head-links")
-    roots = common.stored(components(links), "head-roots")
-    classed = common.stored(members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "classed")
-    apart = classed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = common.stored(classed.join(apart, "band").join(worded, "node"), "bands-apart")
-    mates = rest.select(*(F.col(c).alias(f"{c}_b") for c in rest.columns))
-    pairs = rest.join(mates, (F.col("band") == F.col("band_b")) & (F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & alike)
-    links = links.union(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
-    of = common.stored(fps.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "print-roots")
-    classes = of.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
-    return of.join(classes, "root").select("fingerprint", "class_id", "class_size")
+    with common.scratch(prints.sparkSession) as result:
+        fps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        fps = common.stored(fps.withColumn("node", F.monotonically_increasing_id()), "prints")
+        sampled = np.random.RandomState(seed)
+        keys = [F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(i) + 1, 1) for i in sampled.choice(BINS, width, replace=False))) for b in range(bands)]
+        banded = fps.where("fingerprint <> repeat('0', 128)").select("node", F.explode(F.array(*keys)).alias("band"))
+        heads = common.stored(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "heads")
+        members = common.stored(banded.join(heads, "band"), "bands")
+        names = [f"d{i}" for i in range(BINS // 16)]
+        worded = common.stored(fps.join(members.select("node").distinct(), "node").select("node", *(c.alias(n) for c, n in zip(digits(F.col("fingerprint")), names, strict=True))), "digits")
+        other = worded.select(F.col("node").alias("node_b"), *(F.col(n).alias(f"{n}_b") for n in names))
+        alike = equal_digits([F.col(n) for n in names], [F.col(f"{n}_b") for n in names]) >= least_equal(least_likeness)
+        held = members.where("node <> head").select("node", F.col("head").alias("node_b")).distinct()
+        links = common.stored(held.join(worded, "node").join(other, "node_b").where(alike).select(F.col("node").alias("a"), F.col("node_b").alias("b")), "head-links")
+        roots = common.stored_alone(prints.sparkSession, lambda: components(links), "head-roots")
+        classed = common.stored(members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "classed")
+        apart = classed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+        rest = common.stored(classed.join(apart, "band").join(worded, "node"), "bands-apart")
+        mates = rest.select(*(F.col(c).alias(f"{c}_b") for c in rest.columns))
+        pairs = rest.join(mates, (F.col("band") == F.col("band_b")) & (F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")) & alike)
+        every = links.union(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
+        ends = common.stored_alone(prints.sparkSession, lambda: components(every), "ends")
+        of = common.stored(fps.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node")), "print-roots")
+        classes = of.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
+        return result(of.join(classes, "root").select("fingerprint", "class_id", "class_size"), "print-classes")
 
 
 def with_classes(rows: DataFrame, **options) -> DataFrame:

@@ -21,16 +21,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested row for each capture: the response or revisit with its request and metadata records and their numbers."""
-    path = common.shared_path(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), path)
-    records = common.stored(warc.read(spark, path, blocks=False).drop("block"), "records")
+    with common.scratch(spark) as result:  # the archive itself is not kept
+        path = common.shared_path(spark, "warc")
+        warc.write(table(spark, sf_dir, "pages"), path)
+        records = result(warc.read(spark, path, blocks=False).drop("block"), "records")
     found = warc.captures(records)
     return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"), "request", "metadata", "n_requests", "n_metadata")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # stored, so that the transactions are assembled although no column of requests and metadata is returned
-    return common.stored(op2_transactions(spark, sf_dir), "transactions").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The nested rows' digest: the records that assembly has found stand behind the columns of the capture itself."""
+    nested = F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id")
+    return op2_transactions(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *nested, "n_requests", "n_metadata")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_prints.with_classes(common.stored(edit_prints.with_edits(table(spark, sf_dir, "documents")), "edits"))
+    return edit_prints.with_classes(common.stored_alone(spark, lambda: edit_prints.with_edits(table(spark, sf_dir, "documents")), "edits"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +135,8 @@ digits AS (
   FROM n, range(32) AS r(i) GROUP BY 1, 2, 3
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+       '<urn:capture:' || page_id || ':request>' AS request_id, '<urn:capture:' || page_id || ':metadata>' AS metadata_id, CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
 FROM digits
 """
 OP6_SQL = r"""

@@ -4,14 +4,17 @@ Writing: each page becomes a request, a response (or, where an earlier page has
 metadata record. Request and metadata name the response in WARC-Concurrent-To. Records go through Spark's own text writer
 in gzip files with the record mark CR LF CR LF as line end, so any file system that Spark knows can hold them.
 
-Reading: whole files of bounded size come as bytes; each task unpacks and parses them as a stream, record by record, by
-their Content-Length.
+Pages of about a size go to files together, as many as keep a file below ``FILE_BYTES`` (a larger page has its own).
+
+Reading: whole files come as bytes, bounded if they were written here; each task unpacks and parses them as a stream, record by
+record, by their Content-Length.
 
 Assembly: request, response and metadata are joined through their concurrent-to identifiers, in either direction and over
 one record between them, into one nested row for each capture.
 
 Null payloads are empty ones. Of equal payloads the one with the smallest id is the response, rows that repeat it included;
-a null id comes after all others. Null or odd URLs lose their control characters, or the header. Extra columns are ignored.
+a null id comes after all others. Null or odd URLs lose their control characters, or the header. Columns that are not named do
+not matter. An empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +33,10 @@ from . import common
 
 END = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Captures in a file, and digests of repeated payloads up to which their table is broadcast.
-FILE_ROWS, BROADCAST_ROWS = 5000, 50_000
+#: Bytes and captures in a file before compression, and digests of repeated payloads up to which their table is broadcast.
+FILE_BYTES, FILE_ROWS, BROADCAST_ROWS = 64_000_000, 5000, 50_000
+#: Bytes of the smallest class of payloads, by how much the next is larger, and the bytes that records have besides (URL included).
+LEAST_CLASS, STEP, HEAD_BYTES = 8192, 8, 4096
 #: The digits of base 32 as Java writes them, and as RFC 4648 does.
 DIGITS, BASE32 = "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -81,7 +87,14 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         record(header("WARC-Type", "metadata"), header("WARC-Record-ID", record_id(F.col("page"), "metadata")), header("WARC-Concurrent-To", response), uri, on, header("Content-Type", "application/warc-fields"), block=said),
     ]
     mark = END + END
-    rows.select(F.concat_ws(mark, *records).alias("value")).write.option("lineSep", mark).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    # the class of a capture by its bytes: 0 up to LEAST_CLASS, then one for each STEP times more
+    held = F.col("bytes") + F.lit(2) * F.coalesce(F.octet_length("url"), F.lit(0))
+    of = F.when(held <= LEAST_CLASS, 0).otherwise(F.ceil(F.log(held / F.lit(float(LEAST_CLASS))) / F.lit(math.log(STEP)))).cast("int")
+    classes = [r["class"] for r in rows.select(of.alias("class")).distinct().orderBy("class").collect()]  # about ten
+    for c in classes or [0]:
+        most = max(1, min(FILE_ROWS, FILE_BYTES // (LEAST_CLASS * STEP**c + HEAD_BYTES)))
+        lines = rows.where(of == c).select(F.concat_ws(mark, *records).alias("value"))
+        lines.write.option("lineSep", mark).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/class-{c}")
 
 
 def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
