@@ -5,9 +5,11 @@ A text is taken for a mixture: expectation-maximisation estimates the share of e
 likelihoods. The set of languages grows from the best single one while the log-likelihood gains more than a penalty for
 each language added. The language with the largest share is the text's, and the share is its score.
 
-The models are fitted on a bounded sample of labelled texts (``sample_rows`` of each language). Texts that are null or
+The models are fitted on a bounded sample of labelled texts (``sample_rows`` of each language, drawn by their ids), of
+``MOST_LANGUAGES`` languages at most: a table of more would not be broadcast, and is refused. Texts that are null or
 have no letter are ``und`` with score 0; texts of any length are read whole; where nothing is learned, every text is
-``und``.
+``und``. Repeated rows are predicted each, and count each where they are learned from. An empty table gives no rows. A column
+that has the name of an added one gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 16
+BITS, MOST_LANGUAGES = 16, 500
 LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers of the n-gram hash.
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -90,7 +92,9 @@ def languages(likelihood: np.ndarray, counts: np.ndarray, penalty: float) -> np.
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 1500, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """The languages in order and the probability of each hashed n-gram in each, from about ``sample_rows`` texts of each."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    by_lang = {r.lang: r.n for r in rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by_lang = {r.lang: r.n for r in rows.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(by_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not by_lang:
         return [], np.zeros((1 << BITS, 0))
     wanted = F.lit(False)
@@ -113,8 +117,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counted = common.map_batches(sample, make, [("lang", "string"), ("gram", "int"), ("n", "long")]).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     names = sorted(by_lang)
     table = np.full((1 << BITS, len(names)), smoothing)
-    found = counted.toPandas()  # no more than 2^BITS rows for each language
-    np.add.at(table, (found["gram"].to_numpy(), found["lang"].map(names.index).to_numpy()), found["n"].to_numpy())
+    found = counted.toArrow()  # no more than 2^BITS rows for each language
+    np.add.at(table, (found["gram"].to_numpy(), [names.index(x) for x in found["lang"].to_pylist()]), found["n"].to_numpy())
     return names, table / table.sum(0)
 
 

@@ -1,6 +1,7 @@
 """Operators that look at one text at a time."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -192,6 +193,113 @@ def test_toxicity_over_edges(edge_docs, docs, labels, empty):
     assert toxicity.fit(docs, labels.where("false")).score("x") < 0.01
 
 
+def test_language_sets_equal_exhaustive_search():
+    """EM and the choice of the set, against plain Python over all subsets of four languages."""
+    rng = np.random.RandomState(5)
+    right = close = 0
+    for trial in range(40):
+        table = rng.dirichlet(np.full(60, 0.3), 4).T + 1e-4
+        table /= table.sum(0)
+        truth = np.zeros(4)
+        chosen = rng.choice(4, rng.randint(1, 4), replace=False)
+        truth[chosen] = rng.dirichlet(np.full(len(chosen), 4.0))
+        counts = rng.multinomial(900, table @ truth)
+        seen = counts > 0
+        likelihood, counts = table[seen], counts[seen]
+
+        def best_of(subset):
+            share = [1 / len(subset)] * len(subset)
+            for _ in range(300):
+                total = [sum(s * row[k] for s, k in zip(share, subset)) for row in likelihood]
+                share = [sum(c * s * row[k] / t for c, row, t in zip(counts, likelihood, total)) / counts.sum() for s, k in zip(share, subset)]
+            return sum(c * np.log(sum(s * row[k] for s, k in zip(share, subset))) for c, row in zip(counts, likelihood)), share
+
+        if trial < 6:  # EM itself
+            subset = list(range(4))
+            got, log = language.mixture(likelihood, counts, rounds=300)
+            want, share = best_of(subset)
+            assert log == pytest.approx(want, abs=2.0)
+            assert got == pytest.approx(share, abs=0.03)
+        cost = 3.0 * np.log(counts.sum())
+        scores = {s: language.mixture(likelihood[:, list(s)], counts, rounds=300)[1] - cost * len(s) for n in range(1, 5) for s in itertools.combinations(range(4), n)}
+        shares = language.languages(likelihood, counts, 3.0)
+        mine = tuple(np.flatnonzero(shares).tolist())
+        right += mine == max(scores, key=scores.get)
+        close += scores[mine] >= max(scores.values()) - cost
+        assert shares.sum() == pytest.approx(1)
+    assert right >= 36  # growing by one language at a time is greedy
+    assert close == 40
+
+
+def test_language_counts_equal_brute_force(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("Abc abd", "x"), ("bad cab", "y"), ("été à", "y"), (None, "x"), ("zz", None), ("Abc abd", "x")])]
+    names, table = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {n: np.full(1 << language.BITS, 0.5) for n in "xy"}
+    one, two, three = (int(x) for x in language.MIX)
+    m = (1 << 32) - 1
+    for _, t, lang in rows:
+        if t is None or lang is None:
+            continue
+        c = [ord(x) for x in f" {t.lower()} "]
+        for i in range(len(c)):
+            a = c[i] * one & m
+            want[lang][(a ^ a >> 15) >> 32 - language.BITS] += 1
+            if i + 1 < len(c):
+                b = a + (c[i + 1] * two & m) & m
+                want[lang][((b ^ b >> 13) * two & m) >> 32 - language.BITS] += 1
+            if i + 2 < len(c):
+                d = (b * three & m) + (c[i + 2] * one & m) & m
+                want[lang][((d ^ d >> 15) * three & m) >> 32 - language.BITS] += 1
+    assert names == ["x", "y"]
+    for k, n in enumerate(names):
+        assert table[:, k] == pytest.approx(want[n] / want[n].sum())
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Features, ratios and scores by plain Python loops; the fit by Newton steps on the same features."""
+    rng = random.Random(4)
+    bad, good = ["vile", "hate", "scum", "dumb"], ["tree", "lake", "bird", "moss", "fern"]
+    rows = [(i, " ".join(rng.choices(good + (bad if i % 3 == 0 else []), k=rng.randint(3, 12))), int(i % 3 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, n_features=50)
+    grams = lambda t: {t[i : i + k] for k in (4, 5) for i in range(len(t) - k + 1)}
+    of = [grams(f" {t.lower()} ") for _, t, _ in rows]
+    number = {}
+    for g in set().union(*of):  # a text that is the gram alone has just its hash
+        c = np.frombuffer(g.encode("utf-32-le"), np.uint32)
+        two = c[:-1] * toxicity.MIX[0] + c[1:] * toxicity.MIX[1]
+        two ^= two >> np.uint32(15)
+        four = two[:-2] * toxicity.MIX[2] + two[2:] * toxicity.MIX[0]
+        h = four[0] ^ four[0] >> np.uint32(15) if len(g) == 4 else (lambda f: (f ^ f >> np.uint32(13)) + toxicity.MIX[0])(four[0] * toxicity.MIX[1] + c[4] * toxicity.MIX[2])
+        number[g] = int((h * toxicity.MIX[1]) >> np.uint32(32 - toxicity.BITS))
+    feats = [{number[g] for g in gs} for gs in of]
+    assert all(f == set(toxicity.hashed(t).tolist()) for f, (_, t, _) in zip(feats, rows))
+    n = [sum(y == k for _, _, y in rows) for k in (0, 1)]
+    rated = {}
+    for f in set().union(*feats):
+        k0, k1 = (sum(f in x for x, (_, _, y) in zip(feats, rows) if y == k) for k in (0, 1))
+        if k0 + k1 >= 3:
+            p, q = (k1 + 1) / (n[1] + 2), (k0 + 1) / (n[0] + 2)
+            rated[f] = (abs((p - q) / np.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0])), np.log(p / q))
+    top = sorted(rated, key=lambda f: (-rated[f][0], f))[:50]
+    assert set(np.flatnonzero(model.weights)) <= set(top)
+    assert len(np.flatnonzero(model.weights)) >= 45
+    x = np.array([[rated[f][1] * (f in fs) for f in top] for fs in feats])
+    y = np.array([r[2] for r in rows])
+    weight = np.where(y == 1, len(rows) / 2 / n[1], len(rows) / 2 / n[0])
+    w, b = np.zeros(50), 0.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        g = np.r_[x.T @ (weight * (p - y)) / weight.sum() + 0.001 * w, (weight * (p - y)).sum() / weight.sum()]
+        s = weight * p * (1 - p) / weight.sum()
+        x1 = np.c_[x, np.ones(len(x))]
+        step = np.linalg.solve(x1.T @ (s[:, None] * x1) + np.diag([0.001] * 50 + [1e-9]), g)
+        w, b = w - step[:-1], b - step[-1]
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    assert [model.score(t) for _, t, _ in rows] == pytest.approx(want, abs=0.02)
+
+
 def test_crc_is_of_the_id_as_text(docs):
     rows = docs.select("doc_id", common.crc_mod("doc_id", 4).alias("m")).limit(50).collect()
     assert all(r.m == zlib.crc32(str(r.doc_id).encode()) % 4 for r in rows)
