@@ -20,6 +20,8 @@ SPACES = b" \t\n\r\x0b\x0c"
 ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 Batch = list[list]
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is eight times as much, for each task and on both sides.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -121,11 +123,19 @@ def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes where nobody has set a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[Batch], Iterable[Batch]]], fields: list[tuple[str, str]]) -> DataFrame:
     """Arrow batches of ``df``'s columns, as Python lists, through the function that ``make`` returns for each task.
 
     The function yields lists of columns for ``fields`` (name, Spark type).
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +156,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     The function gets lists of texts (some may be None) of about ``slice_chars`` bytes together, or a single longer one;
     kept columns pass by without being turned into Python objects. A kept column with the name of an added one gives way.
     """
+    small_batches(df.sparkSession)
     names = {n.lower() for n, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])

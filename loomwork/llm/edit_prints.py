@@ -175,6 +175,7 @@ def with_next(docs: DataFrame, run, schema: T.StructType, doc_id: str = "doc_id"
     task, and nothing but a bounded sample of ids and each range's first id comes to the driver. Rows that have both id and text
     in common go to one range.
     """
+    common.small_batches(docs.sparkSession)
     key, tie = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.xxhash64("text")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumns({"key": key, "tie": tie})
     bounds = bounds_of(rows.select("key", "tie", (F.coalesce(F.length("text"), F.lit(0)) + F.lit(ROW_CHARS)).cast("long").alias("size")))

@@ -36,6 +36,8 @@ MOST_PAIRED = 6
 HOT_ROWS = 200
 #: Rows of keys or ids up to which their table is broadcast.
 BROADCAST_ROWS = 400_000
+#: Shingles that several classes share, up to which their table is broadcast: it is held beside the rows that it chooses from.
+BROADCAST_SHINGLES = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -131,7 +133,7 @@ WORDS, SEGMENT, UNSURE = 8, 32, 4
 #: Members of a signature's group up to which all pairs are candidates; beyond, each is held against the group's head.
 MOST_COMPARED = 6
 #: Buckets in which the shingles of all texts are counted, so that prefixes take the rarest.
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -199,15 +201,16 @@ def by_signature(texts: DataFrame, key_width: int) -> DataFrame:
     """
     keyed = common.map_texts(texts, "text", lambda: lambda texts: [[wide_keys(t, key_width) for t in texts]], [("keys", "array<long>")], keep=["node"])
     members = common.stored(keyed.select("node", F.explode("keys").alias("key")), "keys")
-    head = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))
-    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("a"), head.alias("head")).where("n > 1")
-    shared = common.stored(groups.select("key", "n", "a", "b", F.col("head.node").alias("head")), "keys-shared")
+    shared = common.stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b"), F.max("node").alias("a")).where("n > 1"), "keys-shared")
     # two alone are read off their group: the least and the greatest
     twos = shared.where("n = 2").select("a", "b")
-    more = common.stored(members.join(common.small(shared.where("n > 2").select("key", "n", "head"), BROADCAST_ROWS), "key"), "keys-members")
+    more = common.stored(members.join(common.small(shared.where("n > 2").select("key", "n"), BROADCAST_ROWS), "key"), "keys-members")
+    many = more.where(F.col("n") > MOST_COMPARED)
+    heads = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("least")).select("key", F.col("least.node").alias("head"))
+    heads = common.small(common.stored(heads, "heads"), BROADCAST_ROWS)
     few = more.where(F.col("n") <= MOST_COMPARED).select("key", "node")
     pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "key").where("a > b").select("a", "b")
-    stars = more.where((F.col("n") > MOST_COMPARED) & (F.col("node") != F.col("head"))).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    stars = many.join(heads, "key").where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
     return twos.union(pairs).union(stars).where("a <> b").distinct()
 
 
@@ -216,15 +219,25 @@ def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
     import pyarrow as pa
 
     def run(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, held, size = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
+
+        def add() -> None:
+            counts[:] += np.bincount((np.concatenate([np.zeros(0, np.uint64), *held]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+
         for batch in batches:
             for t in batch.column(0):
-                np.add.at(counts, (shingle_set(t.as_py(), width) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                held.append(shingle_set(t.as_py(), width))
+                size += len(held[-1])
+                if size > 500_000:
+                    add()
+                    held, size = [], 0
+        add()
         found = np.flatnonzero(counts)
         for at in range(0, len(found), 1 << 16):
             part = found[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
 
+    common.small_batches(texts.sparkSession)
     found = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
@@ -266,14 +279,17 @@ def by_rare_shingles(texts: DataFrame, roots: DataFrame, width: int, least: floa
     prefixes = common.stored(common.map_texts(texts, "text", make, [("n", "int"), ("prefix", "array<long>"), ("bits", "array<long>")], keep=["node"]), "prefixes")
     shared.unpersist()
     classed = common.stored(prefixes.join(common.small(roots, BROADCAST_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes-classed")
+    of_least = F.col("place") < F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-9)) + 1
     rows = classed.select("node", "root", "n", F.posexplode("prefix").alias("place", "key"))
-    apart = common.stored(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "keys-apart")
-    rows = common.stored(rows.join(common.small(apart, BROADCAST_ROWS), "key"), "rare-shingles")
+    apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or(of_least).alias("some")).where("lo < hi AND some").select("key")
+    apart = common.small(common.stored(apart, "keys-apart"), BROADCAST_SHINGLES)
+    # only what the key decides is joined on it; size and class of the few that are left come after
+    at = rows.select("key", "node", "place").join(apart, "key", "left_semi")
+    rows = common.stored(common.stored(at, "at-shingles").join(classed.select("node", "root", "n"), "node"), "rare-shingles")
     main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     bits = classed.select("node", *(F.col("bits")[i].alias(f"w{i}") for i in range(WORDS)))
     rows = rows.join(common.small(common.stored(main, "main-classes"), BROADCAST_ROWS), "key").withColumn("in_main", F.col("root") == F.col("main")).drop("main")
     rows = common.stored(rows.join(bits, "node"), "rare-shingles-bits")
-    of_least = F.col("place") < F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-9)) + 1
     smaller = rows.where(of_least).select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
     both = shared_least(F.col("n") + F.col("n_b"), least)
     differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_b"))))
