@@ -22,6 +22,8 @@ TREES, DEPTH, RATE, SEED = 100, 4, 0.1, 42
 CONTAMINATION, LEAST_POINTS, FOREST, SAMPLE = 0.05, 12, 100, 256
 SEQUENCE, HORIZON = 12, 6
 CONFIDENCE, MARGIN, LEAST_NAME, UNKNOWN = 0.22, 0.04, 3, "unknown"
+#: Rows that the categorizer is fitted on, and codes that it may know, at most.
+TRAIN_ROWS, MOST_CODES = 2000, 5000
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------------
@@ -226,14 +228,26 @@ def anomalies(df: DataFrame, key: str, value: str = "value", period: str = "peri
 # --- product categorizer -------------------------------------------------------------------------------------------
 
 
-def train_categorizer(labelled: DataFrame, name: str, code: str, strength: float = 4.0, features: int = 1 << 14) -> PipelineModel:
-    """Character n-grams of names, weighed by rarity, and a multinomial regression; unlabelled rows are the class ``unknown``."""
-    rows = labelled.select(X.ngrams(F.col(name)).alias("terms"), F.coalesce(F.col(code), F.lit(UNKNOWN)).alias("code"))
+def train_categorizer(labelled: DataFrame, name: str, code: str, strength: float = 4.0, features: int = 1 << 14, key: str | None = None, sample_rows: int = TRAIN_ROWS) -> PipelineModel:
+    """Character n-grams of names, weighed by rarity, and a multinomial regression; unlabelled rows are the class ``unknown``.
+
+    It is fitted on ``sample_rows`` rows at most: those with the smallest hash of ``key`` (of the name without a key).
+    """
+    order = F.xxhash64(F.col(key or name))
+    rows = labelled.select(order.alias("order"), X.ngrams(F.col(name)).alias("terms"), F.coalesce(F.col(code), F.lit(UNKNOWN)).alias("code")).orderBy("order", "code").limit(sample_rows).drop("order")
     n = max(rows.count(), 1)
     stages = [StringIndexer(inputCol="code", outputCol="label", stringOrderType="alphabetAsc"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(family="multinomial", regParam=1 / (strength * n), maxIter=60)]
     return Pipeline(stages=stages).fit(rows)
 
 
+def known_codes(df: DataFrame, code: str, most: int = MOST_CODES) -> list[str]:
+    """All codes of a column; more than ``most`` are refused, none is left out."""
+    found = [r[0] for r in df.where(F.col(code).isNotNull()).select(code).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} codes")
+    return sorted(found)
+
+
 def categorize(model: PipelineModel, products: DataFrame, name: str, allowed: list[str]) -> DataFrame:
     """``products`` with ``code`` (null when abstaining), ``confidence``, ``margin`` and ``reason``."""
     labels = model.stages[0].labels

@@ -56,7 +56,7 @@ def presence_audit_summary(spark, sf_dir):
 
 
 def cleaning_report_counters(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id % 100 = 0")
+    e = read(spark, sf_dir, "events")
     inner = lambda a, b: F.create_map(F.lit("filled"), a, F.lit("flagged"), b)
     nested = F.create_map(F.lit("iip"), inner(F.col("event_id") % 7, F.col("user_id") % 5), F.lit("peer"), inner(F.col("event_id") % 3, F.col("user_id") % 2))
     return D.report_counters(e.select("event_type", nested.alias("report")), "event_type", "report")
@@ -68,7 +68,7 @@ def renamed_ticker(spark, sf_dir):
 
 def hybrid_fusion(spark, sf_dir):
     """Fused scores of made-up fuzzy, vector and short-code scores."""
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = read(spark, sf_dir, "events")
     f, v, c = (F.col("event_id") % 101) / 100, (F.col("user_id") % 11) / 10, F.when(F.col("event_id") % 3 == 0, 0.72).otherwise(0.0)
     return e.select("event_id", F.round(M.fused(f, v, c), 6).alias("score"))
 
@@ -91,12 +91,12 @@ SQL = {
  SELECT f.company_id, coalesce(n, 0) AS n, coalesce(m, 0) AS n_with_revenue, p AS platforms, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN m < n THEN 'partial' ELSE 'full' END AS coverage FROM firms AS f LEFT JOIN c ON f.company_id = c.company_id""",
     "benchmark_prefill": f"""WITH {firms.REPORTS} SELECT company_id, period, report_type, revenue, employees FROM reports WHERE year(period) < 2000 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY report_type = 'annual' DESC, period DESC) = 1""",
     "website_verification": "SELECT page_id, CASE WHEN page_id % 11 = 0 OR page_id % 5 = 0 THEN 'unknown' WHEN page_id % 7 > 0 AND page_id % 4 > 0 THEN 'ok' ELSE 'fail' END AS status FROM pages",
-    "registry_latest_view": """WITH r AS (SELECT event_type AS model_name, event_id AS id, event_id % 80 = 0 AS is_active FROM events WHERE event_id % 40 = 0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id % 80 = 0 DESC, ts DESC, event_id DESC) = 1)
+    "registry_latest_view": """WITH r AS (SELECT event_type AS model_name, event_id AS id, event_id % 80 = 0 AS is_active FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id % 80 = 0 DESC, ts DESC, event_id DESC) = 1)
  SELECT * FROM r UNION ALL SELECT unnest(['arima', 'xgboost', 'lightgbm', 'lstm']), NULL, NULL""",
     "presence_audit_summary": "SELECT count(*) AS n, count(*) FILTER (WHERE (c_custkey % 3 = 0) = (c_custkey % 2 = 0)) AS n_ok, count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 2 > 0) AS n_flag_without_url, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_custkey % 2 = 0) AS n_url_without_flag FROM customer",
-    "cleaning_report_counters": "SELECT event_type, 'filled' AS counter, CAST(sum(event_id % 7 + event_id % 3) AS BIGINT) AS total FROM events WHERE event_id % 100 = 0 GROUP BY 1 UNION ALL SELECT event_type, 'flagged', CAST(sum(user_id % 5 + user_id % 2) AS BIGINT) FROM events WHERE event_id % 100 = 0 GROUP BY 1",
+    "cleaning_report_counters": "SELECT event_type, 'filled' AS counter, CAST(sum(event_id % 7 + event_id % 3) AS BIGINT) AS total FROM events GROUP BY 1 UNION ALL SELECT event_type, 'flagged', CAST(sum(user_id % 5 + user_id % 2) AS BIGINT) FROM events GROUP BY 1",
     "renamed_ticker": "SELECT r_regionkey, CASE r_name WHEN 'ASIA' THEN 'ASIA PACIFIC' ELSE r_name END AS r_name FROM region",
-    "hybrid_fusion": """WITH x AS (SELECT event_id, (event_id % 101) / 100 AS f, (user_id % 11) / 10 AS v, CASE WHEN event_id % 3 = 0 THEN 0.72::DOUBLE ELSE 0.0::DOUBLE END AS c FROM events WHERE event_id % 10 = 0)
+    "hybrid_fusion": """WITH x AS (SELECT event_id, (event_id % 101) / 100 AS f, (user_id % 11) / 10 AS v, CASE WHEN event_id % 3 = 0 THEN 0.72::DOUBLE ELSE 0.0::DOUBLE END AS c FROM events)
  SELECT event_id, round(least(1, greatest(f, c, CASE WHEN f >= 0.6 AND v >= 0.45 THEN f + 0.5::DOUBLE * greatest(v - 0.4::DOUBLE, 0) ELSE 0 END, CASE WHEN f >= 0.35 AND v >= 0.55 THEN 0.35::DOUBLE * f + 0.65::DOUBLE * v ELSE 0 END, CASE WHEN c >= 0.7 AND v >= 0.3 THEN 0.55::DOUBLE * c + 0.45::DOUBLE * greatest(v, f) ELSE 0 END)), 6) AS score FROM x""",
     "best_two_with_margin": "WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER w AS place, round(p_retailprice - lead(p_retailprice) OVER w, 2) AS margin FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)) SELECT * FROM r WHERE place <= 2",
     "seed_before_discovery": "SELECT user_id, event_type AS channel, event_id, event_id % 13 = 0 AS is_seed FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 13 = 0 DESC, event_id) = 1",

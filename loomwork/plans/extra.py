@@ -17,8 +17,10 @@ NAMES = iter(range(1 << 30))
 
 
 def _folder(spark) -> str:
-    """A place for a stream's progress: the cluster's shared folder where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A place for a stream's progress and result: the cluster's shared folder, and one of our own under a local master alone."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/stream-{next(NAMES)}-{spark.sparkContext.applicationId}" if shared else tempfile.mkdtemp(prefix="loomwork-stream-")
 
 
@@ -27,9 +29,9 @@ def stream_event_counts(spark, sf_dir):
     schema = read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as a stream reads no single file
     counts = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"))
-    name = f"loomwork_events_{next(NAMES)}"
-    S.run_available(counts, name, _folder(spark))
-    return spark.table(name)
+    folder = _folder(spark)
+    S.run_available(counts, f"{folder}/result", f"{folder}/progress")
+    return spark.read.parquet(f"{folder}/result")
 
 
 def sql_functions(spark, sf_dir):

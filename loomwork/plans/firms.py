@@ -66,7 +66,7 @@ def peer_percentile(spark, sf_dir):
 
 
 def benchmark_full(spark, sf_dir):
-    rows = B.compare(latest(spark, sf_dir).where("company_id % 4 = 1"), latest(spark, sf_dir), "group_code")
+    rows = B.compare(latest(spark, sf_dir), latest(spark, sf_dir), "group_code")
     return rows.withColumn("value", F.round("value", 6)).withColumn("warnings", F.array_join("warnings", ","))
 
 
@@ -86,7 +86,7 @@ CHANNELS = "CASE event_type WHEN 'click' THEN 'shopee' WHEN 'view' THEN 'website
 
 
 def presence(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").where("event_id % 9 = 0")
+    rows = read(spark, sf_dir, "events")
     return rows.select(F.col("user_id").alias("company_id"), F.expr(CHANNELS).alias("channel_type"), (F.col("event_id") % 4 > 0).alias("is_active"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 100 / 100).alias("match_confidence"))
 
 
@@ -94,28 +94,32 @@ def users(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("company_id")).distinct().withColumn("has_ecommerce_site", F.col("company_id") % 3 == 0)
 
 
-PRESENCE = f"presence AS (SELECT user_id AS company_id, {CHANNELS} AS channel_type, event_id % 4 > 0 AS is_active, CASE WHEN event_id % 5 > 0 THEN (event_id % 100) / 100 END AS match_confidence FROM events WHERE event_id % 9 = 0), users AS (SELECT DISTINCT user_id AS company_id, user_id % 3 = 0 AS has_ecommerce_site FROM events)"
+PRESENCE = f"presence AS (SELECT user_id AS company_id, {CHANNELS} AS channel_type, event_id % 4 > 0 AS is_active, CASE WHEN event_id % 5 > 0 THEN (event_id % 100) / 100 END AS match_confidence FROM events), users AS (SELECT DISTINCT user_id AS company_id, user_id % 3 = 0 AS has_ecommerce_site FROM events)"
 
 
 def adoption_diversity(spark, sf_dir):
     return M.adoption(presence(spark, sf_dir), users(spark, sf_dir))
 
 
+#: One firm in ten sells nothing itself: its neighbour does.
+SELLER = "l_suppkey + CASE WHEN l_suppkey % 10 = 4 THEN 1 ELSE 0 END"
+
+
 def listings(spark, sf_dir):
     n = F.col("l_linenumber")
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("company_id"), F.when(n % 4 == 1, "Shopee").when(n % 4 == 2, "tiktok").when(n % 4 == 3, "lazada").otherwise("website").alias("platform"),
+        F.expr(SELLER).alias("company_id"), F.when(n % 4 == 1, "Shopee").when(n % 4 == 2, "tiktok").when(n % 4 == 3, "lazada").otherwise("website").alias("platform"),
         F.when(F.col("l_orderkey") % 3 > 0, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_quantity").cast("int")).alias("units_sold_est"),
         F.when(F.col("l_orderkey") % 2 > 0, F.round(F.col("l_extendedprice") * 2, 2)).alias("revenue_est"),
-    ).where("company_id % 10 <> 4")
+    )
 
 
 def firms(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") * 1000).alias("revenue"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("vsic_code"))
 
 
-LISTINGS = """listings AS (SELECT l_suppkey AS company_id, CASE l_linenumber % 4 WHEN 1 THEN 'Shopee' WHEN 2 THEN 'tiktok' WHEN 3 THEN 'lazada' ELSE 'website' END AS platform, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice END AS price,
-   CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_quantity AS INTEGER) END AS units_sold_est, CASE WHEN l_orderkey % 2 > 0 THEN round(l_extendedprice * 2, 2) END AS revenue_est FROM lineitem WHERE l_suppkey % 10 <> 4),
+LISTINGS = f"""listings AS (SELECT {SELLER} AS company_id, CASE l_linenumber % 4 WHEN 1 THEN 'Shopee' WHEN 2 THEN 'tiktok' WHEN 3 THEN 'lazada' ELSE 'website' END AS platform, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice END AS price,
+   CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_quantity AS INTEGER) END AS units_sold_est, CASE WHEN l_orderkey % 2 > 0 THEN round(l_extendedprice * 2, 2) END AS revenue_est FROM lineitem),
  firms AS (SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal * 1000 END AS revenue, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS vsic_code FROM supplier),
  sums AS (SELECT company_id, sum(coalesce(price * units_sold_est, revenue_est)) AS s, count(coalesce(price * units_sold_est, revenue_est)) AS n FROM listings WHERE lower(platform) IN ('shopee', 'tiktok', 'lazada') GROUP BY 1),
  online AS (SELECT f.*, CASE WHEN n > 0 THEN s WHEN revenue > 0 THEN revenue * 0.02::DOUBLE ELSE 0 END AS online_revenue, CASE WHEN n > 0 THEN 'listings' WHEN revenue > 0 THEN 'industry_ratio' ELSE 'missing' END AS basis FROM firms AS f LEFT JOIN sums ON f.company_id = sums.company_id),
@@ -176,8 +180,8 @@ def company_nested_detail(spark, sf_dir):
 
 
 def timeline_union(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("user_id <= 20").select(F.col("user_id").alias("company_id"), F.col("ts").alias("at"), F.lit("event").alias("kind"), F.col("event_type").alias("label"))
-    o = read(spark, sf_dir, "orders").where("o_custkey <= 20").select(F.col("o_custkey").alias("company_id"), F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderpriority").alias("label"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("company_id"), F.col("ts").alias("at"), F.lit("event").alias("kind"), F.col("event_type").alias("label"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderpriority").alias("label"))
     return e.unionByName(o).orderBy(F.desc_nulls_last("at"), "company_id", "kind", "label")
 
 
@@ -205,7 +209,7 @@ SQL = {
     "peer_quartiles": f"WITH {STATS} SELECT * FROM stats",
     "peer_percentile": f"WITH {LONG} SELECT company_id, metric, round(cume_dist() OVER (PARTITION BY group_code, metric ORDER BY value) * 100, 1) AS percentile FROM pop",
     "benchmark_full": f"""WITH {STATS}, t AS (SELECT l.*, coalesce(s.peers, 0) AS peers, average, p25, p50, p75, (SELECT count(*) FROM pop WHERE pop.group_code = l.group_code AND pop.metric = l.metric AND pop.value <= l.value) AS le
-   FROM long AS l LEFT JOIN stats AS s ON l.group_code = s.group_code AND l.metric = s.metric WHERE company_id % 4 = 1)
+   FROM long AS l LEFT JOIN stats AS s ON l.group_code = s.group_code AND l.metric = s.metric)
  SELECT company_id, group_code, metric, round(value, 6) AS value, peers, average, p25, p50, p75, CASE WHEN value IS NOT NULL THEN round(le / nullif(peers, 0) * 100, 1) END AS percentile, CASE WHEN value IS NOT NULL THEN {LABEL.format(p='peers', v='value', a='average')} END AS label,
    CASE WHEN peers = 0 THEN 'insufficient_peers,small_peer_sample' WHEN peers < 3 THEN 'prototype_listed_sample,small_peer_sample' ELSE 'prototype_listed_sample' END AS warnings FROM t""",
     "digital_peer_excluding_self": f"""WITH {LONG}, l AS (SELECT * FROM long WHERE metric IN ('profit_margin', 'asset_turnover')), o AS (SELECT a.company_id, a.group_code, a.metric, a.value, count(b.value) AS peers, avg(b.value) AS average, count(*) FILTER (WHERE b.value <= a.value) AS le
@@ -233,7 +237,7 @@ SQL = {
     "kpi_summary": "SELECT count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, round(avg(o_totalprice), 2) AS mean_value, round(sum(o_totalprice), 0) AS total_value, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders",
     "peer_list_limit": """WITH p AS (SELECT a.s_suppkey, b.s_suppkey AS peer, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_acctbal DESC, b.s_suppkey) AS peer_rank FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT * FROM p WHERE peer_rank <= 12""",
     "company_nested_detail": """SELECT c_custkey, c_name, count(o_orderkey) AS n_orders, coalesce(string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
-    "timeline_union": """SELECT user_id AS company_id, ts AS "at", 'event' AS kind, event_type AS label FROM events WHERE user_id <= 20 UNION ALL SELECT o_custkey, o_orderdate, 'order', o_orderpriority FROM orders WHERE o_custkey <= 20""",
+    "timeline_union": """SELECT user_id AS company_id, ts AS "at", 'event' AS kind, event_type AS label FROM events UNION ALL SELECT o_custkey, o_orderdate, 'order', o_orderpriority FROM orders""",
     "aligned_series": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS p, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), l AS (SELECT CAST(l_shipdate AS DATE) AS p, sum(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
  a AS (SELECT strftime(p, '%Y-%m') AS month, max_by(v, p) AS orders_last FROM o GROUP BY 1), b AS (SELECT strftime(p, '%Y-%m') AS month, max_by(v, p) AS lines_last FROM l GROUP BY 1)
  SELECT coalesce(a.month, b.month) AS month, orders_last, lines_last FROM a FULL JOIN b ON a.month = b.month""",

@@ -22,17 +22,16 @@ FEATURES = ["value_lag1", "value_lag2", "value_lag3", "value_roll3m", "value_rol
 
 
 def gbt_holdout(spark, sf_dir):
-    _, predicted = M.holdout(frame(spark, sf_dir), "value", FEATURES, "2000-06", trees=10)
+    _, predicted = M.holdout(frame(spark, sf_dir), "value", FEATURES, "2000-06")
     return predicted.select("series", "period", "value", "predicted")
 
 
 def arima_forecast(spark, sf_dir):
-    whole = monthly(spark, sf_dir).where("period < date'2001-07-01'")
-    return M.arima(whole, "series")
+    return M.arima(monthly(spark, sf_dir), "series")
 
 
 def window_forecast(spark, sf_dir):
-    return M.window_forecast(monthly(spark, sf_dir).where("period < date'2001-07-01'"), "series")
+    return M.window_forecast(monthly(spark, sf_dir), "series")
 
 
 def anomaly_scores(spark, sf_dir):
@@ -41,10 +40,9 @@ def anomaly_scores(spark, sf_dir):
 
 def categorize_abstain(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("name"), F.col("p_type").alias("code"))
-    labelled = parts.where("p_partkey % 10 = 0").withColumn("code", F.when(F.col("p_partkey") % 30 > 0, F.col("code")))
-    types = [r.code for r in parts.select("code").distinct().orderBy("code").limit(100).collect()]
-    model = M.train_categorizer(labelled, "name", "code")
-    return M.categorize(model, parts.where("p_partkey % 10 = 1").drop("code"), "name", types)
+    labelled = parts.withColumn("code", F.when(F.col("p_partkey") % 3 > 0, F.col("code")))
+    model = M.train_categorizer(labelled, "name", "code", key="p_partkey")
+    return M.categorize(model, parts.drop("code"), "name", M.known_codes(parts, "code"))
 
 
 def macro(spark, sf_dir):

@@ -11,12 +11,8 @@ from ..sources import payloads
 from .series import read
 
 
-def words(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", "text")
-
-
 def text_normalize(spark, sf_dir):
-    named = F.concat(F.lit("Đồng-Nai_Sữa@"), F.substring("text", 1, 200))
+    named = F.concat(F.lit("Đồng-Nai_Sữa@"), F.coalesce("text", F.lit("")))
     return read(spark, sf_dir, "documents").select("doc_id", X.normalized(F.regexp_replace(named, "[^\\x00-\\x7FĐồữ]", "")).alias("normalized"))
 
 
@@ -50,14 +46,14 @@ def number_tokens(spark, sf_dir):
 
 
 def honest_numbers(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
-    claim = F.concat(F.lit("worth "), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"), F.lit(" in "), F.when(F.col("o_orderkey") % 40 == 0, F.year("o_orderdate") + 300).otherwise(F.year("o_orderdate")).cast("string"))
+    o = read(spark, sf_dir, "orders")
+    claim = F.concat(F.lit("worth "), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"), F.lit(" in "), F.when(F.col("o_orderkey") % 40 == 0, F.year("o_orderdate") + 9_000_000).otherwise(F.year("o_orderdate")).cast("string"))
     return o.select("o_orderkey", X.honest(claim, F.array(F.col("o_totalprice"), F.year("o_orderdate").cast("double"))).alias("honest"))
 
 
 def period_parse(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") / 10 % 5
+    o = read(spark, sf_dir, "orders")
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
     text = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyy-MM")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).when(k == 3, F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))).otherwise("bad-period")
     return o.select("o_orderkey", X.period(text).alias("period"), X.quarter_end(F.year(d), F.quarter(d)).alias("quarter_end"))
 
@@ -99,7 +95,7 @@ def json_props_map(spark, sf_dir):
 
 def listing_payloads(spark, sf_dir):
     """Item lists as a marketplace sends them, parsed into listings."""
-    ls = read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    ls = read(spark, sf_dir, "lineitem")
     item = F.struct(F.col("l_partkey").alias("itemid"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("name"), F.floor(F.col("l_extendedprice") * 100_000).cast("long").alias("price"), F.col("l_quantity").cast("int").alias("historical_sold"))
     packed = ls.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
     rows = payloads.shopee_listings(packed, "l_orderkey", "body")
@@ -107,7 +103,7 @@ def listing_payloads(spark, sf_dir):
 
 
 def feedback_harvest(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = read(spark, sf_dir, "events")
     factor = F.when(F.col("event_type") == "click", 1000.0).when(F.col("event_type") == "view", F.when(F.col("event_id") % 30 == 0, 0.001).otherwise(1.5)).otherwise(2.0)
     edits = e.select(F.col("event_type").alias("field"), F.col("value").cast("string").alias("before"), F.when(F.col("event_id") % 70 == 0, F.col("value").cast("string")).otherwise((F.col("value") * factor).cast("string")).alias("after"))
     return X.harvest(edits)
@@ -121,14 +117,14 @@ def unit_scale_class(spark, sf_dir):
 
 def statement_extraction(spark, sf_dir):
     """Statements written from orders, read back field by field."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 25 = 0")
+    o = read(spark, sf_dir, "orders")
     p = F.floor("o_totalprice").cast("string")
     text = F.concat(F.when(F.col("o_orderkey") % 50 == 0, "Đơn vị: triệu đồng\n").otherwise(""), F.lit("Doanh thu thuần  "), p, F.lit("\nTotal assets 1.250.000\n"), F.when(F.col("o_orderkey") % 75 == 0, "Total assets 99.000\n").otherwise(""), F.lit("Number of employees 45\nVốn chủ sở hữu 7"))
     return X.extract_fields(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
 
 
 def map_field_diffs(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+    o = read(spark, sf_dir, "orders")
     before = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"), F.lit("note"), F.lit(""))
     after = F.create_map(F.lit("status"), F.when(F.col("o_orderkey") % 200 == 0, "X").otherwise(F.col("o_orderstatus")), F.lit("priority"), F.col("o_orderpriority"))
     return o.select("o_orderkey", F.size(X.field_diffs(before, after)).cast("long").alias("n_diffs"), F.array_join(F.transform(X.field_diffs(before, after), lambda d: d.field), ",").alias("fields"))
@@ -148,13 +144,13 @@ QUERIES = {f.__name__: f for f in (
 )}
 NORMAL = r"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 SQL = {
-    "text_normalize": r"""WITH t AS (SELECT doc_id, translate(lower(regexp_replace('Đồng-Nai_Sữa@' || substr(text, 1, 200), '[^\x00-\x7FĐồữ]', '', 'g')), 'đồữ', 'dou') AS t FROM documents) SELECT doc_id, """ + NORMAL.format(x="t") + " AS normalized FROM t",
+    "text_normalize": r"""WITH t AS (SELECT doc_id, translate(lower(regexp_replace('Đồng-Nai_Sữa@' || coalesce(text, ''), '[^\x00-\x7FĐồữ]', '', 'g')), 'đồữ', 'dou') AS t FROM documents) SELECT doc_id, """ + NORMAL.format(x="t") + " AS normalized FROM t",
     "token_stopwords": r"WITH t AS (SELECT p_partkey, list_filter(string_split(" + NORMAL.format(x="lower(p_name)") + r", ' '), lambda x: x NOT IN ('part', 'blue', 'the', '')) AS t FROM part) SELECT p_partkey, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, '') AS compact FROM t",
     "label_alias_map": "SELECT CASE WHEN contains(event_type, 'purchase') THEN 'buy' WHEN contains(event_type, 'pur') THEN 'other' WHEN contains(event_type, 'click') THEN 'touch' WHEN contains(event_type, 'view') THEN 'see' END AS label, count(*) AS n FROM events GROUP BY 1",
     "number_dialects": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice) + (CAST(round(o_totalprice * 100) AS BIGINT) % 100) / 100 WHEN 1 THEN -floor(o_totalprice) WHEN 2 THEN CAST(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS DOUBLE) END AS value FROM orders",
     "number_tokens": r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS n_numbers, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS numbers FROM conversations",
-    "honest_numbers": "SELECT o_orderkey, o_orderkey % 40 <> 0 AS honest FROM orders WHERE o_orderkey % 20 = 0",
-    "period_parse": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey // 10 % 5 AS k FROM orders WHERE o_orderkey % 10 = 0)
+    "honest_numbers": "SELECT o_orderkey, o_orderkey % 40 <> 0 AS honest FROM orders",
+    "period_parse": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 5 AS k FROM orders)
  SELECT o_orderkey, CASE k WHEN 0 THEN CAST(date_trunc('year', d) AS DATE) WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN CAST(date_trunc('month', d) AS DATE) WHEN 3 THEN CAST(date_trunc('quarter', d) AS DATE) END AS period, CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end FROM o""",
     "html_commerce_flags": r"""WITH p AS (SELECT page_id, lower(html) AS t, page_id % 5 AS k FROM pages) SELECT page_id, k IN (0, 1, 2) OR regexp_matches(t, '\b(shop|product)\b') OR contains(t, 'cửa hàng') OR contains(t, 'online store') OR contains(t, 'add to cart') AS has_ecommerce,
    k IN (0, 1) OR regexp_matches(t, '\b(cart|checkout)\b') OR contains(t, 'add to cart') OR contains(t, 'shop now') AS has_checkout FROM p""",
@@ -169,13 +165,13 @@ SQL = {
     "vector_cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS cosine FROM v JOIN v AS q ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM c) SELECT * FROM r WHERE place <= 5""",
     "json_props_map": "SELECT event_type, count(CAST(props ->> '$.k' AS BIGINT)) AS n_k, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS sum_k, max(CAST(props ->> '$.k' AS BIGINT)) AS max_k FROM events GROUP BY 1",
-    "listing_payloads": "SELECT l_orderkey, count(*) AS n, round(sum(floor(l_extendedprice * 100000) / 100000 * CAST(l_quantity AS INTEGER)), 0) AS revenue FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1",
-    "feedback_harvest": """WITH e AS (SELECT event_type AS field, event_id, value AS b, value * CASE event_type WHEN 'click' THEN 1000.0::DOUBLE WHEN 'view' THEN CASE WHEN event_id % 30 = 0 THEN 0.001::DOUBLE ELSE 1.5::DOUBLE END ELSE 2.0::DOUBLE END AS a FROM events WHERE event_id % 10 = 0 AND event_id % 70 <> 0 AND value <> 0)
+    "listing_payloads": "SELECT l_orderkey, count(*) AS n, round(sum(floor(l_extendedprice * 100000) / 100000 * CAST(l_quantity AS INTEGER)), 0) AS revenue FROM lineitem GROUP BY 1",
+    "feedback_harvest": """WITH e AS (SELECT event_type AS field, event_id, value AS b, value * CASE event_type WHEN 'click' THEN 1000.0::DOUBLE WHEN 'view' THEN CASE WHEN event_id % 30 = 0 THEN 0.001::DOUBLE ELSE 1.5::DOUBLE END ELSE 2.0::DOUBLE END AS a FROM events WHERE event_id % 70 <> 0 AND value <> 0)
  SELECT field, count(*) AS n_edits, 'review_aliases' AS proposal, CASE WHEN field = 'click' THEN 'nghin' WHEN field = 'view' AND count(*) FILTER (WHERE event_id % 30 = 0) >= 3 THEN 'nghin_overapplied' END AS review_unit_scale FROM e GROUP BY 1 HAVING count(*) >= 3""",
     "unit_scale_class": "SELECT CASE l_partkey % 6 WHEN 0 THEN 'nghin' WHEN 1 THEN 'nghin' WHEN 2 THEN 'trieu' WHEN 3 THEN 'nghin_overapplied' WHEN 4 THEN 'trieu_overapplied' END AS scale, count(*) AS n FROM lineitem GROUP BY 1",
-    "statement_extraction": """WITH o AS (SELECT o_orderkey, floor(o_totalprice) AS p, CASE WHEN o_orderkey % 50 = 0 THEN 1000000.0::DOUBLE ELSE 1.0::DOUBLE END AS s, o_orderkey % 75 = 0 AS twice FROM orders WHERE o_orderkey % 25 = 0)
+    "statement_extraction": """WITH o AS (SELECT o_orderkey, floor(o_totalprice) AS p, CASE WHEN o_orderkey % 50 = 0 THEN 1000000.0::DOUBLE ELSE 1.0::DOUBLE END AS s, o_orderkey % 75 = 0 AS twice FROM orders)
  SELECT o_orderkey, f.field AS field, f.v AS value, f.c AS confidence, f.w AS warning FROM (SELECT o_orderkey, unnest([
    {'field': 'operating_revenue', 'v': p * s, 'c': 0.9::DOUBLE, 'w': NULL}, {'field': 'profit_before_tax', 'v': NULL, 'c': NULL, 'w': 'missing'}, {'field': 'employees', 'v': 45.0::DOUBLE, 'c': 0.9::DOUBLE, 'w': NULL},
    {'field': 'total_assets', 'v': CASE WHEN NOT twice THEN 1250000 * s END, 'c': 0.9::DOUBLE, 'w': CASE WHEN twice THEN 'ambiguous' END}, {'field': 'total_equity', 'v': NULL, 'c': 0.7::DOUBLE, 'w': 'low_confidence'}]) AS f FROM o) AS x""",
-    "map_field_diffs": "SELECT o_orderkey, CASE WHEN o_orderkey % 200 = 0 THEN 1 ELSE 0 END AS n_diffs, CASE WHEN o_orderkey % 200 = 0 THEN 'status' ELSE '' END AS fields FROM orders WHERE o_orderkey % 100 = 0",
+    "map_field_diffs": "SELECT o_orderkey, CASE WHEN o_orderkey % 200 = 0 THEN 1 ELSE 0 END AS n_diffs, CASE WHEN o_orderkey % 200 = 0 THEN 'status' ELSE '' END AS fields FROM orders",
 }

@@ -23,9 +23,17 @@ def edit_counts(edits: DataFrame) -> DataFrame:
     return edits.where(~F.col("before").eqNullSafe(F.col("after"))).groupBy("field").agg(F.count("*").alias("n_edits"))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Everything that has landed, into an in-memory table, then stop."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Everything that has landed, as Parquet below ``folder``, then stop.
+
+    In complete mode each batch replaces the result; in the others ``folder/{batch}`` is its part. A batch that is replayed
+    writes the same again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/batch={number}")
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 

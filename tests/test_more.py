@@ -136,8 +136,8 @@ def test_streams(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
     (log / "a.json").write_text("\n".join(json.dumps({"id": str(i), "field_diffs": [{"field": "revenue", "before": "1", "after": "2"}, {"field": "x", "before": "1", "after": "1"}]}) for i in range(3)))
-    S.run_available(S.edit_counts(S.signal_edits(spark, str(log))), "edits", str(tmp_path / "c1"))
-    assert [tuple(r) for r in spark.table("edits").collect()] == [("revenue", 3)]
+    S.run_available(S.edit_counts(S.signal_edits(spark, str(log))), str(tmp_path / "edits"), str(tmp_path / "c1"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "edits")).collect()] == [("revenue", 3)]
     rows = tmp_path / "rows"
     for i, part in enumerate(([(1, 1, "a"), (1, 2, "b")], [(1, 3, None), (2, 4, "c")])):
         spark.createDataFrame(part, "k int, seq int, v string").coalesce(1).write.parquet(str(rows / f"p{i}"))
@@ -150,8 +150,8 @@ def test_last_good_observation(spark, tmp_path):
     obs = [("a", dt.datetime(2024, 1, 1), 5.0, True), ("a", dt.datetime(2024, 1, 2), None, False), ("b", dt.datetime(2024, 1, 1), None, False)]
     spark.createDataFrame(obs, "key string, at timestamp, value double, ok boolean").write.parquet(str(tmp_path / "o"))
     stream = spark.readStream.schema("key string, at timestamp, value double, ok boolean").parquet(str(tmp_path / "o"))
-    S.run_available(S.last_good(stream), "good", str(tmp_path / "c"), "append")
-    assert {(r.key, r.at.day, r.value, r.fresh) for r in spark.table("good").collect()} == {("a", 1, 5.0, True), ("a", 2, 5.0, False), ("b", 1, None, False)}
+    S.run_available(S.last_good(stream), str(tmp_path / "good"), str(tmp_path / "c"), "append")
+    assert {(r.key, r.at.day, r.value, r.fresh) for r in spark.read.parquet(str(tmp_path / "good")).collect()} == {("a", 1, 5.0, True), ("a", 2, 5.0, False), ("b", 1, None, False)}
 
 
 def test_sql_functions(spark):

@@ -122,3 +122,31 @@ def test_malformed_log_lines_are_counted(spark, tmp_path):
     good, bad = P.jsonl(spark, str(tmp_path / "a.jsonl"), "id STRING")
     assert sorted(r.id for r in good.collect()) == ["1", "2"]
     assert bad.first().skipped == 1
+
+
+def test_resolve_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    base = ["Công ty cổ phần Sữa Việt Nam", "Rạng Đông", "Tập đoàn Hòa Phát", "FPT", "Masan Group", "Điện Quang", "abcd", "Vĩnh Hoàn", "An Phát Xanh", "Đức Giang", "Thép Nam Kim", "Gỗ An Cường", "Minh Phú", "x"]
+    firms = [(i, b) for i, b in enumerate(base)] + [(100 + i, "".join(rng.choices("abcdeghmnot ", k=rng.randint(2, 18)))) for i in range(40)]
+    handles = ["abxcd", "abdcd", "vinamilc", "rangdong.official", "hoaphatt", "fpt_shop", "masn", "", "??", "dienqang store"]
+    for _, n in firms[:54]:
+        n = list(n.lower())
+        for _ in range(rng.randint(0, 3)):
+            n[rng.randrange(len(n))] = rng.choice("abcdeghmnot")
+        handles.append("".join(n).replace(" ", rng.choice(["", ".", "_"])))
+    shops = spark.createDataFrame(list(enumerate(handles)), "sid long, shop string")
+    f = spark.createDataFrame(firms, "id long, name string")
+    s = M.signals(shops, "shop", M.SHOP_NOISE, "shop")
+    both = M.signals(f, "name", M.FIRM_NOISE, "firm").withColumn("firm_brands", M.brands(F.col("name"))).crossJoin(s)
+    best = {}
+    for r in M.scored(both).where(F.col("score") >= M.THRESHOLD).collect():
+        best[r.sid] = min(best.get(r.sid, (0.0, 0)), (-r.score, r.id))
+    for block in (2000, 7):
+        got = {r.sid: (r.score, r.id) for r in M.resolve(shops, f, "sid", "shop", "id", "name", block_firms=block).collect()}
+        assert set(got) == set(range(len(handles)))
+        assert {k: (-v[0], v[1]) for k, v in best.items()} == {k: v for k, v in got.items() if v[1] is not None}
+    assert got[0][1] == 6  # abxcd and abcd share no three letters in a row
+    assert got[2][1] == 0  # vinamilc, by the brand's own ratio
+    assert M.resolve(shops, f.where("false"), "sid", "shop", "id", "name").where("id IS NOT NULL").count() == 0
