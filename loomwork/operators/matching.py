@@ -99,7 +99,11 @@ def tiers(shop: str = "shop_compact") -> Column:
 def short_code(shop: Column, firm_brands: Column) -> Column:
     """0.72 where a handle opens with the short code of one of the firm's brands."""
     words = X.tokens(shop)
-    hits = [F.arrays_overlap(firm_brands, F.array(*map(F.lit, b))) & F.exists(words, lambda w, c=c: (w == c) if len(c) <= 2 else w.startswith(c)) for c, b in CODES.items()]
+
+    def opens(code: str):
+        return lambda w: (w == code) if len(code) <= 2 else w.startswith(code)
+
+    hits = [F.arrays_overlap(firm_brands, F.array(*map(F.lit, b))) & F.exists(words, opens(c)) for c, b in CODES.items()]
     any_hit = hits[0]
     for h in hits[1:]:
         any_hit = any_hit | h

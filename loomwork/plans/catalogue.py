@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, extra, firms, heatmap, models, records, series, texts
+from . import evidence, extra, firms, heatmap, jobs, models, records, series, texts
 
-MODULES = (heatmap, series, firms, records, texts, models, extra, evidence)
+MODULES = (heatmap, series, firms, records, texts, models, extra, evidence, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,8 @@ parts become nulls or rows with a reason, never exceptions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,3 +224,10 @@ def series_url(base: str, *key: str | None, start: str | None = None) -> str:
 def is_empty_series(status: Column, body: Column) -> Column:
     """Whether a service's answer says that a series has no data: not found, no content, or a body without observations."""
     return status.isin(204, 404) | F.coalesce(body.rlike(r"(?i)no\s*(records|results|data)\s*found"), F.lit(False)) | (F.coalesce(F.trim(body), F.lit("")) == "")
+
+
+def embedded_json(html: Column, name: str | None = None) -> Column:
+    """The first JSON text in a page: of a script of type ld+json, or with ``name`` what a script assigns to that name; null if it is none."""
+    pattern = rf"(?s)\b{re.escape(name)}\s*=\s*(\{{.*?\}}|\[.*?\])\s*;?\s*</script" if name else r"(?is)<script[^>]*ld\+json[^>]*>\s*(.*?)\s*</script"
+    found = F.regexp_extract(html, pattern, 1)
+    return F.when(F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull(), found)
