@@ -164,6 +164,10 @@ class Codec:
             del self.cache[x]
         return out
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache, self.older, self.cached_bytes = {}, {}, 0
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -187,7 +191,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
 
     def make():
         c = codec(path)
-        return lambda texts: [[np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in c.encode(texts)]]
+
+        def run(texts):
+            return [[np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in c.encode(texts)]]
+
+        run.done = c.forget
+        return run
 
     return common.map_texts(docs, text, make, [(column, "array<int>")])
 
@@ -218,6 +227,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
             ids = c.encode(texts)
             return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]]
 
+        run.done = c.forget
         return run
 
     out = common.map_texts(docs, text, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], keep=[doc_id])

@@ -20,8 +20,8 @@ SPACES = b" \t\n\r\x0b\x0c"
 ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 Batch = list[list]
-#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is eight times as much, for each task and on both sides.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is sixteen times as much, for each task and on both sides.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -155,6 +155,8 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
 
     The function gets lists of texts (some may be None) of about ``slice_chars`` bytes together, or a single longer one;
     kept columns pass by without being turned into Python objects. A kept column with the name of an added one gives way.
+    If the function has an attribute ``done``, that is called at the task's end, so that a worker that goes on to other stages
+    keeps no cache.
     """
     small_batches(df.sparkSession)
     names = {n.lower() for n, _ in fields}
@@ -166,9 +168,8 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        types, work = to_arrow_schema(added), None
+        types, work = to_arrow_schema(added), make()
         for batch in batches:
-            work = work or make()
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0).to_pylist()
             start, held = 0, 0
             for end, n in enumerate([*lengths, None]):
@@ -178,6 +179,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, type=f.type) for c, f in zip(made, types, strict=True))], names=[*keep, *types.names])
                     start, held = end, 0
                 held += n or 0
+        getattr(work, "done", bool)()
 
     import pyarrow.compute  # noqa: F401  named as pa.compute in the tasks
 
