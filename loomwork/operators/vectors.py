@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block_rows: int = 5000, digits: int = 6) -> DataFrame:
+#: Rows that a task multiplies with a block at once.
+ROWS_AT_ONCE = 1000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block_rows: int = 2000, digits: int = 6) -> DataFrame:
     """(query_id, id, cosine, place): the ``k`` rows most like each query by cosine, the query's own id left out.
 
     Queries go to the tasks in blocks of ``block_rows``, one pass for each block; every task multiplies its rows with the
-    block and gives ``k`` of them for each query, so what is shuffled is k rows per query and task and never a pair table.
+    block, keeps the best ``k`` for each query as it goes, and gives them at its end: what is shuffled is k rows per query and
+    task and never a pair table. The stated queries are meant to be few: every block costs a pass over the rows.
     Ties go to the smallest id; null vectors and those of length 0 are like nothing.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
@@ -31,18 +36,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, block = shared.value
+            best_ids, best = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, np.nan)
-                cosine = np.round(v @ block.T, digits)
-                cosine[np.isnan(cosine) | (own[:, None] == ids)] = -np.inf
-                order = np.lexsort((np.broadcast_to(own[:, None], cosine.shape), -cosine), axis=0)[:k]
-                best = np.take_along_axis(cosine, order, 0)
-                keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, best.shape)[keep]), pa.array(own[order][keep]), pa.array(best[keep])], names=["query_id", "id", "cosine"])
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(at, ROWS_AT_ONCE)
+                    own = part.column(0).to_numpy()
+                    v = np.stack(part.column(1).to_numpy(zero_copy_only=False))
+                    v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, np.nan)
+                    cosine = np.round(v @ block.T, digits)
+                    cosine[np.isnan(cosine) | (own[:, None] == ids)] = -np.inf
+                    every = np.concatenate([best, cosine])
+                    every_ids = np.concatenate([best_ids, np.broadcast_to(own[:, None], cosine.shape)])
+                    order = np.lexsort((every_ids, -every), axis=0)[:k]
+                    best, best_ids = np.take_along_axis(every, order, 0), np.take_along_axis(every_ids, order, 0)
+            keep = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, best.shape)[keep]), pa.array(best_ids[keep]), pa.array(best[keep])], names=["query_id", "id", "cosine"])
 
         one = rows.mapInArrow(run, "query_id long, id long, cosine double")
         found = one if found is None else found.unionByName(one)
