@@ -302,13 +302,20 @@ def test_prefixes_are_exact_in_any_order(spark):
         assert len(np.intersect1d(probe, index))
 
 
-def test_parities_differ_no_more_than_sets():
+def test_parities_differ_no_more_than_sets(spark):
     random = np.random.RandomState(6)
     for n in (0, 5, 300, 4000):
         a, b = (np.unique(random.randint(0, 1 << 62, n).astype(np.uint64)) for _ in range(2))
         b = np.union1d(a[: n // 2], b[: n // 3])
-        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.set_bits(a), simhash.set_bits(b), strict=True))
-        assert bits <= len(np.setxor1d(a, b))
+        for x, y in ((simhash.folded(simhash.set_bits(s)) for s in (a, b)),):
+            assert sum((int(i) & (1 << 64) - 1).bit_count() for i in x ^ y) <= len(np.setxor1d(a, b))
+        long, short = sorted((simhash.set_bits(a), simhash.set_bits(b)), key=len, reverse=True)
+        if len(long) <= 2 * len(short):
+            frame = spark.createDataFrame([(long.tolist(), short.tolist())], "x array<long>, y array<long>")
+            r = frame.select(simhash.differing("x", "y").alias("d"), simhash.differing("y", "x").alias("e")).first()
+            want = sum((int(i) & (1 << 64) - 1).bit_count() for i in np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0) ^ short)
+            assert (r.d, r.e) == (want, want)
+            assert want <= len(np.setxor1d(a, b))
 
 
 def test_scratch_tables_go_and_results_stay(spark, docs):
@@ -530,3 +537,34 @@ def test_edit_prints_are_classed_in_the_query(spark, docs):
     want = classes(pairs, rows)
     assert sum(rows[a].class_id == rows[b].class_id for a, b in pairs) >= 0.95 * len(pairs)
     assert all(want[r.class_id] == want[i] for i, r in rows.items())
+
+
+def test_helpers_names_do_not_clash(spark, docs, labels):
+    """Tables with columns that are named as operators name their own keep them, values and all."""
+    from loomwork.llm import bpe, language, quality
+
+    names = ["text_to_map", "q_kept", "toxic_score", "mix_size", "mix_key", "mix_of", "mix_taken", "mix_copy", "mix_words", "gone_id", "gone_node", "key", "tie", "bucket", "__text", "__size", "Node", "size", "taken"]
+    rows = docs.limit(80).withColumns({n: F.lit(7) for n in names})
+    for out in (
+        quality.accepted(rows), mixing.mixture(rows), simhash.without_copies(rows), toxicity.without_toxic(rows, toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -1.0)),
+        bpe.encode(rows, corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")), language.identify(rows, language.fit(docs)),
+    ):
+        assert [c for c in rows.columns if c not in out.columns] == []
+        assert out.where(" OR ".join(f"`{n}` <> 7" for n in names)).count() == 0
+        assert out.count() > 0
+    assert {r.taken <= 2 * r.size for r in mixing.mix(rows).collect()} == {True}
+    assert edit_prints.with_edits(rows).count() == 80
+    assert simhash.groups(rows).count() == 80
+
+
+def test_repeated_rows_and_empty_tables(spark, docs, labels):
+    from loomwork.llm import language, quality, token_counts
+
+    rows = docs.limit(40).union(docs.limit(5))
+    pieces = corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")
+    model, tongues = toxicity.fit(docs, labels), language.fit(docs)
+    for of in (lambda d: quality.cascade(d, keep=["doc_id"]), lambda d: token_counts.count_tokens(d, pieces), lambda d: toxicity.score(d, model, keep=["doc_id"]), lambda d: language.identify(d, tongues, keep=["doc_id"])):
+        found = [tuple(map(str, r)) for r in of(rows).collect()]
+        assert len(found) == 45
+        assert len(set(found)) == 40  # a repeated row has the same result
+        assert of(rows.where("false")).count() == 0
