@@ -26,17 +26,41 @@ def long_ratios(reports: DataFrame, keys: list[str], metrics: tuple[str, ...] =
     return benchmark_ratios(reports).unpivot(keys, list(metrics), "metric", "value").where("value IS NOT NULL")
 
 
+def placed_values(rows: DataFrame, keys: list[str], value: str = "value", weight: Column | None = None, ranges: int = 64) -> DataFrame:
+    """(keys, value, n, le, total): each distinct value with its rows, the rows at or below it, and all rows of its group.
+
+    ``weight`` is what a row counts (1). Values are counted before they are ordered, and ordered in ``ranges`` of a group's
+    values by approximate quantiles, with sums before each range: no group is sorted in one task, and the places are exact.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"), F.sum("n").alias("total"))
+    ranged = counts.join(cuts, keys).select(*keys, value, "n", "total", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("value_range"))
+    before = Window.partitionBy(*keys).orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = ranged.groupBy(*keys, "value_range").agg(F.sum("n").alias("in_range")).select(*keys, "value_range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(*keys, "value_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("inside", F.sum("n").over(inside)).join(ahead, [*keys, "value_range"]).select(*keys, value, "n", (F.col("ahead") + F.col("inside")).alias("le"), "total")
+
+
+def quantile(share: float) -> Column:
+    """The linearly interpolated quantile of a group of :func:`placed_values`, as an aggregate."""
+    at = (F.col("total") - 1) * F.lit(share)
+    value_at = lambda place: F.max(F.when((F.col("le") - F.col("n") <= place) & (place < F.col("le")), F.col("value")))
+    low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
 def statistics(population: DataFrame, keys: list[str]) -> DataFrame:
     """Peers, average and quartiles (none for fewer than four peers) of ``value`` by group."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = population.groupBy(*keys).agg(F.count("value").alias("peers"), F.round(F.avg("value"), 4).alias("average"), q.alias("q"))
-    band = lambda i: F.when(F.col("peers") >= QUARTILE_PEERS, F.round(F.col("q")[i], 6))
-    return rows.select(*keys, "peers", "average", band(0).alias("p25"), band(1).alias("p50"), band(2).alias("p75"))
+    rows = population.groupBy(*keys).agg(F.count("value").alias("peers"), F.round(F.avg("value"), 4).alias("average"))
+    quartiles = placed_values(population, keys).groupBy(*keys).agg(*(quantile(q).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
+    band = lambda p: F.when(F.col("peers") >= QUARTILE_PEERS, F.round(p, 6)).alias(p)
+    return rows.join(quartiles, keys, "left").select(*keys, "peers", "average", band("p25"), band("p50"), band("p75"))
 
 
 def percentiles(population: DataFrame, keys: list[str], name: str = "percentile") -> DataFrame:
     """Share of peers whose value is no larger, in percent."""
-    return population.withColumn(name, F.round(F.cume_dist().over(Window.partitionBy(*keys).orderBy("value")) * 100, 1))
+    placed = placed_values(population, keys).select(*keys, "value", F.round(F.col("le") / F.col("total") * 100, 1).alias(name))
+    return population.join(placed, [*keys, "value"], "left")
 
 
 def label(value: Column, average: Column, peers: Column) -> Column:
@@ -58,18 +82,17 @@ def compare(targets: DataFrame, peers: DataFrame, group: str, key: str = "compan
     own = benchmark_ratios(targets).unpivot([key, group], list(metrics), "metric", "value")
     if exclude_self:
         sums = population.groupBy(group, "metric").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-        ranked = population.withColumn("le", F.count("*").over(Window.partitionBy(group, "metric").orderBy("value")))
-        mine = ranked.select(key, group, "metric", "le", F.col("value").alias("own"))
+        places = placed_values(population, [group, "metric"]).select(group, "metric", "value", "le")
+        mine = population.join(places, [group, "metric", "value"]).select(key, group, "metric", "le", F.col("value").alias("own"))
         rows = own.join(sums, [group, "metric"], "left").join(mine, [key, group, "metric"], "left")
         n = F.coalesce("n", F.lit(0)) - F.col("own").isNotNull().cast("int")
         average = F.round(ratio(F.col("s") - F.coalesce("own", F.lit(0.0)), n), 4)
         return rows.select(key, group, "metric", "value", n.alias("peers"), average.alias("average"), F.round(ratio(F.col("le") - 1, n) * 100, 1).alias("percentile")).withColumn("label", label(F.col("value"), F.col("average"), F.col("peers")))
     stats = statistics(population, [group, "metric"])
-    # places of the peers' values; a target's percentile is that of the last peer value at or below its own
-    marked = population.select(group, "metric", "value", F.lit(0).alias("side"), F.lit(None).cast(own.schema[key].dataType).alias(key))
-    both = marked.unionByName(own.where("value IS NOT NULL").withColumn("side", F.lit(1)))
-    at = F.count_if(F.col("side") == 0).over(Window.partitionBy(group, "metric").orderBy("value", "side"))
-    placed = both.withColumn("le", at).where("side = 1").select(key, group, "metric", "le")
+    # targets' values take places among the peers' without counting themselves
+    both = population.select(group, "metric", "value", F.lit(1).alias("counts")).unionByName(own.where("value IS NOT NULL").select(group, "metric", "value", F.lit(0).alias("counts")))
+    places = placed_values(both, [group, "metric"], weight=F.col("counts")).select(group, "metric", "value", "le")
+    placed = own.join(places, [group, "metric", "value"]).select(key, group, "metric", "le")
     rows = own.join(stats, [group, "metric"], "left").join(placed, [key, group, "metric"], "left")
     rows = rows.withColumns({"peers": F.coalesce("peers", F.lit(0)), "percentile": F.round(ratio("le", "peers") * 100, 1)}).drop("le")
     return rows.withColumn("label", F.when(F.col("value").isNotNull(), label(F.col("value"), F.col("average"), F.col("peers")))).withColumn("warnings", warnings(F.col("peers")))

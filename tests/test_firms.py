@@ -73,3 +73,18 @@ def test_consistency(spark):
     assert {r.field: (r.severity, r.note) for r in B.consistency(got, stored, "id").collect()} == {
         "operating_revenue": ("ok", None), "profit_before_tax": ("mismatch", "zero_db"), "total_assets": ("mismatch", None), "total_equity": ("warn", "missing"), "employees": ("ok", None),
     }
+
+
+def test_places_of_values_are_exact(spark):
+    import random
+
+    from loomwork.operators import benchmark as B
+
+    rng = random.Random(2)
+    rows = [(g, float(rng.choice([rng.randint(0, 9), rng.gauss(0, 50)]))) for g in "aab" for _ in range(400)] + [("one", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    by = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", "b", "one")}
+    for ranges in (2, 64):
+        got = B.placed_values(df, ["g"], ranges=ranges).collect()
+        assert {(r.g, r.value): (r.n, r.le, r.total) for r in got} == {(g, x): (v.count(x), sum(y <= x for y in v), len(v)) for g, v in by.items() for x in v}
+        assert len(got) == sum(len(set(v)) for v in by.values())
