@@ -506,7 +506,7 @@ def test_bands_miss_no_alike_pair(spark):
     rng.shuffle(prints)
     rows = list(enumerate(prints)) + [(900, prints[3]), (None, prints[4]), (901, "0" * 128)]
     sampled = np.random.RandomState(11)
-    at = [[int(k) for k in sampled.choice(128, 5, replace=False)] for _ in range(20)]
+    at = [[int(k) for k in sampled.choice(128, edit_prints.WIDTH, replace=False)] for _ in range(edit_prints.BANDS)]
     alike = [(a, b) for a, b in itertools.combinations(range(150), 2) if edit_prints.likeness(prints[a], prints[b]) >= 0.8]
     meeting = [(a, b) for a, b in alike if any(all(prints[a][k] == prints[b][k] for k in band) for band in at)]
     want = classes(meeting, range(150))
