@@ -59,6 +59,7 @@ def run_cleaning(raw: DataFrame, listings: DataFrame, validated: DataFrame, fold
     records = macro.count() + r.marketplace.n_listings
     fails = r.codes.checked - r.codes.valid
     outliers = sum(r.marketplace[f"n_{c}_outliers"] for c in columns)
+    # fixed value: the form of the job log's detail
     return records, f"records={records}; nan_filled={r.n_filled}; outliers={r.n_outliers}; mp_outliers_flagged={outliers}; vsic_fails={fails}; series_missing={','.join(missing) or 'none'}"
 
 
