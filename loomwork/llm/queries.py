@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, edit_prints, language, licenses, mixing, quality, simhash, token_counts, toxicity, warc
+from . import bpe, clusters, common, edit_prints, language, licenses, mixing, quality, simhash, spelling, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=40, rounds=5, size=64, seed=2)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -89,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_edit_prints": op9_edit_prints,
         "op10_licenses": op10_licenses,
+        "op12_clusters": op12_clusters,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -167,5 +177,48 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(epochs * size
 """
 
 
+def _clusters_sql(k: int, rounds: int, size: int, seed: int) -> str:
+    """Lloyd's rounds written out one after another."""
+    squares = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    nearest = f"SELECT x.row, x.vec_id, x.v, min({{'d': CAST({squares} AS BIGINT), 'c': c.c}}) AS best FROM kept AS x, centroids AS c GROUP BY 1, 2, 3"
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = {size} AND len(embedding) = {size})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.replace('centroids', f'c{i}')})")
+        if i < rounds:
+            mean = "CAST((sum(v[d]) - ((sum(v[d]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+            parts.append(f"m{i} AS (SELECT c, list(m ORDER BY d) AS v FROM (SELECT best.c AS c, d, {mean} AS m FROM a{i}, range(1, {size + 1}) AS r(d) GROUP BY 1, 2) AS x GROUP BY 1)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON best.c = c.c"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) AS x WHERE length(r) >= 6 GROUP BY 1, 2
+), steps AS ( -- crc32 bit by bit: a byte comes in, then eight shifts
+  SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x), -1, -1, -1, -1, -1, -1, -1, -1]
+         ELSE [192 + (unicode(x) >> 6), -1, -1, -1, -1, -1, -1, -1, -1, 128 + (unicode(x) & 63), -1, -1, -1, -1, -1, -1, -1, -1] END)) AS s FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(s AS BIGINT[])), lambda c, b: CASE WHEN b < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, b) END)) AS h FROM steps
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM words) AS x),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM cut AS a JOIN cut AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words AS a JOIN cut AS b ON a.word = b.rest UNION SELECT b.word, a.word, a.n FROM words AS a JOIN cut AS b ON a.word = b.rest
+), best AS (SELECT word, count(*) AS n_near, min({'n': -n, 'w': near}) AS b FROM pairs GROUP BY 1),
+forms AS MATERIALIZED (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * n THEN b.w END AS form, CASE WHEN -b.n >= 5 * n THEN -b.n END AS form_n FROM words LEFT JOIN best ON words.word = best.word
+), chains AS (SELECT word, word AS root FROM forms UNION SELECT chains.word, forms.form FROM chains JOIN forms ON chains.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, chains.root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chains ON forms.word = chains.word JOIN forms AS last ON chains.root = last.word AND last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op12_clusters": _clusters_sql(40, 5, 64, 2), "op13_spelling": OP13_SQL}

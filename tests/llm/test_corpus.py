@@ -422,7 +422,7 @@ def test_near_prints_are_classed(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
