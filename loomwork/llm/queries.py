@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clusters, common, edit_prints, language, licenses, mixing, quality, simhash, spelling, token_counts, toxicity, warc
+from . import bpe, clusters, common, edit_prints, language, licenses, main_text, mixing, quality, simhash, spelling, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = main_text.fit(main_text.labelled_pages(pages))
+    return main_text.extract(pages, model, keep=["page_id", "url"])
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=40, rounds=5, size=64, seed=2)
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_edit_prints": op9_edit_prints,
         "op10_licenses": op10_licenses,
+        "op11_main_text": op11_main_text,
         "op12_clusters": op12_clusters,
         "op13_spelling": op13_spelling,
     }
