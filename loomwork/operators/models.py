@@ -1,24 +1,26 @@
 """Forecasters, anomaly scores and the product categorizer.
 
-Trees and logistic regression are Spark ML's. Models of one short series each (ARIMA, windows, isolation forests) run in one
+Trees are those of :mod:`boosting`, logistic regression is Spark ML's. Models of one short series each (ARIMA, windows, isolation forests) run in one
 group per series, so that many series spread over the cluster; a series of monthly values is small.
 """
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import boosting as B
 from . import text as X
 
 #: Tree booster, anomaly detector, window model and categorizer settings.
-TREES, DEPTH, RATE, SEED = 100, 4, 0.1, 42
+TREES, SEED = B.Profile(trees=100, depth=4, rate=0.1), 42
 CONTAMINATION, LEAST_POINTS, FOREST, SAMPLE = 0.05, 12, 100, 256
 SEQUENCE, HORIZON = 12, 6
 CONFIDENCE, MARGIN, LEAST_NAME, UNKNOWN = 0.22, 0.04, 3, "unknown"
@@ -33,34 +35,25 @@ def numeric_features(df: DataFrame, target: str, exclude: tuple[str, ...] = ("pe
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in (target, *exclude)]
 
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """``features`` as one vector, each with an indicator of null beside it."""
-    cols = {}
-    for c in features:
-        cols[f"__{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        cols[f"__{c}_null"] = F.col(c).isNull().cast("double")
-    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumns(cols)).drop(*cols)
-
-
-def train_trees(df: DataFrame, target: str, features: list[str], trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> GBTRegressionModel:
-    rows = assembled(df.where(F.col(target).isNotNull()), features)
-    return GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED).fit(rows)
+def train_trees(df: DataFrame, target: str, features: list[str], profile: B.Profile = TREES, **changes) -> B.Booster:
+    """A booster on the rows with a target; features keep their nulls (see :mod:`boosting`). ``changes`` replace settings of the profile."""
+    return B.fit(df, target, features, replace(profile, **changes))
 
 
-def importances(model: GBTRegressionModel, features: list[str]) -> list[tuple[str, float]]:
-    """Gain of each feature with its null indicator, largest first."""
-    gain = model.featureImportances.toArray().reshape(-1, 2).sum(1)
-    return sorted(zip(features, map(float, gain), strict=True), key=lambda x: (-x[1], x[0]))
+def importances(model: B.Booster, features: list[str]) -> list[tuple[str, float]]:
+    """Mean gain of each feature's splits, largest first; 0 for a feature that no split uses."""
+    gains = {f: g for f, g, _ in B.importances(model)}
+    return sorted(((f, gains.get(f, 0.0)) for f in features), key=lambda x: (-x[1], x[0]))
 
 
-def holdout(df: DataFrame, target: str, features: list[str], train_end: str, period: str = "period", least: int = 24, **options) -> tuple[str, DataFrame | None]:
+def holdout(df: DataFrame, target: str, features: list[str], train_end: str, period: str = "period", least: int = 24, **changes) -> tuple[str, DataFrame | None]:
     """(status, predictions of the months after ``train_end`` by a model of those up to it)."""
     train = df.where(F.date_format(period, "yyyy-MM") <= train_end)
     if train.count() < least:
         return "insufficient_data", None
-    model = train_trees(train, target, features, **options)
-    test = assembled(df.where(F.date_format(period, "yyyy-MM") > train_end), features)
-    return "ok", model.transform(test).select(*df.columns, F.round("prediction", 4).alias("predicted"))
+    model = train_trees(train, target, features, **changes)
+    test = df.where(F.date_format(period, "yyyy-MM") > train_end)
+    return "ok", B.predicted(test, model).select(*df.columns, F.round("prediction", 4).alias("predicted"))
 
 
 def recursive_features(history: list[float | None]) -> dict[str, float | None]:
@@ -71,26 +64,17 @@ def recursive_features(history: list[float | None]) -> dict[str, float | None]:
     return {"value_lag1": a, "value_lag2": b, "value_lag3": last(3), "value_roll3m": mean(3), "value_roll6m": mean(6), "growth": a / b - 1 if a is not None and b else None}
 
 
-def forecast_trees(spark, model: GBTRegressionModel, features: list[str], history: list[float], held: dict[str, float | None], steps: int) -> list[float]:
+def forecast_trees(spark, model: B.Booster, features: list[str], history: list[float], held: dict[str, float | None], steps: int) -> list[float]:
     """One step after another: value-derived features are renewed from what was forecast, others held. At most 24 steps."""
     if not 1 <= steps <= 24:
         raise ValueError("1 to 24 steps")
     history, out = list(history), []
     for _ in range(steps):
-        row = held | recursive_features(history)
-        vector = [y for c in features for y in ((0.0, 1.0) if row.get(c) is None else (float(row[c]), 0.0))]
-        value = float(model.predict(pd_vector(vector)))
-        history.append(value)
-        out.append(round(value, 2))
+        history.append(B.predict_one(model, held | recursive_features(history)))
+        out.append(round(history[-1], 2))
     return out
 
 
-def pd_vector(values: list[float]):
-    from pyspark.ml.linalg import Vectors
-
-    return Vectors.dense(values)
-
-
 # --- series models -------------------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting as B
 from . import models as M
 
 #: The holdout's months, the fewest months to train on, rows tested where the months are not there, and exogenous columns.
@@ -17,8 +17,8 @@ TRAIN_END, TEST_START, LEAST_TRAIN, TEST_ROWS = "2023-12", "2024-01", 24, 6
 EXOGENOUS = ("indigo", "indigo_lag1", "mei_ip")
 #: Models by name with the most months ahead that they forecast (None: no limit).
 MOST_AHEAD = {"arima": None, "xgboost": None, "lightgbm": None, "lstm": 6}
-#: Profiles of tree boosters: trees, depth, rate, and share of rows for each tree.
-BOOSTERS = {"xgboost": (100, 4, 0.1, 1.0), "lightgbm": (100, 5, 0.05, 0.8)}
+#: Profiles of tree boosters; the second grows by leaves, of twenty rows at least, without a penalty of their values.
+BOOSTERS = {"xgboost": M.TREES, "lightgbm": B.Profile(trees=100, depth=4, rate=0.1, leaves=31, least_rows=20, squares=0.0)}
 
 
 def reindexed(target: DataFrame, features: DataFrame, on: str = "period") -> DataFrame:
@@ -128,29 +128,26 @@ def month_after(last: Column, steps: Column) -> Column:
 # --- tree boosters -------------------------------------------------------------------------------------------------
 
 
-def train_booster(df: DataFrame, target: str, features: list[str], backend: str = "xgboost", train_end: str = TRAIN_END, period: str = "period", least: int = LEAST_TRAIN, trees: int | None = None) -> tuple[str, GBTRegressionModel | None, DataFrame | None]:
+def train_booster(df: DataFrame, target: str, features: list[str], backend: str = "xgboost", train_end: str = TRAIN_END, period: str = "period", least: int = LEAST_TRAIN, trees: int | None = None) -> tuple[str, B.Booster | None, DataFrame | None]:
     """(status, model, predictions of the months after ``train_end``): ok, insufficient_data, or unavailable for a backend that is not here."""
     if backend not in BOOSTERS:
         return "unavailable", None, None
     train = df.where(F.date_format(period, "yyyy-MM") <= train_end).where(F.col(target).isNotNull())
     if train.count() < least:
         return "insufficient_data", None, None
-    n, depth, rate, share = BOOSTERS[backend]
-    booster = GBTRegressor(labelCol=target, featuresCol="features", maxIter=trees or n, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=M.SEED)
-    model = booster.fit(M.assembled(train, features))
-    test = M.assembled(df.where(F.date_format(period, "yyyy-MM") > train_end), features)
-    return "ok", model, model.transform(test).select(*df.columns, F.round("prediction", 4).alias("predicted"))
+    profile = BOOSTERS[backend]
+    model = M.train_trees(train, target, features, profile, trees=trees or profile.trees)
+    test = df.where(F.date_format(period, "yyyy-MM") > train_end)
+    return "ok", model, B.predicted(test, model).select(*df.columns, F.round("prediction", 4).alias("predicted"))
 
 
-def save_trees(spark: SparkSession, model: GBTRegressionModel, features: list[str], path: str) -> None:
-    """The model and, beside it, a table of its features' gains."""
-    model.write().overwrite().save(f"{path}/model")
-    rows = [(i, f, g) for i, (f, g) in enumerate(M.importances(model, features), 1)]
-    spark.createDataFrame(rows, "place int, feature string, gain double").coalesce(1).write.mode("overwrite").parquet(f"{path}/importance")
+def save_trees(spark: SparkSession, model: B.Booster, path: str) -> None:
+    """The model's nodes and edges and, beside them, a table of its features' gains."""
+    B.save(spark, model, path)
 
 
-def load_trees(spark: SparkSession, path: str) -> tuple[GBTRegressionModel, DataFrame]:
-    return GBTRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/importance")
+def load_trees(spark: SparkSession, path: str) -> tuple[B.Booster, DataFrame]:
+    return B.load(spark, path)
 
 
 # --- all models ----------------------------------------------------------------------------------------------------
