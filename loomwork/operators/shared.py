@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +37,27 @@ def scratch_folder(spark: SparkSession, root: str | None = None) -> Iterator[str
         yield path
     finally:
         delete(spark, path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to a path of its own and read again: computed once, and whole if an executor is lost."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored` in the shared folder, where it stays until the cluster clears it."""
+    return stored(df, new_folder(df.sparkSession, name))
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``most_rows`` rows, else as it is; ``df`` should be stored before."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with underscores before it until none in ``taken`` is the same (case aside)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import text as X
 from ..operators.matching import resolve
+from ..operators.cosine import similar_pairs, top_cosines
+from ..operators.shared import result
 from ..operators.vectors import nearest
 from ..sources import payloads
 from .series import read
@@ -81,6 +83,25 @@ def char_ngram_tfidf_cosine(spark, sf_dir):
     return X.cosines(weights, weights.withColumnRenamed("name", "other"), ("name", "other")).where("name < other").select("name", "other", F.round("cosine", 4).alias("cosine"))
 
 
+def labels_weighed(spark, sf_dir):
+    """Names with their weighed n-grams: part names with types, and names of nations and market segments."""
+    parts = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    names = parts.union(read(spark, sf_dir, "customer").select("c_mktsegment")).union(read(spark, sf_dir, "nation").select("n_name")).distinct()
+    return result(X.tfidf(names, "name", X.ngrams(F.col("name"))), "weights")
+
+
+def ngram_cosine_top(spark, sf_dir):
+    """The three names most like each name, by pruned cosines of character n-grams."""
+    weights = labels_weighed(spark, sf_dir)
+    return top_cosines(weights, weights.withColumnRenamed("name", "other"), ("name", "other"), 3, but_self=True).select("name", "other", F.round("cosine", 4).alias("cosine"), "place")
+
+
+def ngram_cosine_pairs(spark, sf_dir):
+    """All pairs of names whose cosine is 0.8 or more."""
+    weights = labels_weighed(spark, sf_dir)
+    return similar_pairs(weights, weights.withColumnRenamed("name", "other"), ("name", "other"), 0.8).where("name < other").select("name", "other", F.round("cosine", 4).alias("cosine"))
+
+
 def vector_cosine_topk(spark, sf_dir):
     """The five nearest vectors of each query vector (ids divisible by 20) by cosine."""
     v = read(spark, sf_dir, "embeddings")
@@ -139,11 +160,18 @@ def fuzzy_resolve(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_normalize, token_stopwords, label_alias_map, number_dialects, number_tokens, honest_numbers, period_parse, html_commerce_flags, url_handles, block_detection, char_ngram_tfidf_cosine,
+    text_normalize, token_stopwords, label_alias_map, number_dialects, number_tokens, honest_numbers, period_parse, html_commerce_flags, url_handles, block_detection, char_ngram_tfidf_cosine, ngram_cosine_top, ngram_cosine_pairs,
     vector_cosine_topk, json_props_map, listing_payloads, feedback_harvest, unit_scale_class, statement_extraction, map_field_diffs, fuzzy_resolve,
 )}
 NORMAL = r"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+WEIGHED = r"""WITH names AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT n_name FROM nation), w AS (SELECT name, ' ' || unnest(list_filter(string_split(""" + NORMAL.format(x="lower(name)") + r""", ' '), lambda x: x <> '')) || ' ' AS w FROM names),
+ g AS (SELECT name, substr(w, CAST(i + 1 AS INTEGER), CAST(n AS INTEGER)) AS term FROM w, (SELECT unnest([3, 4, 5]) AS n) AS s, (SELECT unnest(range(0, 60)) AS i) AS r WHERE i + n <= length(w)),
+ tf AS (SELECT name, term, count(*) AS tf FROM g GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM names),
+ x AS (SELECT name, tf.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df ON tf.term = df.term, n), u AS (SELECT name, term, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS u FROM x),
+ pairs AS (SELECT a.name, b.name AS other, round(sum(a.u * b.u), 9) AS cosine FROM u AS a JOIN u AS b ON a.term = b.term AND a.name <> b.name GROUP BY 1, 2)"""
 SQL = {
+    "ngram_cosine_top": WEIGHED + " SELECT name, other, round(cosine, 4) AS cosine, row_number() OVER (PARTITION BY name ORDER BY cosine DESC, other) AS place FROM pairs QUALIFY place <= 3",
+    "ngram_cosine_pairs": WEIGHED + " SELECT name, other, round(cosine, 4) AS cosine FROM pairs WHERE name < other AND cosine >= 0.8",
     "text_normalize": r"""WITH t AS (SELECT doc_id, translate(lower(regexp_replace('Đồng-Nai_Sữa@' || coalesce(text, ''), '[^\x00-\x7FĐồữ]', '', 'g')), 'đồữ', 'dou') AS t FROM documents) SELECT doc_id, """ + NORMAL.format(x="t") + " AS normalized FROM t",
     "token_stopwords": r"WITH t AS (SELECT p_partkey, list_filter(string_split(" + NORMAL.format(x="lower(p_name)") + r", ' '), lambda x: x NOT IN ('part', 'blue', 'the', '')) AS t FROM part) SELECT p_partkey, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, '') AS compact FROM t",
     "label_alias_map": "SELECT CASE WHEN contains(event_type, 'purchase') THEN 'buy' WHEN contains(event_type, 'pur') THEN 'other' WHEN contains(event_type, 'click') THEN 'touch' WHEN contains(event_type, 'view') THEN 'see' END AS label, count(*) AS n FROM events GROUP BY 1",
