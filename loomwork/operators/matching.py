@@ -1,13 +1,8 @@
-"""Shop-to-firm resolution: containment tiers as column expressions, Indel ratios in Arrow batches on what they leave, fusion."""
+"""Scores of shops and firms: containment tiers as column expressions, Indel ratios in Arrow batches on what they leave, fusion."""
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import text as X
 
@@ -86,10 +81,15 @@ def signals(df: DataFrame, name: str, noise: tuple[str, ...], prefix: str) -> Da
     return df.withColumn(f"{prefix}_compact", F.when(F.size(f"{prefix}_words") > 0, F.array_join(f"{prefix}_words", "")).otherwise(F.array_join(X.tokens(F.col(name)), "")))
 
 
+def brand_tier(b: Column, s: Column) -> Column:
+    """The containment score of one brand and a handle; 0 where neither holds the other."""
+    return F.when(s == "", 0.0).when(b == s, 1.0).when((F.length(b) >= 4) & s.contains(b), 0.95).when((F.length(b) >= 4) & b.contains(s), 0.90).when((F.length(b) >= 3) & s.contains(b), 0.92).otherwise(0.0)
+
+
 def tiers(shop: str = "shop_compact") -> Column:
     """The highest containment score of a pair; null where none applies."""
     s = F.col(shop)
-    brand = F.transform("firm_brands", lambda b: F.when(s == "", 0.0).when(b == s, 1.0).when((F.length(b) >= 4) & s.contains(b), 0.95).when((F.length(b) >= 4) & b.contains(s), 0.90).when((F.length(b) >= 3) & s.contains(b), 0.92).otherwise(0.0))
+    brand = F.transform("firm_brands", lambda b: brand_tier(b, s))
     long = lambda t: F.length(t) >= LEAST_TOKEN
     inside = F.exists("firm_words", lambda t: long(t) & s.contains(t)) | F.exists("shop_words", lambda t: long(t) & F.col("firm_compact").contains(t))
     best = F.greatest(F.coalesce(F.array_max(brand), F.lit(0.0)), F.when(inside, 0.92).otherwise(0.0))
@@ -127,101 +127,3 @@ def scored(pairs: DataFrame) -> DataFrame:
     sure = pairs.where("tier IS NOT NULL").withColumn("score", F.col("tier"))
     rest = pairs.where("tier IS NULL").withColumn("score", blended("firm_compact", "shop_compact", "firm_words", "shop_words", "firm_brands"))
     return sure.unionByName(rest).drop("tier")
-
-
-#: Characters whose counts bound the common subsequence of two names; all others count as one.
-COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
-#: Firms that one pass of resolve() holds against all shops.
-BLOCK_FIRMS = 2000
-
-
-def letter_counts(names: list[str]) -> np.ndarray:
-    """How often each counted character, or any other one, stands in each name."""
-    place = {c: i for i, c in enumerate(COUNTED)}
-    out = np.zeros((len(names), len(COUNTED) + 1), np.int16)
-    for row, name in zip(out, names, strict=True):
-        for c in name:
-            row[place.get(c, -1)] += 1
-    return out
-
-
-def most_indel(both: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
-    """The highest ratio of names of ``a`` and ``b`` characters with so many characters in common."""
-    return 2 * both / np.maximum(a + b, 1)
-
-
-def most_partial(both: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
-    """The highest partial ratio: the stretch that it meets has no need to be longer than what is common."""
-    return 2 * both / np.maximum(np.minimum(a, b) + both, 1)
-
-
-class Firms:
-    """A block of firms with what bounds their scores."""
-
-    def __init__(self, rows: list[tuple]):
-        self.ids, words, self.compact, brands = zip(*rows, strict=True)
-        self.counts, self.sizes = letter_counts(list(self.compact)), np.array([len(x) for x in self.compact])
-        spaced = [" ".join(w or ()) for w in words]
-        self.word_counts, self.word_sizes = letter_counts(spaced), np.array([len(x) for x in spaced])
-        self.tokens = [(t, i) for i, w in enumerate(words) for t in w or () if len(t) >= LEAST_TOKEN]
-        self.brands = [(b, i) for i, bs in enumerate(brands) for b in bs or () if b]
-        self.brand_of = np.array([i for _, i in self.brands], int)
-        self.brand_counts, self.brand_sizes = letter_counts([b for b, _ in self.brands]), np.array([len(b) for b, _ in self.brands], int)
-
-    def possible(self, shop: str, shop_words: list[str], threshold: float) -> set[int]:
-        """All firms whose score with the shop may reach the threshold: none that does is left out."""
-        found = {i for t, i in self.tokens if t in shop} | {i for b, i in self.brands if b in shop or shop in b}
-        found |= {i for t in shop_words if len(t) >= LEAST_TOKEN for i, c in enumerate(self.compact) if t in c}
-        n, (own,) = len(shop), letter_counts([shop])
-        both = np.minimum(self.counts, own).sum(1)
-        spaced = " ".join(shop_words)
-        sorted_ = most_indel(np.minimum(self.word_counts, letter_counts([spaced])[0]).sum(1), self.word_sizes, len(spaced))
-        best = 0.45 * most_indel(both, self.sizes, n) + 0.35 * sorted_ + 0.20 * most_partial(both, self.sizes, n)
-        found |= set(np.flatnonzero(best >= threshold - 1e-9).tolist())
-        if len(self.brands):
-            both = np.minimum(self.brand_counts, own).sum(1)
-            best = np.maximum(most_indel(both, self.brand_sizes, n), BRAND_PARTIAL * most_partial(both, self.brand_sizes, n))
-            found |= set(self.brand_of[(best >= threshold - 1e-9) & (self.brand_sizes >= LEAST_BRAND)].tolist())
-        return found
-
-
-def resolve(shops: DataFrame, firms: DataFrame, shop_id: str, shop: str, firm_id: str, name: str, threshold: float = THRESHOLD, block_firms: int = BLOCK_FIRMS) -> DataFrame:
-    """Each shop with its best firm of at least ``threshold``; null without one. Ties go to the smallest firm id.
-
-    Firms are the stated side, in blocks of ``block_firms`` that go to all tasks, one pass over the shops for each block. A
-    task holds its shops against a block by counts of characters, which bound every part of the score, and lets only pairs
-    through that may reach the threshold; those are scored as columns. A block that no task can hold does not arise.
-    """
-    s = signals(shops, shop, SHOP_NOISE, "shop").select(shop_id, "shop_words", "shop_compact")
-    f = signals(firms, name, FIRM_NOISE, "firm").withColumn("firm_brands", brands(F.col(name))).select(firm_id, "firm_words", "firm_compact", "firm_brands")
-    blocks = max(1, -(-firms.count() // block_firms))
-    kinds = T.StructType([s.schema[shop_id], f.schema[firm_id]])
-    pairs = None
-    for b in range(blocks):
-        part = f if blocks == 1 else f.where(F.pmod(F.xxhash64(F.col(firm_id)), F.lit(blocks)) == b)
-        block = [tuple(r) for r in part.select(firm_id, "firm_words", "firm_compact", "firm_brands").collect()]
-        if not block:
-            continue
-        shared = shops.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            types, held = to_arrow_schema(kinds), Firms(shared.value)
-            for batch in batches:
-                left, right = [], []
-                for i, words, compact in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if compact:
-                        hits = held.possible(compact, words or [], threshold)
-                        left += [i] * len(hits)
-                        right += [held.ids[h] for h in hits]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip((left, right), types, strict=True)], schema=types)
-
-        one = s.select(shop_id, "shop_words", "shop_compact").mapInArrow(run, kinds)
-        pairs = one if pairs is None else pairs.unionByName(one)
-    if pairs is None:
-        return shops.select(shop_id, F.lit(None).cast(f.schema[firm_id].dataType).alias(firm_id), F.lit(None).cast("double").alias("score"))
-    best = scored(pairs.distinct().join(s, shop_id).join(f, firm_id)).where(F.col("score") >= threshold)
-    best = best.groupBy(shop_id).agg(F.min(F.struct((-F.col("score")).alias("worst"), F.col(firm_id).alias("firm"))).alias("best"))
-    best = best.select(shop_id, F.col("best.firm").alias(firm_id), (-F.col("best.worst")).alias("score"))
-    return shops.select(shop_id).join(best, shop_id, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text as X
-from ..operators.matching import resolve
+from ..operators.resolution import resolve
 from ..operators.cosine import similar_pairs, top_cosines
 from ..operators.shared import result
 from ..operators.vectors import nearest

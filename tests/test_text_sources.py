@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import matching as M
+from loomwork.operators import resolution as R
 from loomwork.operators import text as X
 from loomwork.sources import payloads as P
 
@@ -66,7 +67,7 @@ def test_indel_is_the_longest_common_subsequence():
 def test_resolution(spark):
     firms = spark.createDataFrame([(1, "Công ty CP Bóng đèn Phích nước Rạng Đông"), (2, "Công ty CP Sữa Việt Nam"), (3, "Tập đoàn Masan")], "id int, name string")
     shops = spark.createDataFrame([(10, "rangdong.official"), (11, "vinamilk_store"), (12, "masan consumer"), (13, "zzz qqq"), (14, None)], "sid int, shop string")
-    got = {r.sid: r.id for r in M.resolve(shops, firms, "sid", "shop", "id", "name").collect()}
+    got = {r.sid: r.id for r in R.resolve(shops, firms, "sid", "shop", "id", "name").collect()}
     assert got == {10: 1, 11: 2, 12: 3, 13: None, 14: None}
 
 
@@ -143,10 +144,9 @@ def test_resolve_equals_all_pairs(spark):
     best = {}
     for r in M.scored(both).where(F.col("score") >= M.THRESHOLD).collect():
         best[r.sid] = min(best.get(r.sid, (0.0, 0)), (-r.score, r.id))
-    for block in (2000, 7):
-        got = {r.sid: (r.score, r.id) for r in M.resolve(shops, f, "sid", "shop", "id", "name", block_firms=block).collect()}
-        assert set(got) == set(range(len(handles)))
-        assert {k: (-v[0], v[1]) for k, v in best.items()} == {k: v for k, v in got.items() if v[1] is not None}
+    got = {r.sid: (r.score, r.id) for r in R.resolve(shops, f, "sid", "shop", "id", "name").collect()}
+    assert set(got) == set(range(len(handles)))
+    assert {k: (-v[0], v[1]) for k, v in best.items()} == {k: v for k, v in got.items() if v[1] is not None}
     assert got[0][1] == 6  # abxcd and abcd share no three letters in a row
     assert got[2][1] == 0  # vinamilc, by the brand's own ratio
-    assert M.resolve(shops, f.where("false"), "sid", "shop", "id", "name").where("id IS NOT NULL").count() == 0
+    assert R.resolve(shops, f.where("false"), "sid", "shop", "id", "name").where("id IS NOT NULL").count() == 0
