@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .shared import free_name
+
 Keys = list[str]
 
 
@@ -52,7 +54,8 @@ def interpolated(df: DataFrame, keys: Keys, value: str, name: str, fill_trailing
     df = df.withColumn("__row", F.row_number().over(w))
     here = F.when(F.col(value).isNotNull(), F.struct("__row", F.col(value).alias("v")))
     df = df.withColumn("__p", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("__n", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # the next value is the last one from the end: a frame that shrinks row by row would cost the square of the rows
+    df = df.withColumn("__n", F.last(here, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0)))
     p, n = F.col("__p"), F.col("__n")
     line = p.v + (n.v - p.v) * (F.col("__row") - p["__row"]) / F.nullif(n["__row"] - p["__row"], F.lit(0))
     filled = F.coalesce(F.col(value), line, p.v if fill_trailing else F.lit(None))
@@ -156,15 +159,20 @@ def walk_forward(df: DataFrame, keys: Keys, min_train: int = 24, test_size: int
     """
     if mode not in ("expanding", "rolling"):
         raise ValueError("mode is expanding or rolling")
-    w = Window.partitionBy(*keys)
-    rows = df.withColumns({"__at": F.row_number().over(ordered(keys, period)) - 1, "__n": F.count("*").over(w)})
-    folds = F.floor((F.col("__n") - min_train - test_size) / step).cast("int")
-    # a row is in the test part of few folds, and in the train part of all later ones
-    rows = rows.where(F.col("__n") >= min_train + test_size).withColumn("fold", F.explode(F.sequence(F.lit(0), folds)))
-    origin = F.lit(min_train) + F.col("fold") * step
-    first = F.lit(0) if mode == "expanding" else origin - (train_rows or min_train)
-    role = F.when((F.col("__at") >= first) & (F.col("__at") < origin), "train").when((F.col("__at") >= origin) & (F.col("__at") < origin + test_size), "test")
-    return rows.select(*df.columns, F.col("fold").cast("long").alias("fold"), role.alias("role")).where("role IS NOT NULL")
+    at, n, fold, role = (free_name(c, *df.columns) for c in ("row_at", "rows_in_all", "fold", "role"))
+    rows = df.withColumns({at: F.row_number().over(ordered(keys, period)) - 1, n: F.count("*").over(Window.partitionBy(*keys))}).where(F.col(n) >= min_train + test_size)
+    train = train_rows or min_train
+    # fold i tests [min_train + i * step, + test_size) and trains on what is before, so a row's folds follow from its place
+    first = F.ceil((F.col(at) - min_train - test_size + 1) / step)
+    last = F.floor((F.col(n) - min_train - test_size) / step)
+    if mode == "rolling":
+        last = F.least(last, F.floor((F.col(at) - min_train + train) / step))
+    first, last = F.greatest(first, F.lit(0)).cast("int"), last.cast("int")
+    rows = rows.where(first <= last).withColumn(fold, F.explode(F.sequence(first, last)))
+    origin = F.lit(min_train) + F.col(fold) * step
+    rows = rows.withColumn(role, F.when(F.col(at) >= origin, "test").when(F.lit(mode == "expanding") | (F.col(at) >= origin - train), "train"))
+    rows = rows.where(F.col(role).isNotNull())
+    return rows.select(*(c for c in df.columns if c.lower() not in ("fold", "role")), F.col(fold).cast("long").alias("fold"), F.col(role).alias("role"))
 
 
 def fixed_split(df: DataFrame, train_end: str, test_start: str, period: str = "period") -> DataFrame:

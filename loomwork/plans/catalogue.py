@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, extra, firms, heatmap, jobs, landed, models, records, series, texts
+from . import evidence, extra, firms, heatmap, jobs, landed, models, records, scaled, series, texts
 
-MODULES = (heatmap, series, firms, records, texts, models, extra, evidence, jobs, landed)
+MODULES = (heatmap, series, firms, records, texts, models, extra, evidence, jobs, landed, scaled)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
