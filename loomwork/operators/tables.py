@@ -19,17 +19,18 @@ def last_wins(batch: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep_old_when_null: tuple[str, ...] = ()) -> DataFrame:
     """The table after the upsert, with ``_change``: inserted, updated or kept.
 
-    Updates (unique by keys) overwrite every field, nulls included, but for ``keep_old_when_null``; one full join by keys.
+    Updates (unique by keys) overwrite every field, nulls included, but for ``keep_old_when_null``; one full join by keys, null ones among them.
     """
     fields = [c for c in target.columns if c not in keys]
-    t = target.select(*keys, F.struct(*fields).alias("__old"))
-    u = updates.select(*keys, F.struct(*fields).alias("__new"))
-    rows = t.join(u, keys, "full")
-    new = F.col("__new").isNotNull()
-    old = lambda c: F.col(f"__old.{c}")
-    take = [F.when(new, F.coalesce(F.col(f"__new.{c}"), old(c)) if c in keep_old_when_null else F.col(f"__new.{c}")).otherwise(old(c)).alias(c) for c in fields]
-    change = F.when(F.col("__old").isNull(), "inserted").when(new, "updated").otherwise("kept")
-    return rows.select(*keys, *take, change.alias("_change"))
+    side = lambda df, name: df.select(*(F.col(k).alias(f"{name} key {i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"{name} field {i}") for i, c in enumerate(fields)), F.lit(True).alias(name))
+    same = [F.col(f"old key {i}").eqNullSafe(F.col(f"new key {i}")) for i in range(len(keys))]
+    rows = side(target, "old").join(side(updates, "new"), same, "full")
+    has_new = F.col("new").isNotNull()
+    key = lambda i: F.when(has_new, F.col(f"new key {i}")).otherwise(F.col(f"old key {i}"))
+    kept = lambda i, c: F.coalesce(f"new field {i}", f"old field {i}") if c in keep_old_when_null else F.col(f"new field {i}")
+    take = [F.when(has_new, kept(i, c)).otherwise(F.col(f"old field {i}")).alias(c) for i, c in enumerate(fields)]
+    change = F.when(F.col("old").isNull(), "inserted").when(has_new, "updated").otherwise("kept")
+    return rows.select(*(key(i).alias(k) for i, k in enumerate(keys)), *take, change.alias("_change"))
 
 
 def write_snapshot(table: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import segmented as SG
+from ..operators.keyed_tables import KeyedTable
+from ..operators.shared import new_folder
+from ..streaming import state as ST
 from .series import read
 
 #: Rows of a segment: small enough that test tables lie in several.
@@ -30,7 +33,29 @@ def segmented_asof(spark, sf_dir):
     return SG.asof_backward(e.select("event_id", "ts"), bought, [], ["purchase_id", "purchase_value"], "ts", SEGMENT).select("event_id", "purchase_id", "purchase_value")
 
 
-QUERIES = {f.__name__: f for f in (segmented_features, segmented_asof)}
+def kept_observations(spark, sf_dir):
+    """All events as a stream of observations, those of type error having failed: what the state keeps for each user in the end."""
+    e = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/event[s].parquet")
+    rows = stream.select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("value"), (F.col("event_type") != "error").alias("ok"), F.lit(None).cast("double").alias("seed"))
+    folder = new_folder(spark, "kept")
+    ST.run_to_files(ST.keep_previous(rows, "36500 days", "0 days"), f"{folder}/rows", f"{folder}/progress")
+    return ST.kept_values(spark, f"{folder}/progress").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def keyed_table_merges(spark, sf_dir):
+    """A table of users and event types after two merged batches of all events, with the buckets that the second has rewritten."""
+    columns = ["user_id", "event_type", "event_id", "value"]
+    e = read(spark, sf_dir, "events").select(*columns)
+    table = KeyedTable(spark, new_folder(spark, "keyed")).create(e.schema, ["user_id", "event_type"], buckets=32)
+    table.merge(e.where("event_id % 2 = 0"), "event_id", writer="events", number=0)
+    late = e.where("event_id % 2 = 1").withColumn("value", F.when(F.col("event_id") % 3 > 0, F.col("value")))
+    for number in (1, 1):  # the batch comes twice
+        table.merge(late, "event_id", ("value",), writer="events", number=number)
+    return table.read()
+
+
+QUERIES = {f.__name__: f for f in (segmented_features, segmented_asof, kept_observations, keyed_table_merges)}
 SQL = {
     "segmented_features": """WITH e AS (SELECT event_id, CASE WHEN NOT (event_id % 13 < 4 AND event_id % 3 > 0 OR event_id % 500 BETWEEN 200 AND 210) THEN value END AS value FROM events),
  a AS (SELECT *, row_number() OVER w AS row, lag(value) OVER w AS value_lag1, lag(value, 3) OVER w AS value_lag3, avg(value) OVER (ORDER BY event_id ROWS 2 PRECEDING) AS roll, last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held,
@@ -43,4 +68,8 @@ SQL = {
    CASE WHEN gap_rows = 0 THEN 'observed' WHEN filled IS NULL THEN 'missing' WHEN gap_rows <= 3 THEN 'short' ELSE 'long' END AS fill_kind FROM c""",
     "segmented_asof": """WITH p AS (SELECT ts, max(event_id) AS purchase_id, max(value) AS purchase_value FROM events WHERE event_type = 'purchase' GROUP BY 1)
  SELECT event_id, purchase_id, purchase_value FROM events AS e ASOF LEFT JOIN p ON e.ts >= p.ts""",
+    "kept_observations": "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(value, ts) AS value, max(ts) AS at FROM events WHERE event_type <> 'error' GROUP BY 1",
+    "keyed_table_merges": """WITH a AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+ b AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max({'v': CASE WHEN event_id % 3 > 0 THEN value END}, event_id).v AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
+ SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.event_type, a.event_type) AS event_type, coalesce(b.event_id, a.event_id) AS event_id, coalesce(b.value, a.value) AS value FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""",
 }

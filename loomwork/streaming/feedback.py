@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import last_wins, upsert, write_snapshot
+from ..operators.keyed_tables import BUCKETS, KeyedTable
 
 SIGNALS = "id STRING, timestamp STRING, ticker STRING, source_type STRING, diff_count INT, field_diffs ARRAY<STRUCT<field STRING, before STRING, after STRING>>"
 
@@ -38,18 +38,21 @@ def run_available(df: DataFrame, folder: str, checkpoint: str, mode: str = "comp
     return query
 
 
-def upsert_stream(updates: DataFrame, keys: list[str], sequence: str, folder: str, checkpoint: str, keep_old_when_null: tuple[str, ...] = ()) -> StreamingQuery:
-    """Each batch upserted into the snapshot ``folder/{batch}``; a batch that is replayed writes the same snapshot again."""
+def upsert_stream(updates: DataFrame, keys: list[str], sequence: str, folder: str, checkpoint: str, keep_old_when_null: tuple[str, ...] = (), buckets: int = BUCKETS) -> KeyedTable:
+    """Each batch merged into the keyed table ``folder``, of which it rewrites the buckets that it touches; a replayed batch changes nothing.
+
+    Of older states the one before the last stays, for readers that are at it.
+    """
+    table = KeyedTable(updates.sparkSession, folder)
+    if not table.versions():
+        table.create(updates.schema, keys, buckets)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = last_wins(batch, keys, sequence)
-        target = spark.createDataFrame([], batch.schema) if number == 0 else spark.read.parquet(f"{folder}/{number - 1}")
-        write_snapshot(upsert(target, last, keys, keep_old_when_null), f"{folder}/{number}", "overwrite")
+        KeyedTable(batch.sparkSession, folder).merge(batch, sequence, keep_old_when_null, writer=checkpoint, number=number)
+        KeyedTable(batch.sparkSession, folder).vacuum(keep=2)
 
-    query = updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table
 
 
 def last_good(observations: DataFrame) -> DataFrame:

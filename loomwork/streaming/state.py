@@ -82,7 +82,7 @@ def keep_previous(observations: DataFrame, keep: str = "90 days", late: str = "1
     rows without a time are dropped. Start it inside :func:`rocks`.
     """
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    rows = observations.where("at IS NOT NULL").select(F.col("key").cast("string").alias("key"), "at", F.col("value").cast("double").alias("value"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("seed").cast("double").alias("seed"))
+    rows = observations.where("at IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at"), F.col("value").cast("double").alias("value"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("seed").cast("double").alias("seed"))
     return rows.withWatermark("at", late).groupBy("key").transformWithStateInPandas(statefulProcessor=KeepLast(keep_ms), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
 
 
