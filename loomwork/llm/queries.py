@@ -31,7 +31,7 @@ def op2_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested rows' digest: the records that assembly has found stand behind the columns of the capture itself."""
-    nested = F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id")
+    nested = warc.page_of("request.record_id").alias("request_page"), warc.page_of("metadata.record_id").alias("metadata_page")
     return op2_transactions(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *nested, "n_requests", "n_metadata")
 
 
@@ -143,18 +143,22 @@ FROM judged
 
 
 OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p),
-n AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM d),
+WITH p AS (SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT row, page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p),
+n AS (SELECT row, page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first_id FROM d),
 digits AS (
-  SELECT page_id, payload_bytes, first_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+  SELECT row, page_id, payload_bytes, first_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
            (CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1), '' ORDER BY i) AS payload_digest
-  FROM n, range(32) AS r(i) GROUP BY 1, 2, 3
+  FROM n, range(32) AS r(i) GROUP BY 1, 2, 3, 4
+), parts AS ( -- the records beside the capture, each naming its row
+  SELECT row AS concurrent_to, page_id, kind FROM p, (VALUES ('request'), ('metadata')) AS k(kind)
+), assembled AS (
+  SELECT concurrent_to, min(page_id) FILTER (WHERE kind = 'request') AS request_page, min(page_id) FILTER (WHERE kind = 'metadata') AS metadata_page,
+         count(*) FILTER (WHERE kind = 'request') AS n_requests, count(*) FILTER (WHERE kind = 'metadata') AS n_metadata FROM parts GROUP BY 1
 )
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
-       '<urn:capture:' || page_id || ':request>' AS request_id, '<urn:capture:' || page_id || ':metadata>' AS metadata_id, CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
-FROM digits
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, request_page, metadata_page, n_requests, n_metadata
+FROM digits JOIN assembled ON digits.row = assembled.concurrent_to
 """
 OP6_SQL = r"""
 WITH sizes AS (

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -48,8 +49,9 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.lower(F.concat(*parts)), DIGITS, BASE32)
 
 
-def record_id(page: Column, kind: str) -> Column:
-    return F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(f":{kind}>"))
+def record_id(page: Column, row: Column, kind: str) -> Column:
+    """An id of its own for each record: pages may have no id, or one that others have too."""
+    return F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
 
 
 def page_of(name: str) -> Column:
@@ -58,12 +60,28 @@ def page_of(name: str) -> Column:
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """WARC files of ``pages`` under ``path``. Payloads below ``least_bytes`` are always written in full."""
+    """WARC files of ``pages`` under ``path``. Payloads below ``least_bytes`` are always written in full.
+
+    Pages are read once and staged with digests, row numbers and size classes; each class then reads its own rows alone.
+    """
     rows = pages.select(F.col(f"`{page_id}`").alias("page"), F.regexp_replace(F.col(f"`{url}`"), r"[\x00-\x20\x7f]", "").alias("url"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("body"))
-    rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": base32_sha1(F.col("body").cast("binary"))})
-    repeated = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = common.small(common.stored(repeated.drop("n"), "repeated"), BROADCAST_ROWS)
-    rows = rows.join(repeated, "digest", "left").withColumn("revisit", (F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")))
+    rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": base32_sha1(F.col("body").cast("binary")), "row": F.monotonically_increasing_id()})
+    # the class of a capture by its bytes: 0 up to LEAST_CLASS, then one for each STEP times more
+    held = F.col("bytes") + F.lit(2) * F.coalesce(F.octet_length("url"), F.lit(0))
+    of = F.when(held <= LEAST_CLASS, 0).otherwise(F.ceil(F.log(held / F.lit(float(LEAST_CLASS))) / F.lit(math.log(STEP)))).cast("int")
+    with common.scratch(pages.sparkSession):
+        staged = common.shared_path(pages.sparkSession, "pages")
+        rows.withColumn("class", of).write.partitionBy("class").parquet(staged)
+        schema = T.StructType([*rows.schema, T.StructField("class", T.IntegerType())])
+        _write_staged(pages.sparkSession.read.schema(schema).parquet(staged), path, least_bytes, date)
+
+
+def _write_staged(rows: DataFrame, path: str, least_bytes: int, date: str) -> None:
+    order = F.struct(F.col("page").isNull().alias("none"), "page", "row")
+    repeated = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = common.small(common.stored(repeated.select("digest", F.col("first.page").alias("first"), F.col("first.row").alias("first_row")), "repeated"), BROADCAST_ROWS)
+    classes = [r["class"] for r in rows.select("class").distinct().orderBy("class").collect()]  # about ten
+    rows = rows.join(repeated, "digest", "left").withColumn("revisit", F.col("first_row").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")))
 
     def header(name: str, value: Column | str) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit(END)), F.lit(""))
@@ -71,29 +89,26 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     def record(*head: Column, block: Column) -> Column:
         return F.concat(F.lit(f"WARC/1.1{END}"), *head, header("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block)
 
-    response, uri = record_id(F.col("page"), "response"), header("WARC-Target-URI", F.col("url"))
+    own = lambda kind: record_id(F.col("page"), F.col("row"), kind)
+    response, uri = own("response"), header("WARC-Target-URI", F.col("url"))
     on = header("WARC-Date", date)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
     asked = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{END}{END}"))
     said = F.concat(F.lit("page-id: "), F.coalesce(F.col("page").cast("string"), F.lit("none")), F.lit(END))
     kind = F.when(F.col("revisit"), F.lit("revisit")).otherwise("response")
     records = [
-        record(header("WARC-Type", "request"), header("WARC-Record-ID", record_id(F.col("page"), "request")), header("WARC-Concurrent-To", response), uri, on, header("Content-Type", "application/http; msgtype=request"), block=asked),
+        record(header("WARC-Type", "request"), header("WARC-Record-ID", own("request")), header("WARC-Concurrent-To", response), uri, on, header("Content-Type", "application/http; msgtype=request"), block=asked),
         record(
             header("WARC-Type", kind), header("WARC-Record-ID", response), uri, on, header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-            header("WARC-Profile", F.when(F.col("revisit"), F.lit(REVISIT))), header("WARC-Refers-To", F.when(F.col("revisit"), record_id(F.col("first"), "response"))),
+            header("WARC-Profile", F.when(F.col("revisit"), F.lit(REVISIT))), header("WARC-Refers-To", F.when(F.col("revisit"), record_id(F.col("first"), F.col("first_row"), "response"))),
             header("Content-Type", "application/http; msgtype=response"), block=F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("body"))),
         ),
-        record(header("WARC-Type", "metadata"), header("WARC-Record-ID", record_id(F.col("page"), "metadata")), header("WARC-Concurrent-To", response), uri, on, header("Content-Type", "application/warc-fields"), block=said),
+        record(header("WARC-Type", "metadata"), header("WARC-Record-ID", own("metadata")), header("WARC-Concurrent-To", response), uri, on, header("Content-Type", "application/warc-fields"), block=said),
     ]
     mark = END + END
-    # the class of a capture by its bytes: 0 up to LEAST_CLASS, then one for each STEP times more
-    held = F.col("bytes") + F.lit(2) * F.coalesce(F.octet_length("url"), F.lit(0))
-    of = F.when(held <= LEAST_CLASS, 0).otherwise(F.ceil(F.log(held / F.lit(float(LEAST_CLASS))) / F.lit(math.log(STEP)))).cast("int")
-    classes = [r["class"] for r in rows.select(of.alias("class")).distinct().orderBy("class").collect()]  # about ten
     for c in classes or [0]:
         most = max(1, min(FILE_ROWS, FILE_BYTES // (LEAST_CLASS * STEP**c + HEAD_BYTES)))
-        lines = rows.where(of == c).select(F.concat_ws(mark, *records).alias("value"))
+        lines = rows.where(F.col("class") == c).select(F.concat_ws(mark, *records).alias("value"))
         lines.write.option("lineSep", mark).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/class-{c}")
 
 

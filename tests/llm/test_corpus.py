@@ -52,9 +52,11 @@ def test_archives_round_trip(spark, pages):
     got = {}
     for r in found:
         page = int(m[1]) if (m := re.search(r"capture:(-?\d+):", r.record_id)) else None
-        got.setdefault(page, (r.payload_bytes, r.payload_digest, r.record_type, re.sub(r"\D", "", r.refers_to or "")))
-        assert (r.n_requests, r.n_metadata) == ((4, 4) if page == 3 else (1, 1)) or page == 3
+        got.setdefault(page, (r.payload_bytes, r.payload_digest, r.record_type, m[1] if (m := re.search(r"capture:(-?\d+):", r.refers_to or "")) else ""))
+        assert (r.n_requests, r.n_metadata) == (1, 1)
         assert r.request.block.startswith(b"GET ")
+    assert len({r.record_id for r in found}) == len(found) == pages.count()
+    assert {r.refers_to for r in found} - {None} <= {r.record_id for r in found if r.record_type == "response"}
     digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
     assert got[3] == (4, digest("same"), "response", "")
     assert got[5] == (4, digest("same"), "revisit", "3")
@@ -66,6 +68,17 @@ def test_archives_round_trip(spark, pages):
     assert got[None][2] == "response"
 
 
+def test_repeated_and_null_ids_do_not_cross(spark):
+    """Pages with one id, or none, and unlike payloads keep their own request and metadata."""
+    rows = [(1, "http://a", "A"), (1, "http://b", "B"), (None, "http://c", "C"), (None, "http://d", "D"), (1, "http://a", "A"), (2, "http://e", "A")]
+    found = warc.captures(archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(found) == 6 and {(r.n_requests, r.n_metadata) for r in found} == {(1, 1)}
+    for r in found:
+        assert r.request.block.decode().split(" ")[1] == r.target_uri == r.metadata.target_uri
+        assert r.request.record_id == r.record_id.replace(":response>", ":request>")
+    assert sorted((r.target_uri[-1], r.record_type) for r in found) == [("a", "response"), ("a", "response"), ("b", "response"), ("c", "response"), ("d", "response"), ("e", "revisit")]
+
+
 def test_small_payloads_may_be_kept_whole(spark, pages):
     kinds = {r.record_id: r.record_type for r in warc.captures(archive(spark, pages, least_bytes=5)).collect()}
     assert set(kinds.values()) == {"response"}
@@ -471,7 +484,8 @@ def test_transactions_are_assembled(spark):
     assert len(rows) == len(urls)
     for r in rows:
         assert (r.n_requests, r.n_metadata) == (1, 1)
-        assert (r.request.record_id, r.metadata.record_id) == (f"<urn:capture:{r.page_id}:request>", f"<urn:capture:{r.page_id}:metadata>")
+        capture = re.fullmatch(rf"<urn:capture:{r.page_id}:(\d+):request>", r.request.record_id)
+        assert r.metadata.record_id == f"<urn:capture:{r.page_id}:{capture[1]}:metadata>"
         assert r.request.block_bytes == len(f"GET {urls[r.page_id]} HTTP/1.1\r\n\r\n".encode())
     found = queries.op2_warc(spark, DATA).collect()
     assert {(r.n_requests, r.n_metadata) for r in found} == {(1, 1)}

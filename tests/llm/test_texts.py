@@ -410,3 +410,14 @@ def test_licenses_over_edges(edge_docs, empty):
     assert len(rows) == edge_docs.count()
     assert all((r.n_words, r.n_base, r.first_word, r.labels, r.score) == (0, 0, None, "", 0.0) for r in rows if not r.text)
     assert licenses.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("label", ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense"])
+def test_a_cut_wording_is_no_license(label):
+    text = re.sub(r"<<(optional|end)>>", "", licenses.TEXTS[label])
+    text = re.sub(r"<<any:\d+>>", "someone", text)
+    found = lambda t: licenses.Scanner(licenses.TEMPLATES, {}).scan(t)[5].split(",")
+    words = text.split()
+    assert label in found(text)
+    assert label not in found(" ".join(words[:-3])) and label not in found(" ".join(words[: len(words) // 2]))
+    assert label not in found("... by any means for a fee of ten dollars " + " ".join(words[:40]))
