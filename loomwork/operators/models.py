@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arima as A
 from . import boosting as B
 from . import text as X
 
@@ -78,57 +79,26 @@ def forecast_trees(spark, model: B.Booster, features: list[str], history: list[f
 # --- series models -------------------------------------------------------------------------------------------------
 
 
-def css(d: np.ndarray, phi: float, theta: float) -> np.ndarray:
-    """Residuals of an ARMA(1, 1) on differences, from a residual of 0 on."""
-    e = np.zeros(len(d))
-    for t in range(1, len(d)):
-        e[t] = d[t] - phi * d[t - 1] - theta * e[t - 1]
-    return e
-
-
-def fit_arima(y: np.ndarray) -> tuple[str, float, float, float]:
-    """(order, drift, phi, theta) with the least sum of squared residuals; theta is dropped where it does not help."""
-    d = np.diff(y)
-    mean = float(d.mean())
-    d = d - mean
-    best = {}
-    for order, thetas in (("1,1,1", np.linspace(-0.9, 0.9, 13)), ("1,1,0", np.zeros(1))):
-        phi, theta, width = 0.0, 0.0, 0.9
-        for _ in range(6):  # a grid that closes in on the best place
-            phis = np.clip(phi + np.linspace(-width, width, 9), -0.98, 0.98)
-            ths = np.clip(theta + np.linspace(-width, width, 9), -0.98, 0.98) if len(thetas) > 1 else thetas
-            _, phi, theta = min((float((css(d, p, t) ** 2).sum()), p, t) for p in phis for t in ths)
-            width /= 3
-        best[order] = (float((css(d, phi, theta) ** 2).sum()), float(phi), float(theta))
-    full, plain = best["1,1,1"], best["1,1,0"]
-    n = max(len(d), 2)
-    order = "1,1,1" if n * np.log(max(full[0], 1e-12) / n) + 4 < n * np.log(max(plain[0], 1e-12) / n) + 2 else "1,1,0"
-    _, phi, theta = best[order]
-    return order, mean, phi, theta
-
-
-def forecast_arima(y: np.ndarray, steps: int, model: tuple[str, float, float, float]) -> list[float]:
-    _, mean, phi, theta = model
-    d = np.diff(y) - mean
-    e, last, level, out = css(d, phi, theta)[-1], d[-1], float(y[-1]), []
-    for _ in range(steps):
-        last, e = phi * last + theta * e, 0.0
-        level += last + mean
-        out.append(level)
-    return out
+def month_numbers(periods: pd.Series) -> np.ndarray:
+    at = pd.to_datetime(periods)
+    return (at.dt.year * 12 + at.dt.month).to_numpy()
 
 
 def arima(df: DataFrame, key: str, value: str = "value", period: str = "period", steps: int = 6, least: int = 24) -> DataFrame:
-    """(key, status, order, step, predicted) for every series; too short or gappy ones have a status alone."""
+    """(key, status, order, step, predicted) for every monthly series by exact likelihood; null and absent months are missing ones.
+
+    A series with fewer than ``least`` values has the status insufficient_data, one with a month twice repeated_months.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(period)
-        y = pdf[value].astype(float).to_numpy()
-        name = pdf[key].iloc[0]
-        if len(y) < least or np.isnan(y).any():
-            return pd.DataFrame({key: [name], "status": ["insufficient_data" if len(y) < least else "missing_values"], "order": [None], "step": [None], "predicted": [None]}).astype({"step": "Int64"})
-        model = fit_arima(y)
-        return pd.DataFrame({key: name, "status": "ok", "order": model[0], "step": range(1, steps + 1), "predicted": np.round(forecast_arima(y, steps, model), 2)})
+        name, y, months = pdf[key].iloc[0], pdf[value].astype(float).to_numpy(), month_numbers(pdf[period])
+        status = "insufficient_data" if (~np.isnan(y)).sum() < least else "repeated_months" if (np.diff(months) <= 0).any() else "ok"
+        if status != "ok":
+            return pd.DataFrame({key: [name], "status": [status], "order": [None], "step": [None], "predicted": [None]}).astype({"step": "Int64"})
+        (y,) = A.monthly_grid(months, y)
+        model = A.fit(y)
+        return pd.DataFrame({key: name, "status": "ok", "order": model.order, "step": range(1, steps + 1), "predicted": np.round(A.ahead(y, None, model, steps), 2)})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, period, value).groupBy(key).applyInPandas(run, f"{key} {kind}, status string, order string, step long, predicted double")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import arima as A
 from . import boosting as B
 from . import models as M
 
@@ -29,27 +30,6 @@ def reindexed(target: DataFrame, features: DataFrame, on: str = "period") -> Dat
 # --- ARIMA with exogenous columns ----------------------------------------------------------------------------------
 
 
-def fit_with(y: np.ndarray, x: np.ndarray | None) -> dict:
-    """A regression on ``x`` (by differences, so that levels do not matter) with ARIMA errors; without ``x`` ARIMA alone."""
-    beta = np.zeros(0)
-    if x is not None and x.shape[1]:
-        d = np.c_[np.diff(x, axis=0), np.ones(len(y) - 1)]
-        beta = np.linalg.lstsq(d, np.diff(y), rcond=None)[0][:-1]
-    noise = y - (x @ beta if len(beta) else 0.0)
-    order, drift, phi, theta = M.fit_arima(noise)
-    return {"kind": "arimax" if len(beta) else "arima", "order": order, "drift": drift, "phi": phi, "theta": theta, "beta": beta.tolist()}
-
-
-def ahead(y: np.ndarray, x: np.ndarray | None, fitted: dict, steps: int, future: np.ndarray | None = None) -> np.ndarray:
-    """The next values; exogenous columns keep their last row where ``future`` does not give them."""
-    beta = np.array(fitted["beta"], float)
-    noise = y - (x @ beta if len(beta) else 0.0)
-    out = np.array(M.forecast_arima(noise, steps, (fitted["order"], fitted["drift"], fitted["phi"], fitted["theta"])))
-    if len(beta):
-        out = out + (np.tile(x[-1], (steps, 1)) if future is None else future) @ beta
-    return out
-
-
 def split_rows(months: Sequence[str], train_end: str, test_start: str, least: int, test_rows: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Places of training and test rows: by the fixed months where both sides are there, else the last ``test_rows``."""
     m = np.array(months)
@@ -60,14 +40,14 @@ def split_rows(months: Sequence[str], train_end: str, test_start: str, least: in
     return (np.arange(n), np.arange(n, len(m))) if n >= least else None
 
 
-ARTIFACT = "status string, kind string, order string, drift double, phi double, theta double, beta array<double>, history array<double>, last_row array<double>, last_period date, n_train int, n_test int, mae double, rmse double, mape double"
+ARTIFACT = "status string, kind string, order string, drift double, phi double, theta double, beta array<double>, variance double, loglik double, history array<double>, rows array<array<double>>, last_period date, n_train int, n_test int, mae double, rmse double, mape double"
 
 
 def train_arima(df: DataFrame, key: str, exogenous: Sequence[str] = (), value: str = "value", period: str = "period", train_end: str = TRAIN_END, test_start: str = TEST_START, least: int = LEAST_TRAIN, test_rows: int = TEST_ROWS) -> DataFrame:
     """A row for each series: status, errors of the holdout, and a model fitted on the whole series (the artifact).
 
-    Rows that lack any of the exogenous columns are left out; where a series has no such row at all, the columns are.
-    Statuses: ok, insufficient_data, missing_values.
+    Null and absent months, and those that lack any of the exogenous columns, are missing ones; where a series has no such column at all, it
+    is fitted without. Statuses: ok, insufficient_data, repeated_months.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -75,24 +55,28 @@ def train_arima(df: DataFrame, key: str, exogenous: Sequence[str] = (), value: s
         pdf = pdf.sort_values(period)
         out = {key: pdf[key].iloc[0], "status": "ok"}
         columns = [c for c in exogenous if pdf[c].notna().any()]
-        if columns:
-            whole = pdf.dropna(subset=columns)
-            pdf, columns = (whole, columns) if len(whole) else (pdf, [])
-        y = pdf[value].astype(float).to_numpy()
+        y, numbers = pdf[value].astype(float).to_numpy(), M.month_numbers(pdf[period])
         x = pdf[columns].astype(float).to_numpy() if columns else None
-        months = pd.to_datetime(pdf[period]).dt.strftime("%Y-%m").tolist()
-        if np.isnan(y).any():
-            out["status"] = "missing_values"
-        elif len(y) < least + 1 or (cut := split_rows(months, train_end, test_start, least, test_rows)) is None:
+        there = ~np.isnan(y) & (True if x is None else ~np.isnan(x).any(axis=1))
+        months = pd.to_datetime(pdf[period]).dt.strftime("%Y-%m").to_numpy()
+        if (np.diff(numbers) <= 0).any():
+            out["status"] = "repeated_months"
+        elif there.sum() < least + 1 or (cut := split_rows(months[there].tolist(), train_end, test_start, least, test_rows)) is None:
             out["status"] = "insufficient_data"
         else:
+            y, numbers, x = y[there], numbers[there], None if x is None else x[there]
+            grid = lambda n: A.monthly_grid(numbers[:n], y[:n], np.zeros((n, 0)) if x is None else x[:n])
             train, test = cut
-            part = None if x is None else x[train]
-            got = ahead(y[train], part, fit_with(y[train], part), len(test), None if x is None else x[test])
+            (past, rows), (every, every_row) = grid(len(train)), grid(len(y))
+            after = len(every) - len(past)  # months from the end of training on; those tested are among them
+            model = A.fit(past, None if x is None else rows)
+            future = None if x is None else np.nan_to_num(every_row[len(past) :])
+            got = A.ahead(past, None if x is None else rows, model, after, future)[numbers[test] - numbers[0] - len(past)]
             e, real = got - y[test], y[test]
             use = real != 0
-            out |= fit_with(y, x)
-            out |= {"history": y.tolist(), "last_row": [] if x is None else x[-1].tolist(), "last_period": pdf[period].iloc[-1], "n_train": len(train), "n_test": len(test)}
+            model = A.fit(every, None if x is None else every_row)
+            out |= {"kind": "arima" if x is None else "arimax", **{k: getattr(model, k) for k in ("order", "drift", "phi", "theta", "beta", "variance", "loglik")}}
+            out |= {"history": every.tolist(), "rows": [] if x is None else every_row.tolist(), "last_period": pdf[period][there].iloc[-1], "n_train": len(train), "n_test": len(test)}
             out |= {"mae": float(np.abs(e).mean()), "rmse": float(np.sqrt((e**2).mean())), "mape": float(np.abs(e[use] / real[use]).mean() * 100) if use.any() else 0.0}
         names = [key, *(f.split()[0] for f in ARTIFACT.split(", "))]
         return pd.DataFrame([[out.get(n) for n in names]], columns=names)
@@ -110,13 +94,13 @@ def forecast_from(artifacts: DataFrame, key: str, steps: int) -> DataFrame:
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                y, beta = np.array(r.history, float), np.array(r.beta, float)
-                fixed = float(np.array(r.last_row, float) @ beta) if len(beta) else 0.0  # the last row, repeated
-                got = M.forecast_arima(y - fixed, steps, (r.order, r.drift, r.phi, r.theta)) if len(beta) else M.forecast_arima(y, steps, (r.order, r.drift, r.phi, r.theta))
-                rows += [(getattr(r, key), i + 1, r.last_period, round(v + fixed, 2)) for i, v in enumerate(got)]
+                x = np.array([list(v) for v in r.rows], float) if len(r.rows) else None
+                model = A.Fitted(r.order, r.phi, r.theta, r.drift, list(r.beta))
+                got = A.ahead(np.array(r.history, float), x, model, steps)  # exogenous columns keep their last row
+                rows += [(getattr(r, key), i + 1, r.last_period, round(float(v), 2)) for i, v in enumerate(got)]
             yield pd.DataFrame(rows, columns=[key, "step", "last_period", "predicted"])
 
-    rows = artifacts.where("status = 'ok'").select(key, "order", "drift", "phi", "theta", "beta", "history", "last_row", "last_period").mapInPandas(run, f"{key} {kind}, step long, last_period date, predicted double")
+    rows = artifacts.where("status = 'ok'").select(key, "order", "drift", "phi", "theta", "beta", "history", "rows", "last_period").mapInPandas(run, f"{key} {kind}, step long, last_period date, predicted double")
     return rows.select(key, "step", month_after(F.col("last_period"), F.col("step")).alias("period"), "predicted")
 
 

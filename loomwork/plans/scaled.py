@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import segmented as SG
 from ..operators.keyed_tables import KeyedTable
 from ..operators.shared import new_folder
+from ..sources import landed
 from ..streaming import state as ST
 from .series import read
 
@@ -55,7 +56,21 @@ def keyed_table_merges(spark, sf_dir):
     return table.read()
 
 
-QUERIES = {f.__name__: f for f in (segmented_features, segmented_asof, kept_observations, keyed_table_merges)}
+def landed_lines(spark, sf_dir):
+    """All events as landed lines in a folder for each type, each fiftieth line cut off: rows and sums by type and reason, as the source reads them."""
+    folder = new_folder(spark, "landed")
+    e = read(spark, sf_dir, "events")
+    line = F.to_json(F.struct("event_id", "user_id", "value"))
+    cut = F.when(F.col("event_id") % 50 == 0, F.expr("substring(line, 1, length(line) - 1)")).when(F.col("event_id") % 77 == 0, F.lit('{"event_id": "none"}')).otherwise(F.col("line"))
+    e.select(F.col("event_type").alias("type"), F.col("event_id"), line.alias("line")).select("type", cut.alias("value")).write.partitionBy("type").text(folder)
+    landed.register(spark)
+    schema = f"type string, event_id bigint, user_id bigint, value double, {landed.ORIGIN}"
+    rows = spark.read.format("landed").option("kind", "jsonl").option("split_bytes", 1 << 20).schema(schema).load(folder)
+    by_type = rows.withColumn("type", F.regexp_extract("_file", "type=([^/]*)/", 1))
+    return by_type.groupBy("type", F.col("_bad").alias("reason")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (segmented_features, segmented_asof, kept_observations, keyed_table_merges, landed_lines)}
 SQL = {
     "segmented_features": """WITH e AS (SELECT event_id, CASE WHEN NOT (event_id % 13 < 4 AND event_id % 3 > 0 OR event_id % 500 BETWEEN 200 AND 210) THEN value END AS value FROM events),
  a AS (SELECT *, row_number() OVER w AS row, lag(value) OVER w AS value_lag1, lag(value, 3) OVER w AS value_lag3, avg(value) OVER (ORDER BY event_id ROWS 2 PRECEDING) AS roll, last_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held,
@@ -68,6 +83,8 @@ SQL = {
    CASE WHEN gap_rows = 0 THEN 'observed' WHEN filled IS NULL THEN 'missing' WHEN gap_rows <= 3 THEN 'short' ELSE 'long' END AS fill_kind FROM c""",
     "segmented_asof": """WITH p AS (SELECT ts, max(event_id) AS purchase_id, max(value) AS purchase_value FROM events WHERE event_type = 'purchase' GROUP BY 1)
  SELECT event_id, purchase_id, purchase_value FROM events AS e ASOF LEFT JOIN p ON e.ts >= p.ts""",
+    "landed_lines": """SELECT event_type AS type, CASE WHEN event_id % 50 = 0 THEN 'not_json' WHEN event_id % 77 = 0 THEN 'bad_event_id' END AS reason, count(*) AS n,
+ CAST(sum(CASE WHEN reason IS NULL THEN user_id END) AS BIGINT) AS users, round(sum(CASE WHEN reason IS NULL THEN value END), 2) AS total FROM events GROUP BY 1, 2""",
     "kept_observations": "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(value, ts) AS value, max(ts) AS at FROM events WHERE event_type <> 'error' GROUP BY 1",
     "keyed_table_merges": """WITH a AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
  b AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max({'v': CASE WHEN event_id % 3 > 0 THEN value END}, event_id).v AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
