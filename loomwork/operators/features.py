@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cleaning as C
 from . import windows as W
 from .metrics import feature_ratios
 
@@ -14,6 +17,33 @@ FINANCIAL = ("roa", "roe", "current_ratio")
 FORBIDDEN = ("mei_bci",)
 
 
+def usable_artifact(spark: SparkSession, path: str, target: str = "iip") -> DataFrame | None:
+    """A cleaned macro frame that is there, can be read, has rows and the target's column; else None."""
+    try:
+        df = spark.read.parquet(path)
+        return None if target not in df.columns or df.isEmpty() else df
+    except (PySparkException, Py4JJavaError):
+        return None  # not there, or what a failed job has left
+
+
+def load_macro(spark: SparkSession, artifact: str, rows: DataFrame, series: dict[str, Column], target: str = "iip") -> DataFrame:
+    """One row a month: the cleaned artifact where it is usable, else the table's series side by side with only the target cleaned.
+
+    ``rows`` is (period, value and what ``series`` asks for); ``series`` gives each column's condition on them. Periods become the first
+    of their month; of several values of a month the last one counts. ``source`` says which way it went. Forbidden columns never come along.
+    """
+    month = F.trunc("period", "MM").alias("period")
+    cleaned = usable_artifact(spark, artifact, target)
+    if cleaned is not None:
+        return cleaned.select(month, *(c for c in cleaned.columns if c != "period" and c not in FORBIDDEN)).withColumn("source", F.lit("artifact"))
+    wanted = {c: on for c, on in series.items() if c not in FORBIDDEN}
+    wide = rows.select(month, *(F.when(on, F.struct(F.col("period").alias("at"), "value")).alias(c) for c, on in wanted.items())).groupBy("period").agg(*(F.max(c).alias(c) for c in wanted))
+    wide = wide.select("period", *(F.col(f"{c}.value").alias(c) for c in wanted)).where(F.coalesce(*(F.col(c) for c in wanted)).isNotNull())
+    one = wide.withColumn("whole", F.lit(0)).withColumnRenamed(target, "value")
+    clean = C.clean_series(one, ["whole"], "value")
+    return clean.select("period", *(F.col("value_clean").alias(c) if c == target else F.col(c) for c in wanted)).withColumn("source", F.lit("table"))
+
+
 def digital_by_month(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
     """Mean digital metrics of the last snapshot up to each month; a single snapshot holds for every month."""
     means = snapshots.groupBy(F.trunc("period", "MM").alias("period")).agg(*(F.avg(c).alias(c) for c in DIGITAL)).cache()

@@ -75,6 +75,22 @@ def job_messages(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns({"error": F.when(failed, F.col("error_message")), "detail": F.when(~failed, F.col("error_message"))})
 
 
+def is_subset(part: Column, whole: Column) -> Column:
+    """Whether an array's elements are all in another; an empty one's are, a null one's are not known."""
+    return F.size(F.array_except(part, whole)) == 0
+
+
+def canonical_first(canonical: tuple[str, ...], found: Column) -> Column:
+    """The canonical names, then those found that are none of them, in their order; each once."""
+    return F.array_union(F.array(*map(F.lit, canonical)), F.coalesce(found, F.array().cast("array<string>")))
+
+
+def top_drivers(gains: DataFrame, keys: list[str], gain: str = "gain", name: str = "feature", n: int = 3) -> DataFrame:
+    """The ``n`` features of the largest gains above 0 of each group, ties by name, with their place."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(gain), name))
+    return gains.where(F.col(gain) > 0).withColumn("place", place.cast("long")).where(F.col("place") <= n)
+
+
 def source_health(rows: DataFrame, family: str, source: str, fallback: Column) -> DataFrame:
     """Rows, distinct sources, and ok, fallback or unavailable by family."""
     out = rows.groupBy(family).agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set(source)).alias("sources"), F.count_if(fallback).alias("n_fallback"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,16 +140,41 @@ def load_trees(spark: SparkSession, path: str) -> tuple[B.Booster, DataFrame]:
 # --- all models ----------------------------------------------------------------------------------------------------
 
 
-def train_all(spark: SparkSession, trainers: dict[str, Callable[[], dict]]) -> DataFrame:
-    """(model_name, status, mae, rmse, mape, error) of every trainer; one that fails has its error and stops no other."""
-    rows = []
-    for name, train in trainers.items():
+def train_all(spark: SparkSession, trainers: dict[str, Callable[[], dict]], timeout: float | None = None, pool: str | None = None) -> DataFrame:
+    """(model_name, status, mae, rmse, mape, error) of every trainer, run at once, each in a thread of its own with the caller's job properties.
+
+    One that fails has its error and stops no other. One that takes longer than ``timeout`` seconds is ``timeout``: its Spark jobs are
+    cancelled by their tag, and what it does besides is left to end by itself, its result unseen. ``pool`` names the fair-scheduler pool
+    of their jobs; each trainer gets one of its own below it, so that a large one does not keep the others waiting.
+    """
+    sc, run_id = spark.sparkContext, uuid.uuid4().hex
+    done: dict[str, tuple] = {}
+
+    def work(name: str, train: Callable[[], dict]) -> None:
+        sc.addJobTag(f"{run_id}-{_tag(name)}")
+        sc.setLocalProperty("spark.scheduler.pool", f"{pool}-{_tag(name)}" if pool else None)
         try:
             got = train()
-            rows.append((name, got.get("status", "ok"), *(None if got.get(k) is None else float(got[k]) for k in ("mae", "rmse", "mape")), None))
+            found = (name, got.get("status", "ok"), *(None if got.get(k) is None else float(got[k]) for k in ("mae", "rmse", "mape")), None)
         except Exception as e:  # noqa: BLE001  reported as the model's status
-            rows.append((name, "error", None, None, None, f"{type(e).__name__}: {e}"[:500]))
-    return spark.createDataFrame(rows, "model_name string, status string, mae double, rmse double, mape double, error string")
+            found = (name, "error", None, None, None, f"{type(e).__name__}: {e}"[:500])
+        done.setdefault(name, found)
+
+    threads = {name: InheritableThread(target=work, args=(name, train), daemon=True) for name, train in trainers.items()}
+    for t in threads.values():
+        t.start()
+    end = None if timeout is None else time.monotonic() + timeout
+    for name, t in threads.items():
+        t.join(None if end is None else max(0.0, end - time.monotonic()))
+        if t.is_alive():
+            done.setdefault(name, (name, "timeout", None, None, None, f"not done after {timeout} s"))
+            sc.cancelJobsWithTag(f"{run_id}-{_tag(name)}")
+    return spark.createDataFrame([done[name] for name in trainers], "model_name string, status string, mae double, rmse double, mape double, error string")
+
+
+def _tag(name: str) -> str:
+    """A name as part of a job tag, which may hold no comma."""
+    return name.replace(",", ";")
 
 
 def forecast(spark: SparkSession, forecasters: dict[str, Callable[[int], Sequence[float]]], name: str, last_period, horizon: int = 6) -> DataFrame:

@@ -113,6 +113,13 @@ def quarters_to_months(df: DataFrame, keys: Keys, value: str = "value", period:
     return rows.select(*keys, period, line.alias(value))
 
 
+def harmonised(df: DataFrame, keys: Keys, value: str = "value", period: str = "period", frequency: str = "freq") -> DataFrame:
+    """Monthly rows of series that come by month, quarter or year: quarters where a group has any, on a line to the next; years held."""
+    one = preferred_frequency(df, keys, frequency)
+    pick = lambda f: one.where(F.col(frequency) == f).select(*keys, period, value)
+    return pick("M").unionByName(quarters_to_months(pick("Q"), keys, value, period)).unionByName(step_held(pick("A").withColumn(period, F.trunc(period, "YEAR")), 12, period))
+
+
 def preferred_frequency(df: DataFrame, keys: Keys, frequency: str = "freq", preferred: str = "Q") -> DataFrame:
     """Rows of the preferred frequency where a group has any, else all of the group's."""
     has = F.max(F.col(frequency) == preferred).over(Window.partitionBy(*keys))

@@ -11,7 +11,7 @@ from ..operators import narrative as N
 from ..operators import windows as W
 from ..streaming import feedback as S
 from . import firms
-from .series import monthly, read
+from .series import monthly, quarterly, read
 
 NAMES = iter(range(1 << 30))
 
@@ -41,8 +41,10 @@ def sql_functions(spark, sf_dir):
 
 
 def sql_step_hold(spark, sf_dir):
+    """The value of each quarter of each order priority on its three months, by a table function on the quarters' rows."""
     register_functions(spark)
-    return spark.sql("SELECT q.start, t.month FROM (SELECT explode(sequence(DATE'2020-01-01', DATE'2021-10-01', INTERVAL 3 MONTH)) AS start) q, LATERAL step_hold(q.start, 3) t")
+    quarterly(spark, sf_dir).createOrReplaceTempView("loomwork_quarters")
+    return spark.sql("SELECT q.series, t.month, q.value FROM loomwork_quarters q, LATERAL step_hold(q.period, 3) t")
 
 
 def benchmark_narrative(spark, sf_dir):
@@ -51,8 +53,9 @@ def benchmark_narrative(spark, sf_dir):
 
 
 def forecast_narrative(spark, sf_dir):
-    last = W.lags(monthly(spark, sf_dir), ["series"], "value", (1,)).where("period = date'2001-06-01'")
-    return N.forecast_sentences(last, "series", "value_lag1", "value")
+    """Each month of each series against the one before, in words."""
+    rows = W.lags(monthly(spark, sf_dir), ["series"], "value", (1,)).withColumn("name", F.concat_ws(" ", "series", F.date_format("period", "yyyy-MM")))
+    return N.forecast_sentences(rows, "name", "value_lag1", "value")
 
 
 def universe_coverage(spark, sf_dir):
@@ -77,10 +80,11 @@ QUERIES = {f.__name__: f for f in (stream_event_counts, sql_functions, sql_step_
 SQL = {
     "stream_event_counts": "SELECT event_type, count(*) AS n, round(sum(value), 1) AS total FROM events GROUP BY 1",
     "sql_functions": "SELECT s_suppkey, round(s_acctbal / nullif(s_nationkey, 0), 6) AS per_nation, substr(s_name, 1, 2) AS division, last_day(make_date(2000 + s_nationkey, (1 + s_nationkey % 4) * 3, 1)) AS q FROM supplier",
-    "sql_step_hold": "SELECT CAST(DATE '2020-01-01' + to_months(CAST(3 * a AS INTEGER)) AS DATE) AS start, CAST(DATE '2020-01-01' + to_months(CAST(3 * a + b AS INTEGER)) AS DATE) AS month FROM range(8) AS x(a), range(3) AS y(b)",
+    "sql_step_hold": """WITH m AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2),
+ q AS (SELECT series, CAST(date_trunc('quarter', period) AS DATE) AS q, round(sum(value), 2) AS value FROM m GROUP BY 1, 2) SELECT series, CAST(q + to_months(CAST(i AS INTEGER)) AS DATE) AS month, value FROM q, range(3) AS r(i)""",
     "forecast_narrative": """WITH m AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2), l AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY period) AS p FROM m),
- d AS (SELECT series, round((value - p) / nullif(abs(p), 0) * 100, 2) AS d FROM l WHERE period = DATE '2001-06-01')
- SELECT series, d AS delta_pct, series || ' ' || CASE WHEN d > 0 THEN 'rises by ' || abs(d) || ' %' WHEN d < 0 THEN 'falls by ' || abs(d) || ' %' ELSE 'stays' END AS text FROM d""",
+ d AS (SELECT series || ' ' || strftime(period, '%Y-%m') AS name, round((value - p) / nullif(abs(p), 0) * 100, 2) AS d FROM l)
+ SELECT name, d AS delta_pct, name || ' ' || CASE WHEN d IS NULL THEN NULL WHEN d > 0 THEN 'rises by ' || abs(d) || ' %' WHEN d < 0 THEN 'falls by ' || abs(d) || ' %' ELSE 'stays' END AS text FROM d""",
     "universe_coverage": "SELECT count(*) AS n_universe, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_deep, CASE WHEN (SELECT count(DISTINCT o_custkey) FROM orders) < count(*) THEN 'prototype_sample' ELSE 'full' END AS label FROM customer",
     "revenue_rollup": "SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "top_parts_by_brand": "SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1",

@@ -186,8 +186,8 @@ def timeline_union(spark, sf_dir):
 
 
 def aligned_series(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.to_date("o_orderdate").alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    ls = read(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").groupBy(F.to_date("l_shipdate").alias("period")).agg(F.sum("l_quantity").alias("value"))
+    o = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("period")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    ls = read(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("period")).agg(F.sum("l_quantity").alias("value"))
     return M.aligned(o, ls, ("orders_last", "lines_last"))
 
 
@@ -238,7 +238,7 @@ SQL = {
     "peer_list_limit": """WITH p AS (SELECT a.s_suppkey, b.s_suppkey AS peer, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.s_acctbal DESC, b.s_suppkey) AS peer_rank FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT * FROM p WHERE peer_rank <= 12""",
     "company_nested_detail": """SELECT c_custkey, c_name, count(o_orderkey) AS n_orders, coalesce(string_agg(CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""",
     "timeline_union": """SELECT user_id AS company_id, ts AS "at", 'event' AS kind, event_type AS label FROM events UNION ALL SELECT o_custkey, o_orderdate, 'order', o_orderpriority FROM orders""",
-    "aligned_series": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS p, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), l AS (SELECT CAST(l_shipdate AS DATE) AS p, sum(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+    "aligned_series": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS p, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1), l AS (SELECT CAST(l_shipdate AS DATE) AS p, sum(l_quantity) AS v FROM lineitem GROUP BY 1),
  a AS (SELECT strftime(p, '%Y-%m') AS month, max_by(v, p) AS orders_last FROM o GROUP BY 1), b AS (SELECT strftime(p, '%Y-%m') AS month, max_by(v, p) AS lines_last FROM l GROUP BY 1)
  SELECT coalesce(a.month, b.month) AS month, orders_last, lines_last FROM a FULL JOIN b ON a.month = b.month""",
     "metric_coverage": f"""WITH {LISTINGS}, r AS (SELECT va, row_number() OVER (ORDER BY va DESC, company_id) AS n FROM va) SELECT count(*) AS n, count(*) FILTER (WHERE va > 0) AS n_with_va, round(count(*) FILTER (WHERE va > 0) / count(*) * 100, 1) AS coverage_pct, round(sum(va) FILTER (WHERE n <= 3) / sum(va) * 100, 2) AS top3_share_pct FROM r""",

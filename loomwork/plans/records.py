@@ -35,8 +35,9 @@ def fallback_cascade(spark, sf_dir):
 
 
 def coverage_missing_codes(spark, sf_dir):
-    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"))
-    return T.missing_codes(nations, read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("code")), "code")
+    """Customers that no event names, as codes that were expected."""
+    expected = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"))
+    return T.missing_codes(expected, events(spark, sf_dir).select(F.col("user_id").alias("code")), "code")
 
 
 def coded(spark, sf_dir):
@@ -154,7 +155,7 @@ SQL = {
    CASE WHEN o.user_id IS NULL THEN 'inserted' WHEN n.user_id IS NULL THEN 'kept' ELSE 'updated' END AS "change" FROM o FULL JOIN n ON o.user_id = n.user_id AND o.event_type = n.event_type""",
     "fallback_cascade": f"""WITH s AS (SELECT user_id, event_id, value, {TIER} AS source_tier FROM events), c AS (SELECT *, CASE source_tier WHEN 'live' THEN 0 WHEN 'seed' THEN 1 ELSE 2 END AS tier FROM s), b AS (SELECT *, min(tier) OVER (PARTITION BY user_id) AS best FROM c)
  SELECT user_id, event_id, value, source_tier, CASE tier WHEN 0 THEN 'ok' ELSE 'fallback' END AS status FROM b WHERE tier = best""",
-    "coverage_missing_codes": "SELECT n_nationkey AS code FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)",
+    "coverage_missing_codes": "SELECT c_custkey AS code FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "code_validation_issues": f"WITH {CODED} SELECT * FROM judged WHERE reason IS NOT NULL",
     "code_validation_summary": f"WITH {CODED} SELECT count(*) AS checked, count(*) FILTER (WHERE reason IS NULL) AS valid, count(*) FILTER (WHERE reason = 'missing_code') AS n_missing_code, count(*) FILTER (WHERE reason = 'unknown_code') AS n_unknown_code, count(*) FILTER (WHERE reason = 'not_section_c') AS n_not_section_c FROM judged",
     "listing_clean_flags_notes": """WITH b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 > 0 THEN l_extendedprice END AS p, l_tax AS u, CASE WHEN l_orderkey % 3 = 0 THEN 'seen' END AS n FROM lineitem),

@@ -97,7 +97,8 @@ def quarter_linear_months(spark, sf_dir):
 
 def freq_preference(spark, sf_dir):
     annual = monthly(spark, sf_dir).groupBy("series", F.trunc("period", "YEAR").alias("period")).agg(F.round(F.sum("value"), 2).alias("value")).withColumn("freq", F.lit("A"))
-    quarters = quarterly(spark, sf_dir).where("series < '3'").withColumn("freq", F.lit("Q"))
+    # every series has quarters, which count as such for some alone
+    quarters = quarterly(spark, sf_dir).withColumn("freq", F.when(F.col("series") < "3", "Q").otherwise("H"))
     return W.preferred_frequency(annual.unionByName(quarters), ["series"])
 
 
@@ -128,8 +129,8 @@ def mom_yoy(spark, sf_dir):
 
 
 def series_monthly_wide_outer(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("orders_value"))
-    lines = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("l_extendedprice"), 2).alias("lines_value"))
+    orders = read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("orders_value"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("l_extendedprice"), 2).alias("lines_value"))
     events = read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.round(F.sum("value"), 2).alias("events_value"))
     return orders.join(lines, "month", "full").join(events, "month", "full")
 
@@ -221,7 +222,7 @@ SQL = {
  s AS (SELECT *, coalesce(datediff('month', p, np), 3) AS span FROM n)
  SELECT series, CAST(p + to_months(CAST(i AS INTEGER)) AS DATE) AS period, round(v + (coalesce(nv, v) - v) * i / span, 2) AS value FROM s, range(200) AS r(i) WHERE i < span""",
     "freq_preference": f"""WITH {QUARTERLY} SELECT series, CAST(date_trunc('year', period) AS DATE) AS period, round(sum(value), 2) AS value, 'A' AS freq FROM monthly WHERE series >= '3' GROUP BY 1, 2
- UNION ALL SELECT series, period, value, 'Q' AS freq FROM quarterly WHERE series < '3'""",
+ UNION ALL SELECT series, period, value, CASE WHEN series < '3' THEN 'Q' ELSE 'H' END AS freq FROM quarterly""",
     "asof_backward_features": f"""WITH {MONTHLY}, s AS (SELECT series, period AS snapshot_period, value AS snapshot FROM monthly WHERE month(period) IN (2, 9))
  SELECT m.series, m.period, m.value, s.snapshot, s.snapshot_period FROM monthly AS m ASOF LEFT JOIN s ON m.series = s.series AND m.period >= s.snapshot_period""",
     "broadcast_latest": f"""WITH {MONTHLY}, one AS (SELECT value AS latest_value, period AS latest_period FROM monthly ORDER BY period DESC, series DESC LIMIT 1) SELECT series, period, latest_value, latest_period FROM monthly, one""",
@@ -229,8 +230,8 @@ SQL = {
  SELECT c.period, mean_value, n FROM c LEFT JOIN a ON CAST(date_trunc('quarter', c.period) AS DATE) = a.p""",
     "mom_yoy": f"""WITH {MONTHLY} SELECT m.series, m.period, m.value, round((m.value - lag(m.value) OVER w) / nullif(lag(m.value) OVER w, 0) * 100, 4) AS mom_pct, round((m.value - y.value) / nullif(y.value, 0) * 100, 4) AS yoy_pct
  FROM monthly AS m LEFT JOIN monthly AS y ON m.series = y.series AND y.period = CAST(m.period - INTERVAL 12 MONTH AS DATE) WINDOW w AS (PARTITION BY m.series ORDER BY m.period)""",
-    "series_monthly_wide_outer": """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS orders_value FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
- l AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice), 2) AS lines_value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), e AS (SELECT strftime(ts, '%Y-%m') AS month, round(sum(value), 2) AS events_value FROM events GROUP BY 1)
+    "series_monthly_wide_outer": """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS orders_value FROM orders GROUP BY 1),
+ l AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice), 2) AS lines_value FROM lineitem GROUP BY 1), e AS (SELECT strftime(ts, '%Y-%m') AS month, round(sum(value), 2) AS events_value FROM events GROUP BY 1)
  SELECT coalesce(o.month, l.month, e.month) AS month, orders_value, lines_value, events_value FROM o FULL JOIN l ON o.month = l.month FULL JOIN e ON coalesce(o.month, l.month) = e.month""",
     "monthly_continuity": f"""WITH {MONTHLY}, u AS (SELECT series, period FROM monthly WHERE month(period) IN (2, 9) UNION ALL SELECT 'all ' || series, period FROM monthly), m AS (SELECT DISTINCT series, year(period) * 12 + month(period) AS m FROM u)
  SELECT series, count(*) > 1 AND max(m) - min(m) + 1 = count(*) AS is_monthly FROM m GROUP BY 1""",

@@ -65,8 +65,9 @@ def office_series(observations: DataFrame, series: dict[str, str] = SDMX_SERIES)
 
 
 def sdmx_json(df: DataFrame, key: str, body: str, country: str | None = None, activity: str | None = None) -> DataFrame:
-    """Observations of SDMX-JSON 2 messages: index keys resolved against the dimensions' values."""
-    v = df.select(key, F.try_parse_json(body).alias("__v"))
+    """Observations of SDMX-JSON 2 messages, bare or wrapped under ``sdmx``: index keys resolved against the dimensions' values."""
+    parsed = F.try_parse_json(body)
+    v = df.select(key, F.coalesce(F.try_variant_get(parsed, "$.sdmx", "variant"), parsed).alias("__v"))
     dims = "transform(flatten(array({})), d -> struct(try_variant_get(d, '$.id', 'string') AS id, transform(try_variant_get(d, '$.values', 'array<variant>'), x -> try_variant_get(x, '$.id', 'string')) AS ids))"
     levels = ", ".join(f"coalesce(try_variant_get(__v, '$.data.structures[0].dimensions.{level}', 'array<variant>'), array())" for level in ("dataSet", "series", "observation"))
     v = v.select(key, F.expr(dims.format(levels)).alias("__d"), F.explode(F.map_entries(get("__v", "$.data.dataSets[0].observations", "map<string,variant>"))).alias("__o"))
@@ -227,7 +228,19 @@ def is_empty_series(status: Column, body: Column) -> Column:
 
 
 def embedded_json(html: Column, name: str | None = None) -> Column:
-    """The first JSON text in a page: of a script of type ld+json, or with ``name`` what a script assigns to that name; null if it is none."""
+    """The first JSON text in a page: of a script of type ld+json, or with ``name`` what a script assigns to that name; null if it is none.
+
+    For a body that is JSON itself, or holds some without a script, see :func:`json_within`.
+    """
     pattern = rf"(?s)\b{re.escape(name)}\s*=\s*(\{{.*?\}}|\[.*?\])\s*;?\s*</script" if name else r"(?is)<script[^>]*ld\+json[^>]*>\s*(.*?)\s*</script"
     found = F.regexp_extract(html, pattern, 1)
     return F.when(F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull(), found)
+
+
+def json_within(text: Column) -> Column:
+    """The JSON object of a body: the body itself, else what stands from its first { to its last }; null if that is none."""
+    t = F.trim(text)
+    start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    inner = F.when((start > 0) & (end > start) & F.contains(t, F.lit("}")), F.substring(t, start, end - start + 1))
+    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object(t), t).when(is_object(inner), inner)

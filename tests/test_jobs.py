@@ -57,6 +57,33 @@ def test_boosters_and_their_artifacts(spark, tmp_path):
     assert TR.train_booster(df.limit(9), "y", ["a"])[0] == "insufficient_data"
 
 
+def test_a_hanging_trainer_is_given_up(spark):
+    """One sleeps, one runs an endless job, one fails: the others finish meanwhile, and the endless job is cancelled."""
+    import time
+
+    def endless():
+        slow = F.udf(lambda x: time.sleep(0.5) or x, "long")
+        return {"mae": spark.range(0, 4000, 1, 2).select(slow("id").alias("x")).agg(F.sum("x")).first()[0]}
+
+    began = time.monotonic()
+    seen = {}
+
+    def quick():
+        seen["pool"] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        return {"mae": float(spark.range(100).count()), "rmse": 1, "mape": 2}
+
+    rows = TR.train_all(spark, {"sleeps": lambda: time.sleep(60), "endless": endless, "quick": quick, "fails": lambda: 1 / 0}, timeout=8, pool="train").collect()
+    assert time.monotonic() - began < 30
+    assert [(r.model_name, r.status, r.mae) for r in rows] == [("sleeps", "timeout", None), ("endless", "timeout", None), ("quick", "ok", 100.0), ("fails", "error", None)]
+    assert "ZeroDivisionError" in rows[3].error and seen["pool"] == "train-quick"
+    for _ in range(40):  # cancelled, not left to run for its half an hour
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.5)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_one_failing_trainer_stops_no_other(spark):
     def broken():
         raise KeyError("no such column")
@@ -117,3 +144,34 @@ def test_synonyms_and_embedded_json(spark):
     got = df.select(X.with_synonyms(F.col("t")).alias("t"), P.embedded_json(F.col("h")).alias("h"), P.embedded_json(F.col("h"), "state").alias("s")).collect()
     assert [r.t for r in got] == ["bong den x bong den bulb lighting", "", "q"]
     assert [(r.h, r.s) for r in got] == [('{"a": 1}', None), (None, "[1, 2]"), (None, None)]
+
+
+def test_macro_comes_from_the_artifact_or_the_table(spark, tmp_path):
+    from loomwork.operators import features as FT
+
+    rows = spark.createDataFrame([("IIP", month(0).replace(day=15), 1.0), ("IIP", month(1), None), ("IIP", month(2), 3.0), ("PEER", month(1), None), ("PEER", month(2), 7.0), ("BCI", month(2), 9.0)], "code string, period date, value double")
+    series = {"iip": F.col("code") == "IIP", "peer": F.col("code") == "PEER", "mei_bci": F.col("code") == "BCI"}
+    load = lambda path: sorted(map(tuple, FT.load_macro(spark, str(path), rows, series).select("period", "iip", "peer", "source").collect()))
+    table = [(month(0), 1.0, None, "table"), (month(1), 2.0, None, "table"), (month(2), 3.0, 7.0, "table")]  # the target alone is filled
+    assert load(tmp_path / "none") == table
+    good = spark.createDataFrame([(month(5).replace(day=9), 5.0, 6.0, 1.0)], "period date, iip double, peer double, mei_bci double")
+    good.where("false").write.parquet(str(tmp_path / "empty"))
+    good.drop("iip").write.parquet(str(tmp_path / "partial"))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "a.parquet").write_text("not parquet")
+    assert [load(tmp_path / n) for n in ("empty", "partial", "broken")] == [table] * 3
+    good.write.parquet(str(tmp_path / "good"))
+    assert load(tmp_path / "good") == [(month(5), 5.0, 6.0, "artifact")]
+    assert "mei_bci" not in FT.load_macro(spark, str(tmp_path / "good"), rows, series).columns
+
+
+def test_reports_of_benchmarks(spark):
+    from loomwork.operators.narrative import benchmark_report
+
+    rows = [(1, "roa", 0.5, 0.4, 5, "above_average", 90.0), (1, "roe", 0.1, 0.2, 5, "below_average", 20.0), (1, "debt", None, 0.3, 5, None, None), (2, "roa", 0.5, None, 0, None, None), (3, "roa", 0.25, 0.25, 4, "average", 50.0), (3, "roe", 0.3, 0.2, 4, "above_average", None)]
+    got = {r.id: r for r in benchmark_report(spark.createDataFrame(rows, "id int, metric string, value double, average double, peers int, label string, percentile double"), "id").collect()}
+    assert (got[1].strongest, got[1].weakest, got[1].omitted) == ("roa", "roe", ["debt"])
+    assert got[1].text == "Strongest is roa: 0.5000, percentile 90.0, above the average of 0.4000. Weakest is roe: 0.1000, percentile 20.0, below the average of 0.2000. No figures for debt."
+    assert [(c.field, c.value) for c in got[1].citations] == [("roa", 0.5), ("roa.percentile", 90.0), ("roa.average", 0.4), ("roe", 0.1), ("roe.percentile", 20.0), ("roe.average", 0.2)]
+    assert (got[2].strongest, got[2].text, got[2].citations) == (None, "No percentile is known. No figures for roa.", [])
+    assert (got[3].strongest, got[3].weakest, len(got[3].citations)) == ("roa", None, 3)
