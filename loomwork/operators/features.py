@@ -37,8 +37,9 @@ def load_macro(spark: SparkSession, artifact: str, rows: DataFrame, series: dict
     if cleaned is not None:
         return cleaned.select(month, *(c for c in cleaned.columns if c != "period" and c not in FORBIDDEN)).withColumn("source", F.lit("artifact"))
     wanted = {c: on for c, on in series.items() if c not in FORBIDDEN}
-    wide = rows.select(month, *(F.when(on, F.struct(F.col("period").alias("at"), "value")).alias(c) for c, on in wanted.items())).groupBy("period").agg(*(F.max(c).alias(c) for c in wanted))
-    wide = wide.select("period", *(F.col(f"{c}.value").alias(c) for c in wanted)).where(F.coalesce(*(F.col(c) for c in wanted)).isNotNull())
+    asked = F.coalesce(F.greatest(F.lit(False), *wanted.values()), F.lit(False))  # a month with a null value alone is a month
+    wide = rows.where(asked).select(month, *(F.when(on, F.struct(F.col("period").alias("at"), "value")).alias(c) for c, on in wanted.items())).groupBy("period").agg(*(F.max(c).alias(c) for c in wanted))
+    wide = wide.select("period", *(F.col(f"{c}.value").alias(c) for c in wanted))
     one = wide.withColumn("whole", F.lit(0)).withColumnRenamed(target, "value")
     clean = C.clean_series(one, ["whole"], "value")
     return clean.select("period", *(F.col("value_clean").alias(c) if c == target else F.col(c) for c in wanted)).withColumn("source", F.lit("table"))
