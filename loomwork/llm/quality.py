@@ -1,7 +1,7 @@
 """Operator 1, quality rules as a short-circuit cascade.
 
-Each rule says of a text's measures whether it rejects the text. The base measures are computed for every text; on a bounded
-sample (``sample_rows`` documents) each rule is timed after them, so that its cost is what the cascade pays for it, and its
+Each rule says of a text's measures whether it rejects the text. Where they are asked for (:func:`cascade`), the base measures are computed for
+every text; on a bounded sample (``sample_rows`` documents) each rule is timed after them, so that its cost is what the cascade pays for it, and its
 verdicts are noted. The cascade then takes, again and again, the rule with the most rejections among the texts that are left,
 per second. Over the corpus a text goes through the rules in that order up to the first that rejects it. The order decides on
 time alone: a text is kept if no rule rejects it.
@@ -142,11 +142,11 @@ def base_measures(t: Text) -> tuple:
     return t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, any(r.rejects(t) for r in BASE)
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, key: str = "doc_id") -> list[Estimate]:
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, key: str = "doc_id", after_base: bool = True) -> list[Estimate]:
     """The order of the cascade with its grounds, from about ``sample_rows`` documents, read once.
 
-    A rule's cost is the time that it takes on a text whose base measures are there already. Texts that fail the base rules
-    do not come to the cascade and count for nothing.
+    A rule's cost is the time that it takes on a text whose base measures are there already, and texts that fail the base rules
+    do not come to the cascade and count for nothing; without ``after_base`` all texts do, and a rule pays for all but the text's words.
     """
 
     def make():
@@ -154,8 +154,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
             spent, found, n = [0] * len(rules), Counter(), 0
             for t in columns[0]:
                 measured = Text(t)
-                if base_measures(measured)[-1]:
+                if after_base and base_measures(measured)[-1]:
                     continue
+                measured.words  # noqa: B018  what nearly all rules begin with
                 verdict = 0
                 for i, rule in enumerate(rules):
                     own, began = copy.copy(measured), time.perf_counter_ns()
@@ -202,9 +203,23 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     return common.map_texts(docs, text, make, [(names + n, t) for n, t in BASE_FIELDS], keep=keep)
 
 
-def accepted(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the cascade keeps, with their columns; options as of :func:`cascade`."""
-    names = "q_"
-    while any(c.lower().startswith(names) for c in docs.columns):
-        names = f"_{names}"
-    return cascade(docs, keep=docs.columns, names=names, **options).where(F.col(f"{names}kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+def passes(text: str | None, order: tuple[Rule, ...]) -> bool:
+    """Whether no rule rejects a text; it is measured no further than the first that does."""
+    t = Text(text)
+    return not any(r.rejects(t) for r in order)
+
+
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
+    """The rows of ``docs`` that neither a base rule nor another rejects, with their columns.
+
+    Where only the verdict is asked for, base rules are rules of the cascade like the others: their costs and rejections decide on their
+    place, so that few texts come to the count of repeated windows, the dearest of all.
+    """
+    by_name = {r.name: r for r in (*BASE, *rules)}
+    order = tuple(by_name[e.rule] for e in estimate(docs, tuple(by_name.values()), text, sample_rows, key, after_base=False))
+
+    def make():
+        return lambda texts: [[passes(t, order) for t in texts]]
+
+    kept = common.free_name("kept", *docs.columns)
+    return common.map_texts(docs, text, make, [(kept, "boolean")], keep=docs.columns).where(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -421,3 +421,20 @@ def test_a_cut_wording_is_no_license(label):
     assert label in found(text)
     assert label not in found(" ".join(words[:-3])) and label not in found(" ".join(words[: len(words) // 2]))
     assert label not in found("... by any means for a fee of ten dollars " + " ".join(words[:40]))
+
+
+def test_base_rules_are_part_of_the_cascade(docs, monkeypatch):
+    """Where the verdict alone is asked for, the dearest rule is the last, and a short text never comes to it."""
+    rules = (*quality.BASE, *quality.RULES)
+    names = [e.rule for e in quality.estimate(docs, rules, after_base=False)]
+    assert sorted(names) == sorted(r.name for r in rules) and names.index("too_few_words") < names.index("repeated_words")
+    order = tuple({r.name: r for r in rules}[n] for n in names)
+    windows = []
+    real = quality.Text.n_repeat_words.func
+    monkeypatch.setattr(quality.Text, "n_repeat_words", property(lambda t: (windows.append(t.n_words), real(t))[1]))
+    texts = [r.text for r in docs.collect()] + EDGES + ["word " * 49, "word " * 50]
+    got = [quality.passes(t, order) for t in texts]
+    assert windows and min(windows) >= 50
+    assert got == [not any(r.rejects(quality.Text(t)) for r in rules) for t in texts]
+    kept = sorted(r.doc_id for r in quality.accepted(docs).collect())
+    assert kept == sorted(r.doc_id for r in quality.cascade(docs, keep=["doc_id"]).where("kept").collect())
