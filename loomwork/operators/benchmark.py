@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, benchmark_ratios, ratio
+from .shared import free_name
 
 #: The sizes below which a peer sample is small or gives no quartiles, and the band around the average.
 SMALL_SAMPLE, QUARTILE_PEERS, BAND = 3, 4, 0.1
@@ -18,7 +19,8 @@ def latest_reports(reports: DataFrame, key: str = "company_id") -> DataFrame:
     """Each firm's latest report, an annual one first."""
     annual = F.lower("report_type") == "annual"
     w = Window.partitionBy(key).orderBy(F.desc(F.coalesce(annual, F.lit(False))), F.desc("period"))
-    return reports.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    place = free_name("place", *reports.columns)
+    return reports.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
 
 
 def long_ratios(reports: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

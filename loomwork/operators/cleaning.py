@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .windows import gaps_filled
 
 #: Divisions of the manufacturing section, and reasons for a code's rejection.
@@ -65,9 +66,10 @@ def code_reason(code: Column, known: Column) -> Column:
 
 def validate_codes(df: DataFrame, codes: DataFrame, code: str) -> DataFrame:
     """``df`` with ``reason``; ``codes`` has one column of valid codes and is looked up by a left join."""
-    valid = codes.select(F.trim(F.col(codes.columns[0])).alias("__valid")).distinct()
-    joined = df.join(valid, F.trim(code) == F.col("__valid"), "left")
-    return joined.withColumn("reason", code_reason(F.col(code), F.col("__valid").isNotNull())).drop("__valid")
+    known = free_name("valid", *df.columns)
+    valid = codes.select(F.trim(F.col(codes.columns[0])).alias(known)).distinct()
+    joined = df.join(valid, F.trim(code) == F.col(known), "left")
+    return joined.withColumn("reason", code_reason(F.col(code), F.col(known).isNotNull())).drop(known)
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:
@@ -78,15 +80,16 @@ def clean_listings(df: DataFrame, columns: list[str], method: str = "iqr", actio
     """Numeric columns coerced (bad text becomes null, null stays), each with a flag ``{column}_outlier`` and acted on;
     flagged rows get a note once, however often this runs."""
     df = df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns})
-    bounds = [fences(df, [], c, method, **options).select(*(F.col(x).alias(f"__{c}_{x}") for x in ("low", "high", "median"))) for c in columns]
+    bound = {(c, x): free_name(f"{c}_{x}", *df.columns) for c in columns for x in ("low", "high", "median")}
+    bounds = [fences(df, [], c, method, **options).select(*(F.col(x).alias(bound[c, x]) for x in ("low", "high", "median"))) for c in columns]
     for b in bounds:  # one row each
         df = df.join(F.broadcast(b), F.lit(True), "left")
     for c in columns:
-        low, high, median = (F.col(f"__{c}_{x}") for x in ("low", "high", "median"))
+        low, high, median = (F.col(bound[c, x]) for x in ("low", "high", "median"))
         flag = F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
         new = {"flag": F.col(c), "null": F.lit(None), "median": median, "winsorize": F.least(F.greatest(F.col(c), low), high)}[action]
         df = df.withColumn(f"{c}_outlier", flag).withColumn(c, F.when(F.col(f"{c}_outlier"), new).otherwise(F.col(c)))
         tag = F.lit(f"outlier:{c}")
         has = F.instr(F.coalesce(F.col(notes), F.lit("")), f"outlier:{c}") > 0
         df = df.withColumn(notes, F.when(~F.col(f"{c}_outlier") | has, F.col(notes)).otherwise(F.concat_ws("; ", F.nullif(F.col(notes), F.lit("")), tag)))
-    return df.drop(*(f"__{c}_{x}" for c in columns for x in ("low", "high", "median")))
+    return df.drop(*bound.values())

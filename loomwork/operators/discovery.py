@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .metrics import PLATFORMS, listing_revenue
+from .shared import free_name
 from .tables import MODELS
 from .windows import latest
 
@@ -25,9 +26,10 @@ def shop_candidates(pages: DataFrame, key: str, html: str, most: int = 20) -> Da
 
 def gated(candidates: DataFrame, allow: DataFrame, keys: list[str], score: str, threshold: float, enabled: bool = True) -> DataFrame:
     """Candidates with ``verdict``: accepted only where discovery is on, the pair is on the allow-list and the score is enough."""
-    marked = candidates.join(allow.select(*keys).distinct().withColumn("__ok", F.lit(True)), keys, "left")
-    verdict = F.when(F.lit(not enabled), "disabled").when(F.col("__ok").isNull(), "not_allowed").when(F.coalesce(F.col(score), F.lit(0.0)) < threshold, "below_threshold").otherwise("accepted")
-    return marked.withColumn("verdict", verdict).drop("__ok")
+    listed = free_name("listed", *candidates.columns)
+    marked = candidates.join(allow.select(*keys).distinct().withColumn(listed, F.lit(True)), keys, "left")
+    verdict = F.when(F.lit(not enabled), "disabled").when(F.col(listed).isNull(), "not_allowed").when(F.coalesce(F.col(score), F.lit(0.0)) < threshold, "below_threshold").otherwise("accepted")
+    return marked.withColumn("verdict", verdict).drop(listed)
 
 
 def first_by_priority(rows: DataFrame, keys: list[str], *priority: Column) -> DataFrame:
@@ -77,8 +79,9 @@ def audit_summary(audited: DataFrame) -> DataFrame:
 
 def renamed_key(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """``old`` renamed to ``new`` unless the table has ``new`` already."""
-    has = rows.agg(F.coalesce(F.bool_or(F.col(key) == new), F.lit(False)).alias("__has"))
-    return rows.join(F.broadcast(has), F.lit(True)).withColumn(key, F.when((F.col(key) == old) & ~F.col("__has"), new).otherwise(F.col(key))).drop("__has")
+    there = free_name("there", *rows.columns)
+    has = rows.agg(F.coalesce(F.bool_or(F.col(key) == new), F.lit(False)).alias(there))  # one row
+    return rows.join(F.broadcast(has), F.lit(True)).withColumn(key, F.when((F.col(key) == old) & ~F.col(there), new).otherwise(F.col(key))).drop(there)
 
 
 def top_share(rows: DataFrame, value: str, n: int = 3) -> DataFrame:

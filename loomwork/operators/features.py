@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import cleaning as C
 from . import windows as W
 from .metrics import feature_ratios
+from .shared import free_name
 
 #: Groups of context columns.
 DIGITAL = ("digital_adoption_score", "channel_diversity", "online_revenue_ratio")
@@ -47,36 +48,39 @@ def load_macro(spark: SparkSession, artifact: str, rows: DataFrame, series: dict
 
 def digital_by_month(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
     """Mean digital metrics of the last snapshot up to each month; a single snapshot holds for every month."""
-    means = snapshots.groupBy(F.trunc("period", "MM").alias("period")).agg(*(F.avg(c).alias(c) for c in DIGITAL)).cache()
-    if means.count() == 1:
-        return W.broadcast_latest(calendar, means, list(DIGITAL)).withColumn("digital_alignment", F.lit("broadcast_latest"))
-    one = F.lit(0)
-    return W.asof_backward(calendar.withColumn("__g", one), means.withColumn("__g", one), ["__g"], list(DIGITAL)).drop("__g").withColumn("digital_alignment", F.lit("period_aggregate"))
+    means = snapshots.groupBy(F.trunc("period", "MM").alias("period")).agg(*(F.avg(c).alias(c) for c in DIGITAL))
+    one = means.agg(F.count("*").alias("snapshots"), *(F.first(c).alias(f"only_{c}") for c in DIGITAL))  # one row
+    key = free_name("whole", "period", *DIGITAL)
+    held = W.asof_backward(calendar.select("period", F.lit(0).alias(key)), means.withColumn(key, F.lit(0)), [key], list(DIGITAL)).drop(key).join(F.broadcast(one), F.lit(True))
+    single = F.col("snapshots") == 1
+    return held.select("period", *(F.when(single, F.col(f"only_{c}")).otherwise(F.col(c)).alias(c) for c in DIGITAL), F.when(single, "broadcast_latest").otherwise("period_aggregate").alias("digital_alignment"))
 
 
 def financial_by_month(reports: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Mean ratios of each report period over its months: a quarter's, or a year's where all reports are annual."""
+    """Mean ratios of each report period over its months: a quarter's, or a year's where all reports are annual; a single one holds for every month."""
     annual = F.lower(F.trim(F.coalesce("report_type", F.lit("")))) == "annual"
-    by = feature_ratios(reports).groupBy("period").agg(*(F.avg(c).alias(c) for c in FINANCIAL), F.bool_and(annual).alias("annual")).cache()
-    if by.count() == 1:
-        return W.broadcast_latest(calendar, by, list(FINANCIAL)).withColumn("financial_alignment", F.lit("broadcast_latest"))
+    by = feature_ratios(reports).groupBy("period").agg(*(F.avg(c).alias(c) for c in FINANCIAL), F.bool_and(annual).alias("annual"))
+    one = by.agg(F.count("*").alias("reports"), *(F.first(c).alias(f"only_{c}") for c in FINANCIAL))  # one row
     start = F.when(F.col("annual"), F.trunc("period", "YEAR")).otherwise(F.trunc("period", "QUARTER"))
     held = W.step_held(by.withColumn("period", start), F.when(F.col("annual"), 12).otherwise(3))
     # where a year and a quarter cover the same month, the quarter counts: one row for each month
-    one = held.groupBy("period").agg(F.max_by(F.struct(*FINANCIAL, "annual"), ~F.col("annual")).alias("r")).select("period", "r.*")
+    each = held.groupBy("period").agg(F.max_by(F.struct(*FINANCIAL, "annual"), ~F.col("annual")).alias("r")).select("period", "r.*")
     tag = F.when(F.col("annual"), "step_hold_annual").when(~F.col("annual"), "step_hold_quarter")
-    return calendar.join(one, "period", "left").withColumn("financial_alignment", tag).drop("annual")
+    single = F.col("reports") == 1
+    rows = calendar.join(each, "period", "left").join(F.broadcast(one), F.lit(True))
+    return rows.select("period", *(F.when(single, F.col(f"only_{c}")).otherwise(F.col(c)).alias(c) for c in FINANCIAL), F.when(single, "broadcast_latest").otherwise(tag).alias("financial_alignment"))
 
 
-def build(macro: DataFrame, snapshots: DataFrame, reports: DataFrame, target: str = "iip", peer: str = "indigo") -> DataFrame:
-    """One row a month: lags, trailing means and growth of target and peer, context, and their product; warm-up rows dropped."""
-    one = macro.drop(*FORBIDDEN).withColumn("__g", F.lit(0))
-    key = ["__g"]
-    rows = W.growth(W.rolling_means(W.lags(one, key, target), key, target), key, target, f"{target}_growth")
+def build(macro: DataFrame, snapshots: DataFrame, reports: DataFrame, target: str = "iip", peer: str = "indigo", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a month (of each series, by ``keys``): lags, trailing means and growth of target and peer, context, and their product; warm-up rows dropped."""
+    one = free_name("whole", *macro.columns)
+    rows = macro.drop(*FORBIDDEN) if keys else macro.drop(*FORBIDDEN).withColumn(one, F.lit(0))
+    key = list(keys) or [one]
+    rows = W.growth(W.rolling_means(W.lags(rows, key, target), key, target), key, target, f"{target}_growth")
     if peer in macro.columns:
         rows = W.lags(rows, key, peer, (1,))
     calendar = macro.select(F.trunc("period", "MM").alias("period")).where("period IS NOT NULL").distinct()
-    rows = rows.drop("__g").join(digital_by_month(snapshots, calendar), "period", "left").join(financial_by_month(reports, calendar), "period", "left")
+    rows = rows.drop(one).join(digital_by_month(snapshots, calendar), "period", "left").join(financial_by_month(reports, calendar), "period", "left")
     rows = rows.withColumn("digital_x_growth", F.col("digital_adoption_score") * F.col(f"{target}_growth"))
     return rows.dropna(subset=[target, *(f"{target}_lag{k}" for k in (1, 2, 3))])
 

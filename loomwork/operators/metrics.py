@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 #: Marketplaces, channel weights, the confidence a marketplace channel needs, and value-added rates.
 PLATFORMS = ("shopee", "tiktok", "lazada")
 WEIGHTS = {"website": 0.35, "shopee": 0.30, "tiktok": 0.20, "lazada": 0.15}
@@ -60,12 +62,13 @@ def listing_revenue() -> Column:
 
 def online_revenue(listings: DataFrame, firms: DataFrame, industry_ratio: float | None = None) -> DataFrame:
     """``firms`` (company_id, revenue) with ``online_revenue`` and its basis: listings, else ratio times revenue, else 0."""
-    sums = listings.where(F.lower("platform").isin(*PLATFORMS)).withColumn("c", listing_revenue()).groupBy("company_id").agg(F.sum("c").alias("__sum"), F.count("c").alias("__n"))
+    total, n = free_name("listed_sum", *firms.columns), free_name("listed_n", *firms.columns)
+    sums = listings.where(F.lower("platform").isin(*PLATFORMS)).select("company_id", listing_revenue().alias("c")).groupBy("company_id").agg(F.sum("c").alias(total), F.count("c").alias(n))
     joined = firms.join(sums, "company_id", "left")
     by_ratio = (F.col("revenue") > 0) & F.lit(industry_ratio is not None)
-    basis = F.when(F.col("__n") > 0, "listings").when(by_ratio, "industry_ratio").otherwise("missing")
-    value = F.when(F.col("__n") > 0, F.col("__sum")).when(by_ratio, F.col("revenue") * F.lit(industry_ratio)).otherwise(0.0)
-    return joined.withColumns({"online_revenue": value, "basis": basis}).drop("__sum", "__n")
+    basis = F.when(F.col(n) > 0, "listings").when(by_ratio, "industry_ratio").otherwise("missing")
+    value = F.when(F.col(n) > 0, F.col(total)).when(by_ratio, F.col("revenue") * F.lit(industry_ratio)).otherwise(0.0)
+    return joined.withColumns({"online_revenue": value, "basis": basis}).drop(total, n)
 
 
 def verified_channels(presence: DataFrame) -> DataFrame:
@@ -77,10 +80,11 @@ def verified_channels(presence: DataFrame) -> DataFrame:
 def adoption(presence: DataFrame, firms: DataFrame) -> DataFrame:
     """``firms`` (company_id, has_ecommerce_site) with ``adoption`` and ``diversity`` of their verified channels."""
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("channel_type"))
-    channels = verified_channels(presence).select("company_id", "channel_type").distinct().groupBy("company_id").agg(F.sum(F.coalesce(weight, F.lit(0.0))).alias("__w"), F.count("*").alias("__n"))
+    total, n = free_name("channel_weight", *firms.columns), free_name("channel_n", *firms.columns)
+    channels = verified_channels(presence).select("company_id", "channel_type").distinct().groupBy("company_id").agg(F.sum(F.coalesce(weight, F.lit(0.0))).alias(total), F.count("*").alias(n))
     joined = firms.join(channels, "company_id", "left")
-    score = F.coalesce("__w", F.lit(0.0)) + F.when(F.col("has_ecommerce_site"), 0.1).otherwise(0.0)
-    return joined.withColumns({"adoption": F.round(F.least(score, F.lit(1.0)), 3), "diversity": F.round(F.coalesce("__n", F.lit(0)) / 4.0, 3)}).drop("__w", "__n")
+    score = F.coalesce(total, F.lit(0.0)) + F.when(F.col("has_ecommerce_site"), 0.1).otherwise(0.0)
+    return joined.withColumns({"adoption": F.round(F.least(score, F.lit(1.0)), 3), "diversity": F.round(F.coalesce(n, F.lit(0)) / 4.0, 3)}).drop(total, n)
 
 
 def value_added(revenue: Column, margin: Column, score: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 #: Monitored families and the jobs that belong to each; models in their canonical order; drift in MAPE points.
 FAMILIES = {"gso": ("gso",), "oecd": ("oecd",), "companies": ("companies",), "marketplace": ("marketplace",), "data_cleaning": ("cleaning", "data_cleaning")}
 MODELS = ("arima", "xgboost", "lightgbm", "lstm")
@@ -40,13 +42,14 @@ def write_snapshot(table: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def cascade(candidates: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
     """For each group the rows of the first source in the list that has any, with ``source_tier`` and ``status``."""
-    rows = None
+    taken = [c for _, df in candidates for c in df.columns]
+    tier, best, rows = free_name("tier", *taken), free_name("best_tier", *taken), None
     for i, (name, df) in enumerate(candidates):
-        part = df.withColumns({"__tier": F.lit(i), "source_tier": F.lit(name)})
+        part = df.withColumns({tier: F.lit(i), "source_tier": F.lit(name)})
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    best = rows.groupBy(*keys).agg(F.min("__tier").alias("__best"))
-    rows = (rows.join(best, keys) if keys else rows.join(F.broadcast(best), F.lit(True))).where("__tier = __best")
-    return rows.withColumn("status", F.when(F.col("__tier") == 0, "ok").otherwise("fallback")).drop("__tier", "__best")
+    first = rows.groupBy(*keys).agg(F.min(tier).alias(best))
+    rows = (rows.join(first, keys) if keys else rows.join(F.broadcast(first), F.lit(True))).where(F.col(tier) == F.col(best))
+    return rows.withColumn("status", F.when(F.col(tier) == 0, "ok").otherwise("fallback")).drop(tier, best)
 
 
 def missing_codes(expected: DataFrame, present: DataFrame, code: str) -> DataFrame:
@@ -127,9 +130,10 @@ def audit(flags: DataFrame, urls: DataFrame, keys: list[str]) -> DataFrame:
 
 def keep_previous(now: DataFrame, before: DataFrame, keys: list[str], ok: str, fields: list[str]) -> DataFrame:
     """Fields of a failed observation are those of the last good one."""
-    prior = before.select(*keys, F.struct(*fields).alias("__was"))
+    was = free_name("was", *now.columns)
+    prior = before.select(*keys, F.struct(*fields).alias(was))
     rows = now.join(prior, keys, "left")
-    return rows.withColumns({c: F.when(F.col(ok), F.col(c)).otherwise(F.col(f"__was.{c}")) for c in fields}).drop("__was")
+    return rows.withColumns({c: F.when(F.col(ok), F.col(c)).otherwise(F.col(f"{was}.{c}")) for c in fields}).drop(was)
 
 
 def filtered(df: DataFrame, **wanted) -> DataFrame:

@@ -35,54 +35,59 @@ def growth(df: DataFrame, keys: Keys, value: str, name: str, period: str = "peri
     """Change against the row before, both taken from the series with its gaps held at the last value."""
     w = ordered(keys, period)
     held = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("__held", held).withColumn("__before", F.lag("__held").over(w))
-    return df.withColumn(name, F.try_divide("__held", F.col("__before")) - 1).drop("__held", "__before")
+    now, before = free_name("held_now", *df.columns), free_name("held_before", *df.columns)
+    df = df.withColumn(now, held).withColumn(before, F.lag(now).over(w))
+    return df.withColumn(name, F.try_divide(now, F.col(before)) - 1).drop(now, before)
 
 
 def gap_lengths(df: DataFrame, keys: Keys, value: str, name: str = "gap_rows", period: str = "period") -> DataFrame:
     """Rows of the contiguous run of nulls that a row stands in; 0 where the value is there."""
     w = ordered(keys, period)
-    run = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0))  # grows at each value, stands still inside a gap
-    df = df.withColumn("__run", run)
-    n = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys, "__run"))
-    return df.withColumn(name, F.when(F.col(value).isNull(), n).otherwise(F.lit(0)).cast("long")).drop("__run")
+    run = free_name("run", *df.columns)
+    df = df.withColumn(run, F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))  # grows at each value, stands still inside a gap
+    n = F.count_if(F.col(value).isNull()).over(Window.partitionBy(*keys, run))
+    return df.withColumn(name, F.when(F.col(value).isNull(), n).otherwise(F.lit(0)).cast("long")).drop(run)
 
 
 def interpolated(df: DataFrame, keys: Keys, value: str, name: str, fill_trailing: bool = True, period: str = "period") -> DataFrame:
     """Linear interpolation by row position. Leading nulls stay; trailing ones take the last value if ``fill_trailing``."""
     w = ordered(keys, period)
-    df = df.withColumn("__row", F.row_number().over(w))
-    here = F.when(F.col(value).isNotNull(), F.struct("__row", F.col(value).alias("v")))
-    df = df.withColumn("__p", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row, before, after = (free_name(c, *df.columns) for c in ("row_at", "value_before", "value_after"))
+    df = df.withColumn(row, F.row_number().over(w))
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col(row).alias("row"), F.col(value).alias("v")))
+    df = df.withColumn(before, F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # the next value is the last one from the end: a frame that shrinks row by row would cost the square of the rows
-    df = df.withColumn("__n", F.last(here, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__row")).rowsBetween(Window.unboundedPreceding, 0)))
-    p, n = F.col("__p"), F.col("__n")
-    line = p.v + (n.v - p.v) * (F.col("__row") - p["__row"]) / F.nullif(n["__row"] - p["__row"], F.lit(0))
+    df = df.withColumn(after, F.last(here, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(row)).rowsBetween(Window.unboundedPreceding, 0)))
+    p, n = F.col(before), F.col(after)
+    line = p.v + (n.v - p.v) * (F.col(row) - p["row"]) / F.nullif(n["row"] - p["row"], F.lit(0))
     filled = F.coalesce(F.col(value), line, p.v if fill_trailing else F.lit(None))
-    return df.withColumn(name, filled).drop("__row", "__p", "__n")
+    return df.withColumn(name, filled).drop(row, before, after)
 
 
 def gaps_filled(df: DataFrame, keys: Keys, value: str, max_gap: int = 2, long_gaps: bool = True, fill_trailing: bool = True, period: str = "period") -> DataFrame:
     """``{value}_filled`` and ``fill_kind`` (observed, short, long, missing): short gaps are runs of at most ``max_gap`` nulls."""
-    df = interpolated(gap_lengths(df, keys, value, "__gap", period), keys, value, "__line", fill_trailing, period)
-    short = (F.col("__gap") > 0) & (F.col("__gap") <= max_gap)
-    filled = F.when(F.col("__gap") == 0, F.col(value)).when(short | F.lit(long_gaps), F.col("__line"))
-    kind = F.when(F.col("__gap") == 0, "observed").when(F.col(f"{value}_filled").isNull(), "missing").when(short, "short").otherwise("long")
-    return df.withColumn(f"{value}_filled", filled).withColumn("fill_kind", kind).drop("__gap", "__line")
+    gap, line = free_name("gap", *df.columns), free_name("line", *df.columns)
+    df = interpolated(gap_lengths(df, keys, value, gap, period), keys, value, line, fill_trailing, period)
+    short = (F.col(gap) > 0) & (F.col(gap) <= max_gap)
+    filled = F.when(F.col(gap) == 0, F.col(value)).when(short | F.lit(long_gaps), F.col(line))
+    kind = F.when(F.col(gap) == 0, "observed").when(F.col(f"{value}_filled").isNull(), "missing").when(short, "short").otherwise("long")
+    return df.withColumn(f"{value}_filled", filled).withColumn("fill_kind", kind).drop(gap, line)
 
 
 def latest(df: DataFrame, keys: Keys, *order: Column) -> DataFrame:
     """The first row of each group in the given order (descending columns first)."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    place = free_name("place", *df.columns)
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Keys, columns: Keys, period: str = "period") -> DataFrame:
     """``left`` with ``columns`` of the last row of ``right`` at or before its period, by a union and one window."""
-    marked = right.select(*keys, period, F.lit(0).alias("__side"), F.struct(*columns).alias("__r"))
-    rows = left.withColumn("__side", F.lit(1)).unionByName(marked, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(period, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    return rows.select(*left.columns, *(F.col(f"__r.{c}").alias(c) for c in columns))
+    side, found = free_name("side", *left.columns), free_name("found", *left.columns)
+    marked = right.select(*keys, period, F.lit(0).alias(side), F.struct(*columns).alias(found))
+    rows = left.withColumn(side, F.lit(1)).unionByName(marked, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(period, side).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(found, F.last(found, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    return rows.select(*(c for c in left.columns if c not in columns), *(F.col(f"{found}.{c}").alias(c) for c in columns))
 
 
 def broadcast_latest(calendar: DataFrame, one: DataFrame, columns: Keys) -> DataFrame:
@@ -98,7 +103,8 @@ def months_of(start: Column, n: int | Column) -> Column:
 
 def step_held(df: DataFrame, months: Column | int, period: str = "period") -> DataFrame:
     """Each row once for each of the months from its period on, all with its values."""
-    return df.withColumn("__month", F.explode(months_of(F.col(period), months))).drop(period).withColumnRenamed("__month", period).select(*df.columns)
+    month = free_name("month", *df.columns)
+    return df.withColumn(month, F.explode(months_of(F.col(period), months))).drop(period).withColumnRenamed(month, period).select(*df.columns)
 
 
 def quarters_to_months(df: DataFrame, keys: Keys, value: str = "value", period: str = "period") -> DataFrame:
@@ -122,18 +128,20 @@ def harmonised(df: DataFrame, keys: Keys, value: str = "value", period: str = "p
 
 def preferred_frequency(df: DataFrame, keys: Keys, frequency: str = "freq", preferred: str = "Q") -> DataFrame:
     """Rows of the preferred frequency where a group has any, else all of the group's."""
-    has = F.max(F.col(frequency) == preferred).over(Window.partitionBy(*keys))
-    return df.withColumn("__has", has).where(~F.col("__has") | (F.col(frequency) == preferred)).drop("__has")
+    has = free_name("has", *df.columns)
+    df = df.withColumn(has, F.max(F.col(frequency) == preferred).over(Window.partitionBy(*keys)))
+    return df.where(~F.col(has) | (F.col(frequency) == preferred)).drop(has)
 
 
 def month_on_month(df: DataFrame, keys: Keys, value: str, period: str = "period") -> DataFrame:
     """``mom_pct`` against the row before and ``yoy_pct`` against the same day of the year before, both null without it."""
     w = ordered(keys, period)
     before = F.lag(value).over(w)
-    year = df.select(*keys, F.add_months(period, 12).alias(period), F.col(value).alias("__year"))
-    df = df.withColumn("__before", before).join(year, [*keys, period], "left")
+    last, last_year = free_name("last", *df.columns), free_name("last_year", *df.columns)
+    year = df.select(*keys, F.add_months(period, 12).alias(period), F.col(value).alias(last_year))
+    df = df.withColumn(last, before).join(year, [*keys, period], "left")
     pct = lambda base: F.try_divide(F.col(value) - F.col(base), F.col(base)) * 100
-    return df.withColumns({"mom_pct": pct("__before"), "yoy_pct": pct("__year")}).drop("__before", "__year")
+    return df.withColumns({"mom_pct": pct(last), "yoy_pct": pct(last_year)}).drop(last, last_year)
 
 
 def is_monthly(df: DataFrame, keys: Keys, period: str = "period") -> DataFrame:
@@ -153,9 +161,10 @@ def sequences(df: DataFrame, keys: Keys, value: str, length: int = 12, horizon:
 def lag_violations(df: DataFrame, keys: Keys, value: str, lag_column: str, by: int, period: str = "period", rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
     """Rows where ``lag_column`` is not ``value`` shifted by ``by`` rows."""
     want = F.lag(value, by).over(ordered(keys, period))
-    close = F.abs(F.col(lag_column) - F.col("__want")) <= F.lit(atol) + F.lit(rtol) * F.abs("__want")
-    same = F.coalesce(close, F.col(lag_column).isNull() & F.col("__want").isNull())
-    return df.withColumn("__want", want).where(~same).drop("__want")
+    wanted = free_name("wanted", *df.columns)
+    close = F.abs(F.col(lag_column) - F.col(wanted)) <= F.lit(atol) + F.lit(rtol) * F.abs(wanted)
+    same = F.coalesce(close, F.col(lag_column).isNull() & F.col(wanted).isNull())
+    return df.withColumn(wanted, want).where(~same).drop(wanted)
 
 
 def walk_forward(df: DataFrame, keys: Keys, min_train: int = 24, test_size: int = 6, step: int = 1, mode: str = "expanding", train_rows: int | None = None, period: str = "period") -> DataFrame:

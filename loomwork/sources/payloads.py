@@ -242,5 +242,9 @@ def json_within(text: Column) -> Column:
     t = F.trim(text)
     start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
     inner = F.when((start > 0) & (end > start) & F.contains(t, F.lit("}")), F.substring(t, start, end - start + 1))
-    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+
+    def is_object(c: Column) -> Column:
+        alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))  # in brackets, as a parser passes over what follows a whole value
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(alone, "$[0]", "variant")).startswith("OBJECT") & F.try_variant_get(alone, "$[1]", "variant").isNull(), F.lit(False))
+
     return F.when(is_object(t), t).when(is_object(inner), inner)

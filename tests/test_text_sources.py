@@ -150,3 +150,31 @@ def test_resolve_equals_all_pairs(spark):
     assert got[0][1] == 6  # abxcd and abcd share no three letters in a row
     assert got[2][1] == 0  # vinamilc, by the brand's own ratio
     assert R.resolve(shops, f.where("false"), "sid", "shop", "id", "name").where("id IS NOT NULL").count() == 0
+
+
+def test_wrapped_payloads_and_json_within(spark):
+    body = '{"data":{"dataSets":[{"structure":0,"observations":{"0":[96.5]}}],"structures":[{"dimensions":{"observation":[{"id":"TIME_PERIOD","values":[{"id":"2023-Q1"}]}]}}]}}'
+    rows = P.sdmx_json(spark.createDataFrame([(1, body), (2, f'{{"fetched": "x", "sdmx": {body}}}')], "id int, b string"), "id", "b").orderBy("id").collect()
+    assert [(r.id, r.period, r.value) for r in rows] == [(i, dt.date(2023, 1, 1), 96.5) for i in (1, 2)]
+    texts = [' {"a": 1} ', '<html>x = {"a": {"b": 2}};</html>', "[1, 2]", "{broken", "} {", "", None, '<p>{"a": 1} and {"b": 2}</p>']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.j for r in df.select("i", P.json_within(df.t).alias("j")).orderBy("i").collect()]
+    assert got == ['{"a": 1}', '{"a": {"b": 2}}', None, None, None, None, None, None]
+
+
+def test_names_of_helpers_do_not_clash(spark):
+    """Frames whose columns have the names of operators' helpers come out with all of them."""
+    from loomwork.operators import cleaning as C
+    from loomwork.operators import tables as T
+    from loomwork.operators import windows as W
+
+    names = ("row_at", "value_before", "value_after", "gap", "line", "run", "held_now", "held_before", "place", "side", "found", "has", "last", "last_year", "month", "wanted", "tier", "best_tier", "was", "valid")
+    df = spark.createDataFrame([("a", dt.date(2024, m, 1), float(m) if m != 2 else None, *(f"{n}{m}" for n in names)) for m in (1, 2, 3)], "k string, period date, value double, " + ", ".join(f"{n} string" for n in names))
+    mine = lambda out: sorted(tuple(r[n] for n in names) for r in out.collect())
+    want = mine(df)
+    for out in (
+        W.gaps_filled(W.growth(df, ["k"], "value", "g"), ["k"], "value"), W.asof_backward(df, df.selectExpr("k", "period", "value AS other"), ["k"], ["other"]), W.month_on_month(df, ["k"], "value"), W.step_held(df, 1),
+        W.preferred_frequency(df.withColumn("freq", df.k), ["k"], preferred="a"), T.cascade([("x", df)], ["k"]), C.validate_codes(df.withColumn("code", df.k), spark.createDataFrame([("a",)], "c string"), "code"),
+    ):
+        assert mine(out) == want
+    assert W.lag_violations(W.lags(df, ["k"], "value", (1,)), ["k"], "value", "value_lag1", 1).isEmpty()
