@@ -25,8 +25,8 @@ def sdmx_json_payload(spark, sf_dir):
 
 
 def pxweb_payload(spark, sf_dir):
-    """Yearly sums in a statistics office's table, held over the months."""
-    y = monthly(spark, sf_dir).groupBy("series", F.year("period").alias("y")).agg(F.round(F.sum("value"), 0).cast("long").alias("v")).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("y", "v"))).alias("years"))
+    """Yearly sums (of cents, so that halves round alike in any order of summing) in a statistics office's table, held over the months."""
+    y = monthly(spark, sf_dir).groupBy("series", F.year("period").alias("y")).agg(F.round(F.sum(F.col("value").cast("decimal(20,2)")), 0).cast("long").alias("v")).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("y", "v"))).alias("years"))
     number = lambda i: i.cast("string")
     codes, texts = F.to_json(F.transform("years", lambda _, i: number(i))), F.to_json(F.transform("years", lambda x: F.concat(F.lit("Year "), x.y.cast("string"))))
     cells = F.to_json(F.flatten(F.transform("years", lambda x, i: F.array(F.struct(F.array(F.lit("0"), number(i)).alias("key"), F.array(x.v.cast("string")).alias("values")), F.struct(F.array(F.lit("1"), number(i)).alias("key"), F.array(F.lit("..")).alias("values"))))))
@@ -92,7 +92,7 @@ def commented_csv_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (sdmx_json_payload, pxweb_payload, statements_json_payload, statements_html_payload, statement_tables_payload, tiktok_payload, provenance_payload, sdmx_xml_files, commented_csv_files)}
 SQL = {
     "sdmx_json_payload": f"WITH {MONTHLY} SELECT series, 'VNM' AS country, period, value, 'monthly' AS frequency FROM monthly",
-    "pxweb_payload": f"WITH {MONTHLY}, y AS (SELECT series, year(period) AS y, round(sum(value), 0) AS value FROM monthly GROUP BY 1, 2) SELECT series, make_date(y, i, 1) AS period, value FROM y, range(1, 13) AS r(i)",
+    "pxweb_payload": f"WITH {MONTHLY}, y AS (SELECT series, year(period) AS y, CAST(round(sum(CAST(value AS DECIMAL(20, 2))), 0) AS DOUBLE) AS value FROM monthly GROUP BY 1, 2) SELECT series, make_date(y, i, 1) AS period, value FROM y, range(1, 13) AS r(i)",
     "statements_json_payload": f"WITH {firms.REPORTS} SELECT company_id, 'S' || company_id AS stock_code, period, report_type, revenue, net_profit, CAST(employees AS DOUBLE) AS employees, CAST(NULL AS DOUBLE) AS total_assets FROM reports",
     "statements_html_payload": f"WITH {firms.REPORTS} SELECT company_id, period, report_type, floor(revenue) AS revenue, CAST(employees AS DOUBLE) AS employees, CAST(NULL AS DOUBLE) AS net_profit FROM reports",
     "statement_tables_payload": """WITH t AS (SELECT s_suppkey, CAST('1' || lpad(substr(CAST(s_suppkey AS VARCHAR), 1, 3), 3, '0') AS DOUBLE) AS r FROM supplier)
