@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import METRICS, benchmark_ratios, ratio
+from .metrics import METRICS, benchmark_ratios, ratio, rounded
 from .shared import free_name
 
 #: The sizes below which a peer sample is small or gives no quartiles, and the band around the average.
@@ -53,15 +53,15 @@ def quantile(share: float) -> Column:
 
 def statistics(population: DataFrame, keys: list[str]) -> DataFrame:
     """Peers, average and quartiles (none for fewer than four peers) of ``value`` by group."""
-    rows = population.groupBy(*keys).agg(F.count("value").alias("peers"), F.round(F.avg("value"), 4).alias("average"))
+    rows = population.groupBy(*keys).agg(F.count("value").alias("peers"), rounded(F.avg("value"), 4).alias("average"))
     quartiles = placed_values(population, keys).groupBy(*keys).agg(*(quantile(q).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
-    band = lambda p: F.when(F.col("peers") >= QUARTILE_PEERS, F.round(p, 6)).alias(p)
+    band = lambda p: F.when(F.col("peers") >= QUARTILE_PEERS, rounded(F.col(p), 6)).alias(p)
     return rows.join(quartiles, keys, "left").select(*keys, "peers", "average", band("p25"), band("p50"), band("p75"))
 
 
 def percentiles(population: DataFrame, keys: list[str], name: str = "percentile") -> DataFrame:
     """Share of peers whose value is no larger, in percent."""
-    placed = placed_values(population, keys).select(*keys, "value", F.round(F.col("le") / F.col("total") * 100, 1).alias(name))
+    placed = placed_values(population, keys).select(*keys, "value", rounded(F.col("le") / F.col("total") * 100, 1).alias(name))
     return population.join(placed, [*keys, "value"], "left")
 
 
@@ -88,15 +88,15 @@ def compare(targets: DataFrame, peers: DataFrame, group: str, key: str = "compan
         mine = population.join(places, [group, "metric", "value"]).select(key, group, "metric", "le", F.col("value").alias("own"))
         rows = own.join(sums, [group, "metric"], "left").join(mine, [key, group, "metric"], "left")
         n = F.coalesce("n", F.lit(0)) - F.col("own").isNotNull().cast("int")
-        average = F.round(ratio(F.col("s") - F.coalesce("own", F.lit(0.0)), n), 4)
-        return rows.select(key, group, "metric", "value", n.alias("peers"), average.alias("average"), F.round(ratio(F.col("le") - 1, n) * 100, 1).alias("percentile")).withColumn("label", label(F.col("value"), F.col("average"), F.col("peers")))
+        average = rounded(ratio(F.col("s") - F.coalesce("own", F.lit(0.0)), n), 4)
+        return rows.select(key, group, "metric", "value", n.alias("peers"), average.alias("average"), rounded(ratio(F.col("le") - 1, n) * 100, 1).alias("percentile")).withColumn("label", label(F.col("value"), F.col("average"), F.col("peers")))
     stats = statistics(population, [group, "metric"])
     # targets' values take places among the peers' without counting themselves
     both = population.select(group, "metric", "value", F.lit(1).alias("counts")).unionByName(own.where("value IS NOT NULL").select(group, "metric", "value", F.lit(0).alias("counts")))
     places = placed_values(both, [group, "metric"], weight=F.col("counts")).select(group, "metric", "value", "le")
     placed = own.join(places, [group, "metric", "value"]).select(key, group, "metric", "le")
     rows = own.join(stats, [group, "metric"], "left").join(placed, [key, group, "metric"], "left")
-    rows = rows.withColumns({"peers": F.coalesce("peers", F.lit(0)), "percentile": F.round(ratio("le", "peers") * 100, 1)}).drop("le")
+    rows = rows.withColumns({"peers": F.coalesce("peers", F.lit(0)), "percentile": rounded(ratio("le", "peers") * 100, 1)}).drop("le")
     return rows.withColumn("label", F.when(F.col("value").isNotNull(), label(F.col("value"), F.col("average"), F.col("peers")))).withColumn("warnings", warnings(F.col("peers")))
 
 

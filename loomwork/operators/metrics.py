@@ -36,6 +36,14 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``value`` to ``digits`` places by its scaled double, as SQL engines round doubles.
+
+    ``F.round`` takes a double's shortest decimal instead, so that ties such as 1.005 would go another way than in SQL.
+    """
+    return F.round(value * float(10**digits)) / float(10**digits)
+
+
 def benchmark_ratios(reports: DataFrame) -> DataFrame:
     """``reports`` with the 13 benchmark ratios; fields that a table lacks count as null."""
     has = set(reports.columns)

@@ -14,17 +14,17 @@ def reports(spark, sf_dir):
     """(company_id, group_code, period, report_type, fields): a supplier's lines by year, annual for odd years."""
     ep, year = F.col("l_extendedprice"), F.year("l_shipdate")
     sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), year.alias("y")).agg(
-        F.round(F.sum(ep), 2).alias("revenue"), F.round(F.sum(ep * F.col("l_discount")), 2).alias("profit"), F.round(F.sum(ep * F.col("l_tax")), 2).alias("tax"),
+        M.rounded(F.sum(ep), 2).alias("revenue"), M.rounded(F.sum(ep * F.col("l_discount")), 2).alias("profit"), M.rounded(F.sum(ep * F.col("l_tax")), 2).alias("tax"),
         F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"),
     )
     firms = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("group_code"))
     gone = F.col("company_id") % 7 == 0
     return sums.join(firms, "company_id").select(
         "company_id", "group_code", F.make_date("y", F.lit(12), F.lit(31)).alias("period"), F.when(F.col("y") % 2 == 1, "annual").otherwise("quarterly").alias("report_type"),
-        "revenue", F.col("profit").alias("profit_before_tax"), F.round(F.col("profit") - F.col("tax"), 2).alias("net_profit"), (F.col("quantity") * 1000).alias("total_assets"),
+        "revenue", F.col("profit").alias("profit_before_tax"), M.rounded(F.col("profit") - F.col("tax"), 2).alias("net_profit"), (F.col("quantity") * 1000).alias("total_assets"),
         F.when(F.col("company_id") % 11 == 0, 0.0).otherwise(F.col("quantity") * 400).alias("total_equity"), (F.col("quantity") * 300).alias("current_assets"), F.when(~gone, F.col("n") * 500.0).alias("current_liabilities"),
-        F.col("tax").alias("operating_expenses"), F.round(F.col("tax") * 0.6, 2).alias("cost_of_goods"), F.when(~gone, F.round(F.col("tax") * 0.1, 2)).alias("rental_cost"),
-        F.round(F.col("tax") * 0.2, 2).alias("remuneration"), F.col("n").alias("employees"),
+        F.col("tax").alias("operating_expenses"), M.rounded(F.col("tax") * 0.6, 2).alias("cost_of_goods"), F.when(~gone, M.rounded(F.col("tax") * 0.1, 2)).alias("rental_cost"),
+        M.rounded(F.col("tax") * 0.2, 2).alias("remuneration"), F.col("n").alias("employees"),
     )
 
 
@@ -42,11 +42,11 @@ LABEL = "CASE WHEN {p} = 0 THEN 'insufficient_peers' WHEN {v} > {a} * 1.1::DOUBL
 
 def safe_ratios_13(spark, sf_dir):
     r = M.benchmark_ratios(reports(spark, sf_dir))
-    return r.select("company_id", "period", *(F.round(m, 6).alias(m) for m in M.METRICS))
+    return r.select("company_id", "period", *(M.rounded(F.col(m), 6).alias(m) for m in M.METRICS))
 
 
 def feature_ratios(spark, sf_dir):
-    return M.feature_ratios(reports(spark, sf_dir)).select("company_id", "period", *(F.round(m, 6).alias(m) for m in ("roa", "roe", "current_ratio")))
+    return M.feature_ratios(reports(spark, sf_dir)).select("company_id", "period", *(M.rounded(F.col(m), 6).alias(m) for m in ("roa", "roe", "current_ratio")))
 
 
 def latest_report(spark, sf_dir):
@@ -67,19 +67,19 @@ def peer_percentile(spark, sf_dir):
 
 def benchmark_full(spark, sf_dir):
     rows = B.compare(latest(spark, sf_dir), latest(spark, sf_dir), "group_code")
-    return rows.withColumn("value", F.round("value", 6)).withColumn("warnings", F.array_join("warnings", ","))
+    return rows.withColumn("value", M.rounded(F.col("value"), 6)).withColumn("warnings", F.array_join("warnings", ","))
 
 
 def digital_peer_excluding_self(spark, sf_dir):
     rows = B.compare(latest(spark, sf_dir), latest(spark, sf_dir), "group_code", metrics=("profit_margin", "asset_turnover"), exclude_self=True)
-    return rows.select("company_id", "group_code", "metric", F.round("value", 6).alias("value"), "peers", "average", "percentile")
+    return rows.select("company_id", "group_code", "metric", M.rounded(F.col("value"), 6).alias("value"), "peers", "average", "percentile")
 
 
 def extract_consistency(spark, sf_dir):
     stored = latest(spark, sf_dir)
     off = F.when(F.col("company_id") % 3 == 0, 1.2).when(F.col("company_id") % 3 == 1, 1.05).otherwise(1.0)
-    got = stored.select("company_id", F.round(F.col("revenue") * off, 2).alias("operating_revenue"), F.col("profit_before_tax"), F.col("total_assets"), F.col("total_equity"), F.when(F.col("company_id") % 5 > 0, F.col("employees")).alias("employees"))
-    return B.consistency(got, stored, "company_id").select("company_id", "field", F.round("deviation", 6).alias("deviation"), "severity", "note")
+    got = stored.select("company_id", M.rounded(F.col("revenue") * off, 2).alias("operating_revenue"), F.col("profit_before_tax"), F.col("total_assets"), F.col("total_equity"), F.when(F.col("company_id") % 5 > 0, F.col("employees")).alias("employees"))
+    return B.consistency(got, stored, "company_id").select("company_id", "field", M.rounded(F.col("deviation"), 6).alias("deviation"), "severity", "note")
 
 
 CHANNELS = "CASE event_type WHEN 'click' THEN 'shopee' WHEN 'view' THEN 'website' WHEN 'purchase' THEN 'tiktok' WHEN 'signup' THEN 'lazada' ELSE 'forum' END"

@@ -1,7 +1,10 @@
 import datetime as dt
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomwork.operators import benchmark as B
 from loomwork.operators import metrics as M
 
@@ -88,3 +91,37 @@ def test_places_of_values_are_exact(spark):
         got = B.placed_values(df, ["g"], ranges=ranges).collect()
         assert {(r.g, r.value): (r.n, r.le, r.total) for r in got} == {(g, x): (v.count(x), sum(y <= x for y in v), len(v)) for g, v in by.items() for x in v}
         assert len(got) == sum(len(set(v)) for v in by.values())
+
+
+@pytest.fixture(scope="module")
+def tied_lines(tmp_path_factory):
+    """Tables of 24 firms with a line each, whose profits, taxes and costs end in half a cent."""
+    folder = tmp_path_factory.mktemp("tied")
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT i AS s_suppkey, 'Supplier' AS s_name, CAST(i % 2 AS INTEGER) AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM range(1, 25) AS r(i)) TO '{folder}/supplier.parquet'")
+    c.execute(
+        f"""COPY (SELECT i AS l_orderkey, i AS l_partkey, i AS l_suppkey, CAST(1 AS INTEGER) AS l_linenumber, CAST(1 + i % 5 AS DOUBLE) AS l_quantity, 100.5 + i * 37.0::DOUBLE AS l_extendedprice, 0.01::DOUBLE AS l_discount, 0.03::DOUBLE AS l_tax,
+        'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '1997-03-04' AS l_shipdate FROM range(1, 25) AS r(i)) TO '{folder}/lineitem.parquet'"""
+    )
+    return folder
+
+
+def equals_its_sql(spark, folder, name):
+    """Whether a query gives its SQL's rows, bit by bit."""
+    c = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    found = c.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    return order(entry.queries()[name](spark, str(folder)).select(*names).collect()) == order(found.fetchall())
+
+
+def test_half_cents_round_as_in_sql(spark):
+    rows = spark.createDataFrame([(v,) for v in (1.005, 2.675, -1.005, 0.5, 12.345, None)], "v double").select(M.rounded(F.col("v"), 2).alias("r"))
+    assert [r.r for r in rows.collect()] == [x[0] for x in duckdb.sql("SELECT round(v, 2) FROM (SELECT unnest([1.005, 2.675, -1.005, 0.5, 12.345, NULL]::DOUBLE[]) AS v)").fetchall()]
+
+
+@pytest.mark.parametrize("name", ["benchmark_full"])
+def test_benchmarks_of_half_cents(spark, tied_lines, name):
+    assert equals_its_sql(spark, tied_lines, name)
