@@ -122,6 +122,6 @@ def test_half_cents_round_as_in_sql(spark):
     assert [r.r for r in rows.collect()] == [x[0] for x in duckdb.sql("SELECT round(v, 2) FROM (SELECT unnest([1.005, 2.675, -1.005, 0.5, 12.345, NULL]::DOUBLE[]) AS v)").fetchall()]
 
 
-@pytest.mark.parametrize("name", ["benchmark_full", "benchmark_reports", "peer_percentile"])
+@pytest.mark.parametrize("name", ["benchmark_full", "benchmark_reports", "peer_percentile", "peer_quartiles"])
 def test_benchmarks_of_half_cents(spark, tied_lines, name):
     assert equals_its_sql(spark, tied_lines, name)
