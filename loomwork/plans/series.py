@@ -147,7 +147,8 @@ def supervised_sequences(spark, sf_dir):
 def lag_identity_violations(spark, sf_dir):
     lagged = W.lags(monthly(spark, sf_dir), ["series"], "value", (1, 2))
     broken = lagged.withColumn("value_lag2", F.when(F.month("period") == 7, F.col("value_lag2") + 1).otherwise(F.col("value_lag2")))
-    return W.lag_violations(broken, ["series"], "value", "value_lag2", 2).select("series", "period", "value_lag2")
+    # lags are copies here: an error of 1 counts at any size of the values
+    return W.lag_violations(broken, ["series"], "value", "value_lag2", 2, rtol=0.0, atol=0.0).select("series", "period", "value_lag2")
 
 
 def walk_forward_folds(spark, sf_dir):

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomwork.operators import windows as W
 
 
@@ -94,3 +95,11 @@ def test_empty_frames(spark):
     assert W.gaps_filled(empty, ["k"], "value").count() == 0
     assert W.walk_forward(empty, ["k"]).count() == 0
     assert W.quarters_to_months(empty, ["k"]).count() == 0
+
+
+def test_lag_violations_of_large_values(spark, tmp_path):
+    """Errors of 1 in values of billions are found, and nothing else."""
+    rows = [(m, dt.datetime(2020, m, 1), 5e9 + m / 100, "1-URGENT") for m in range(1, 13)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in entry.queries()["lag_identity_violations"](spark, str(tmp_path)).collect()]
+    assert got == [("1-URGENT", dt.date(2020, 7, 1), 5e9 + 0.05 + 1)]
