@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .shared import new_folder, stored
 
-#: Rows of a packed matrix, and results that a task keeps before it gives them on.
-ROWS_AT_ONCE, MOST_KEPT = 1000, 2_000_000
+#: Rows of a packed matrix, queries that meet a part of the rows in one task, and results that a task keeps before it gives them on.
+ROWS_AT_ONCE, QUERIES_AT_ONCE, MOST_KEPT = 1000, 50_000, 2_000_000
 
 
 def packed(df: DataFrame, id_column: str, vector: str, most: int) -> DataFrame:
@@ -39,17 +39,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     """(query_id, id, cosine, place): the ``k`` rows most like each query by cosine, the query's own id left out.
 
     Rows and queries are packed into matrices; every matrix of rows meets every block of ``block_rows`` queries of the same width in
-    one job, and a task keeps the best ``k`` of each query as it goes: nothing comes to the driver, and what is shuffled is k rows
-    per query and task, never a pair table. Ties go to the smallest id; null vectors, those with a null and those of length 0 are like nothing.
+    one job. Rows are dealt to parts and blocks to lanes of some ``QUERIES_AT_ONCE`` queries; part and lane meet by a shuffle, as
+    blocks repeated for each part would outgrow a broadcast, and a task keeps the best ``k`` of each query as it goes: nothing comes
+    to the driver, and what is shuffled is k rows per query and part, never a pair table. Ties go to the smallest id; null vectors,
+    those with a null and those of length 0 are like nothing.
     """
     folder = new_folder(vectors.sparkSession, "nearest")
     rows = packed(vectors, id_column, vector, ROWS_AT_ONCE)
     blocks = stored(packed(queries, id_column, vector, block_rows), f"{folder}/queries").withColumn("block", F.monotonically_increasing_id())
-    # all widths are the same as a rule: rows are dealt to parts, and each block goes to every part
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
-    every = blocks.select("block", F.col("ids").alias("asked"), F.col("matrix").alias("block_matrix"), "width", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = dealt.join(every, ["part", "width"])
+    # all widths are the same as a rule: about as many pairs of a part and a lane as partitions, and more lanes with more queries
+    asked_for = blocks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 8
+    lanes = -(-asked_for // QUERIES_AT_ONCE) or 1
+    parts = -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // lanes)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")).withColumn("lane", upto(lanes))
+    every = blocks.select("block", F.col("ids").alias("asked"), F.col("matrix").alias("block_matrix"), "width", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), upto(parts).alias("part"))
+    pairs = dealt.hint("merge").join(every.hint("merge"), ["part", "lane", "width"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}

@@ -132,6 +132,22 @@ def test_nearest_equals_brute_force(spark):
     assert nearest(df.where("false"), df.where("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_nearest_broadcasts_no_blocks(spark, monkeypatch, most):
+    """Blocks that are repeated for each part of the rows are shuffled, in one lane or more."""
+    from loomwork.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", most)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    found = nearest(df, df.where("vec_id % 20 = 0"), 3, block_rows=4)
+    got = {(r.query_id, r.place): r.id for r in found.collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(q, p + 1): i for q in range(0, 400, 20) for p, i in enumerate([i for i in np.lexsort((range(400), -np.round(u @ u[q], 6))) if i != q][:3])}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streams(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
