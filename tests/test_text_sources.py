@@ -178,3 +178,21 @@ def test_names_of_helpers_do_not_clash(spark):
     ):
         assert mine(out) == want
     assert W.lag_violations(W.lags(df, ["k"], "value", (1,)), ["k"], "value", "value_lag1", 1).isEmpty()
+
+
+def test_amounts_of_lines_are_computed_once(spark):
+    """The rightmost amounts, as number() reads what AMOUNT finds, with each pattern once in the plan."""
+    lines = ["a 1.250.000", "b (1.250,5) 7", "c -12,345", "(45)", "1,250.5 x 99", "1.5", "12.345.678,9 (3)", "v1.000", "1.000", "0,5", "1.2.3", "(-250)", "none", "", None, "7 (1,234,567) 8", "1,23", "250,", "5 -(6)", "x 100 99"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    found = df.select("i", F.posexplode(F.regexp_extract_all("t", F.lit(X.AMOUNT), F.lit(1))).alias("place", "token")).select("i", "place", X.number(F.col("token")).alias("v")).where("v IS NOT NULL").collect()
+    by = {i: [r.v for r in sorted(found, key=lambda r: r.place) if r.i == i] for i in range(len(lines))}
+    want = {i: ([v for v in vs if abs(v) >= 100] or vs or [None])[-1] for i, vs in by.items()}
+    got = df.select("i", X.amount(F.col("t")).alias("v"))
+    assert {r.i: r.v for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_units_without_their_words_nearby(spark):
+    texts = {"Đơn vị: triệu đồng": 1_000_000, "TRIEU VND": 1_000_000, "in  millions of VND": 1_000_000, "Nghìn VNĐ": 1000, "1.000  vnd": 1000, "ngan dong": 1000, "In Thousands": 1000, "million": 1, "tri 1.000": 1, "": 1, None: 1}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.unit_scale(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == texts
