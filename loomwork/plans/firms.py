@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import benchmark as B
 from ..operators import metrics as M
-from .series import read
+from .series import read, read_in_pieces
 
 
 def reports(spark, sf_dir):
     """(company_id, group_code, period, report_type, fields): a supplier's lines by year, annual for odd years."""
     ep, year = F.col("l_extendedprice"), F.year("l_shipdate")
-    sums = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), year.alias("y")).agg(
+    sums = read_in_pieces(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), year.alias("y")).agg(
         M.rounded(F.sum(ep), 2).alias("revenue"), M.rounded(F.sum(ep * F.col("l_discount")), 2).alias("profit"), M.rounded(F.sum(ep * F.col("l_tax")), 2).alias("tax"),
         F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"),
     )
     firms = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("group_code"))
     gone = F.col("company_id") % 7 == 0
-    return sums.join(firms, "company_id").select(
+    return firms.join(sums, "company_id").select(
         "company_id", "group_code", F.make_date("y", F.lit(12), F.lit(31)).alias("period"), F.when(F.col("y") % 2 == 1, "annual").otherwise("quarterly").alias("report_type"),
         "revenue", F.col("profit").alias("profit_before_tax"), M.rounded(F.col("profit") - F.col("tax"), 2).alias("net_profit"), (F.col("quantity") * 1000).alias("total_assets"),
         F.when(F.col("company_id") % 11 == 0, 0.0).otherwise(F.col("quantity") * 400).alias("total_equity"), (F.col("quantity") * 300).alias("current_assets"), F.when(~gone, F.col("n") * 500.0).alias("current_liabilities"),

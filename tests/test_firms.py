@@ -1,12 +1,17 @@
 import datetime as dt
+import math
+import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomwork.operators import benchmark as B
 from loomwork.operators import metrics as M
+from loomwork.plans import firms, series
 
 
 def test_ratios_are_null_safe(spark):
@@ -125,3 +130,56 @@ def test_half_cents_round_as_in_sql(spark):
 @pytest.mark.parametrize("name", ["benchmark_full", "benchmark_reports", "peer_percentile", "peer_quartiles"])
 def test_benchmarks_of_half_cents(spark, tied_lines, name):
     assert equals_its_sql(spark, tied_lines, name)
+
+
+@pytest.fixture(scope="module")
+def lines_in_row_groups(tmp_path_factory):
+    """Tables whose 6 row groups of 9 MB are larger than a piece; a firm's lines, whose profits sum to half a cent, lie in two that follow each other.
+
+    Two firms share their lines, of which the one has 20 in the first row group, the other 60. And the profits, summed by row group.
+    """
+    folder, rng = tmp_path_factory.mktemp("groups"), random.Random(7)
+    groups, profits = [[] for _ in range(6)], {}
+    for pair in range(100):
+        k = pair % 5
+        lines = [(rng.randrange(90_000, 9_999_999), rng.randrange(11)) for _ in range(80)]
+        units = sum(p * d for p, d in lines)
+        lines[-1] = (lines[-1][0] + (50 - units + lines[-1][0] * lines[-1][1] - lines[-1][0]) % 100, 1)  # their sum is half a cent
+        for firm, cut in ((2 * pair, 20), (2 * pair + 1, 60)):
+            parts = [[(p / 100, d / 100) for p, d in part] for part in (lines[:cut], lines[cut:])]
+            for i, part in enumerate(parts):
+                groups[k + i] += [(firm, p, d) for p, d in part]
+            profits[firm] = math.floor(sum(sum_in_order(p * d for p, d in part) for part in parts) * 100 + 0.5) / 100
+    schema = pa.schema({"l_suppkey": pa.int64(), "l_quantity": pa.float64(), "l_extendedprice": pa.float64(), "l_discount": pa.float64(), "l_tax": pa.float64(), "l_shipdate": pa.timestamp("us"), "padding": pa.string()})
+    with pq.ParquetWriter(folder / "lineitem.parquet", schema, compression="none", use_dictionary=False) as out:
+        for rows in groups:
+            padding = "x" * (9_000_000 // len(rows))
+            out.write_table(pa.Table.from_pylist([{"l_suppkey": f, "l_quantity": 1.0, "l_extendedprice": p, "l_discount": d, "l_tax": 0.0, "l_shipdate": dt.datetime(1997, 3, 4), "padding": padding} for f, p, d in rows], schema=schema))
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(200), pa.int64()), "s_nationkey": pa.array([i // 2 % 5 for i in range(200)], pa.int32())}), folder / "supplier.parquet")
+    return folder, profits
+
+
+def sum_in_order(values):
+    """The sum of doubles, one after the other (Python's own sum mends their errors)."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+def test_sums_are_those_of_row_groups(spark, lines_in_row_groups):
+    folder, profits = lines_in_row_groups
+    got = {r.company_id: r.profit_before_tax for r in firms.reports(spark, str(folder)).select("company_id", "profit_before_tax").collect()}
+    assert got == profits
+
+
+def test_pieces_leave_the_settings_of_the_session(spark, tied_lines):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        own = series.read_in_pieces(spark, str(tied_lines), "lineitem").sparkSession
+        assert own.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert firms.reports(spark, str(tied_lines)).sparkSession is spark
