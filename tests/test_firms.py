@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import math
 import random
@@ -183,3 +184,15 @@ def test_pieces_leave_the_settings_of_the_session(spark, tied_lines):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
     assert firms.reports(spark, str(tied_lines)).sparkSession is spark
+
+
+def by_group(profits):
+    """Profits of a worker (a line) by group code."""
+    return {f"0{g}": sorted(p / 80 for firm, p in profits.items() if firm // 2 % 5 == g) for g in range(5)}
+
+
+def test_percentiles_over_sums_of_row_groups(spark, lines_in_row_groups):
+    folder, profits = lines_in_row_groups
+    got = {r.company_id: r.percentile for r in firms.peer_percentile(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
+    peers = by_group(profits)
+    assert got == {firm: bisect.bisect_right(peers[f"0{firm // 2 % 5}"], p / 80) * 2.5 for firm, p in profits.items()}
