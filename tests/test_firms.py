@@ -2,6 +2,7 @@ import bisect
 import datetime as dt
 import math
 import random
+import statistics
 
 import duckdb
 import pyarrow as pa
@@ -196,3 +197,9 @@ def test_percentiles_over_sums_of_row_groups(spark, lines_in_row_groups):
     got = {r.company_id: r.percentile for r in firms.peer_percentile(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
     peers = by_group(profits)
     assert got == {firm: bisect.bisect_right(peers[f"0{firm // 2 % 5}"], p / 80) * 2.5 for firm, p in profits.items()}
+
+
+def test_quartiles_over_sums_of_row_groups(spark, lines_in_row_groups):
+    folder, profits = lines_in_row_groups
+    got = {r.group_code: (r.p25, r.p50, r.p75) for r in firms.peer_quartiles(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
+    assert got == {g: tuple(pytest.approx(q, abs=1e-6) for q in statistics.quantiles(v, method="inclusive")) for g, v in by_group(profits).items()}
