@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import benchmark as B
 from ..operators import metrics as M
-from .series import read, read_in_pieces
+from .series import added_in_order, read, read_in_pieces
 
 
 def reports(spark, sf_dir):
     """(company_id, group_code, period, report_type, fields): a supplier's lines by year, annual for odd years."""
     ep, year = F.col("l_extendedprice"), F.year("l_shipdate")
-    sums = read_in_pieces(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), year.alias("y")).agg(
-        M.rounded(F.sum(ep), 2).alias("revenue"), M.rounded(F.sum(ep * F.col("l_discount")), 2).alias("profit"), M.rounded(F.sum(ep * F.col("l_tax")), 2).alias("tax"),
-        F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"),
+    pieces = read_in_pieces(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), year.alias("y"), "file", "start").agg(
+        F.sum(ep).alias("revenue"), F.sum(ep * F.col("l_discount")).alias("profit"), F.sum(ep * F.col("l_tax")).alias("tax"), F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"),
     )
+    sums = added_in_order(pieces, ["company_id", "y"], ["file", "start"]).withColumns({c: M.rounded(F.col(c), 2) for c in ("revenue", "profit", "tax")})
     firms = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("group_code"))
     gone = F.col("company_id") % 7 == 0
     return firms.join(sums, "company_id").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
@@ -14,24 +14,33 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Fixed value: bytes of a file that one task reads where its rows' double sums are rounded (Spark's own bound grows to 128 MB with table and cores).
+#: Fixed value: bytes of a file that are read as one piece where its rows' double sums are rounded (Spark's own bound changes with table and cores).
 PIECE = 8 << 20
 
 
 def read_in_pieces(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose tasks read at most ``PIECE`` bytes: those of one row group or file, where these are no smaller.
+    """A table with the place of each row's piece (``file``, ``start``): at most ``PIECE`` bytes, those of one row group or file where these are no smaller.
 
-    Sums of doubles depend on what is added first, and where they are half a cent, so does the rounded sum. In small pieces a task's
-    sums are a row group's, in the order of its rows, whatever the cores and the other files. The bound is set in a session of the
-    table's own with the settings of ``spark``; other tables keep theirs. Beyond 10 000 tasks pieces share one.
+    Sums of doubles depend on what is added first, and where they are half a cent, so does the rounded sum. Sums of pieces,
+    added by :func:`added_in_order`, are the same whatever the cores, the tasks and the order in which these end. The bound is
+    set in a session of the table's own with the settings of ``spark``; other tables keep theirs. Beyond 10 000 tasks pieces share one.
     """
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if own.conf.isModifiable(key):
             own.conf.set(key, value)
     own.conf.set("spark.sql.files.maxPartitionBytes", PIECE)
+    own.conf.set("spark.sql.files.minPartitionNum", 1)  # else more cores cut smaller pieces
     own.conf.set("spark.sql.files.maxPartitionNum", 10_000)
-    return read(own, sf_dir, name)
+    return read(own, sf_dir, name).withColumns({"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")})
+
+
+def added_in_order(sums: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """Sums by ``keys`` and ``place`` added up by ``keys`` in the order of ``place``, as running sums that spill."""
+    columns = [c for c in sums.columns if c not in (*keys, *place)]
+    so_far = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    running = sums.select(*keys, *place, *(F.sum(c).over(so_far).alias(c) for c in columns))
+    return running.groupBy(*keys).agg(*(F.max_by(c, F.struct(*place)).alias(c) for c in columns))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

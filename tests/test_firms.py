@@ -1,5 +1,6 @@
 import bisect
 import datetime as dt
+import itertools
 import math
 import random
 import statistics
@@ -203,3 +204,48 @@ def test_quartiles_over_sums_of_row_groups(spark, lines_in_row_groups):
     folder, profits = lines_in_row_groups
     got = {r.group_code: (r.p25, r.p50, r.p75) for r in firms.peer_quartiles(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
     assert got == {g: tuple(pytest.approx(q, abs=1e-6) for q in statistics.quantiles(v, method="inclusive")) for g, v in by_group(profits).items()}
+
+
+@pytest.fixture(scope="module")
+def lines_in_files(tmp_path_factory):
+    """Tables whose lines lie in four files of 1, 9, 3 and 6 MB; a firm's lines, whose profits sum to half a cent, lie in all four.
+
+    Two firms share their lines, cut at other places. And the profits, summed by file and added in the order of the files' names.
+    """
+    folder, rng = tmp_path_factory.mktemp("files"), random.Random(11)
+    files, profits = [[] for _ in range(4)], {}
+    for pair in range(100):
+        lines = [(rng.randrange(90_000, 9_999_999), rng.randrange(11)) for _ in range(80)]
+        units = sum(p * d for p, d in lines)
+        lines[-1] = (lines[-1][0] + (50 - units + lines[-1][0] * lines[-1][1] - lines[-1][0]) % 100, 1)  # their sum is half a cent
+        for firm, cuts in ((2 * pair, (0, 20, 40, 60, 80)), (2 * pair + 1, (0, 10, 30, 70, 80))):
+            parts = [[(p / 100, d / 100) for p, d in lines[a:z]] for a, z in itertools.pairwise(cuts)]
+            for rows, part in zip(files, parts, strict=True):
+                rows += [(firm, p, d) for p, d in part]
+            profits[firm] = math.floor(sum_in_order(sum_in_order(p * d for p, d in part) for part in parts) * 100 + 0.5) / 100
+    schema = pa.schema({"l_suppkey": pa.int64(), "l_quantity": pa.float64(), "l_extendedprice": pa.float64(), "l_discount": pa.float64(), "l_tax": pa.float64(), "l_shipdate": pa.timestamp("us"), "padding": pa.string()})
+    (folder / "lineitem.parquet").mkdir()
+    for i, (rows, size) in enumerate(zip(files, (1, 9, 3, 6), strict=True)):
+        padding = "x" * (size * 1_000_000 // len(rows))
+        table = pa.Table.from_pylist([{"l_suppkey": f, "l_quantity": 1.0, "l_extendedprice": p, "l_discount": d, "l_tax": 0.0, "l_shipdate": dt.datetime(1997, 3, 4), "padding": padding} for f, p, d in rows], schema=schema)
+        pq.write_table(table, folder / f"lineitem.parquet/part-{i}.parquet", compression="none", use_dictionary=False)
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(200), pa.int64()), "s_nationkey": pa.array([i // 2 % 5 for i in range(200)], pa.int32())}), folder / "supplier.parquet")
+    return folder, profits
+
+
+def test_percentiles_over_sums_added_in_order_of_files(spark, lines_in_files):
+    folder, profits = lines_in_files
+    got = {r.company_id: r.percentile for r in firms.peer_percentile(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
+    peers = by_group(profits)
+    assert got == {firm: bisect.bisect_right(peers[f"0{firm // 2 % 5}"], p / 80) * 2.5 for firm, p in profits.items()}
+
+
+def test_pieces_do_not_depend_on_cores(spark, lines_in_files):
+    folder, _ = lines_in_files
+    tasks = lambda: series.read_in_pieces(spark, str(folder), "lineitem").rdd.getNumPartitions()
+    spark.conf.set("spark.sql.files.minPartitionNum", 64)  # what 64 cores set
+    try:
+        many = tasks()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert many == tasks()
