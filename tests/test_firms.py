@@ -249,3 +249,9 @@ def test_pieces_do_not_depend_on_cores(spark, lines_in_files):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert many == tasks()
+
+
+def test_quartiles_over_sums_added_in_order_of_files(spark, lines_in_files):
+    folder, profits = lines_in_files
+    got = {r.group_code: (r.p25, r.p50, r.p75) for r in firms.peer_quartiles(spark, str(folder)).where("metric = 'profit_per_worker'").collect()}
+    assert got == {g: tuple(pytest.approx(q, abs=1e-6) for q in statistics.quantiles(v, method="inclusive")) for g, v in by_group(profits).items()}
