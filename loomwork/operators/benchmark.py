@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, benchmark_ratios, ratio, rounded
-from .shared import free_name
+from .shared import free_name, result
 
 #: The sizes below which a peer sample is small or gives no quartiles, and the band around the average.
 SMALL_SAMPLE, QUARTILE_PEERS, BAND = 3, 4, 0.1
@@ -33,12 +33,14 @@ def placed_values(rows: DataFrame, keys: list[str], value: str = "value", weight
 
     ``weight`` is what a row counts (1). Values are counted before they are ordered, and ordered in ``ranges`` of a group's
     values by approximate quantiles, with sums before each range: no group is sorted in one task, and the places are exact.
+    Values are stored with their ranges, as approximate quantiles that are computed twice need not be the same.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"), F.sum("n").alias("total"))
-    ranged = counts.join(cuts, keys).select(*keys, value, "n", "total", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("value_range"))
-    before = Window.partitionBy(*keys).orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    ahead = ranged.groupBy(*keys, "value_range").agg(F.sum("n").alias("in_range")).select(*keys, "value_range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("ahead"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"))
+    ranged = result(counts.join(cuts, keys).select(*keys, value, "n", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("value_range")), "ranges")
+    group = Window.partitionBy(*keys)  # a row for each range
+    before = group.orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy(*keys, "value_range").agg(F.sum("n").alias("in_range")).select(*keys, "value_range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("ahead"), F.sum("in_range").over(group).alias("total"))
     inside = Window.partitionBy(*keys, "value_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.withColumn("inside", F.sum("n").over(inside)).join(ahead, [*keys, "value_range"]).select(*keys, value, "n", (F.col("ahead") + F.col("inside")).alias("le"), "total")
 

@@ -101,6 +101,19 @@ def test_places_of_values_are_exact(spark):
         assert len(got) == sum(len(set(v)) for v in by.values())
 
 
+def test_places_of_many_different_values_are_exact(spark):
+    """So many groups and values that their approximate quantiles depend on the order in which parts of a group meet."""
+    groups, each = 200, 1000
+    value = lambda i: i * 48271 % 2147483647
+    by = {g: sorted(float(value(i)) for i in range(g, groups * each, groups)) for g in range(groups)}
+    population = spark.range(0, groups * each, 1, 7).select((F.col("id") % groups).alias("g"), value(F.col("id")).cast("double").alias("value"))
+    places = B.placed_values(population, ["g"]).collect()
+    assert len(places) == groups * each
+    assert sum((r.n, r.le, r.total) != (1, bisect.bisect_right(by[r.g], r.value), each) for r in places) == 0
+    quartiles = {r.g: (r.p25, r.p50, r.p75) for r in B.statistics(population, ["g"]).collect()}
+    assert quartiles == {g: tuple(pytest.approx(q, abs=1e-6) for q in statistics.quantiles(v, method="inclusive")) for g, v in by.items()}
+
+
 @pytest.fixture(scope="module")
 def tied_lines(tmp_path_factory):
     """Tables of 24 firms with a line each, whose profits, taxes and costs end in half a cent."""
